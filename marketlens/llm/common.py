@@ -1,15 +1,18 @@
-"""What the operators share: the shared folder, settled tables, and column helpers."""
+"""What the operators share: the shared folder, settled tables, word rules and column helpers."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Fixed value: the separators of the plain word rule, space and the control characters 9 to 13.
-PLAIN_SPACES = r"[\x20\x09-\x0D]+"
+#: Fixed value: one word of the plain word rule; its separators are space and the control characters 9 to 13.
+PLAIN_WORD = r"[^\x20\x09-\x0D]+"
+#: Rows of one Arrow batch: texts may be long, and a batch is held in memory by the JVM and by the Python worker.
+BATCH_ROWS = 512
 
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,31 +21,57 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the cluster names in spark.checkpoint.dir; a temporary one only where it is unset (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         found = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
+def new_path(spark: SparkSession, name: str) -> str:
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def settled(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet to the shared folder and read it back: the lineage ends at files that outlive any executor."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = new_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def by_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
+    """Keep Arrow batches of texts small; a smaller setting of the session stays."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key, "10000")) <= rows:
+        spark.conf.set(key, str(rows))
+
+
 def ascii_lower(col: Column) -> Column:
     """Lower-case A-Z alone; other letters stay."""
     return F.translate(col, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
 def crc_of_id(col: Column, modulus: int) -> Column:
-    """crc32 of the id's decimal text, mod modulus: the fold of a document."""
-    return F.crc32(col.cast("string").cast("binary")) % F.lit(modulus)
+    """crc32 of the id's decimal text, mod modulus: the fold of a document; a null id counts as empty text."""
+    return F.crc32(F.coalesce(col.cast("string"), F.lit("")).cast("binary")) % F.lit(modulus)
 
 
 def plain_word_count(text: Column) -> Column:
     """Number of plain words, long; null counts 0."""
-    return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")).cast("long"), F.lit(0).cast("long"))
+    return F.coalesce(F.regexp_count(text, F.lit(PLAIN_WORD)).cast("long"), F.lit(0).cast("long"))
+
+
+def mixed64(x: np.ndarray) -> np.ndarray:
+    """A bijection of 64-bit integers that spreads close values (multiply and shift rounds)."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def chained(parts: list[np.ndarray]) -> np.ndarray:
+    """One 64-bit hash of each row of equally long arrays, by position."""
+    out = mixed64(parts[0] + np.uint64(len(parts)))
+    for part in parts[1:]:
+        out = mixed64(out * np.uint64(0x9E3779B97F4A7C15) + part)
+    return out
