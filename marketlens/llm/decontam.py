@@ -134,11 +134,11 @@ class Items:
         slots = self.slots[item]
         if not slots:
             return True
-        values: dict[tuple[int, str], set] = {}
-        used = {(d + j, p + j) for d, p in zip(doc.tolist(), place.tolist(), strict=True) for j in range(WORDS) if p + j in slots and d + j < len(words)}
-        for d, p in used:
-            values.setdefault((d - p, slots[p]), set()).add(slot_value(words, at, tokens, d))
-        return sum(len(v) > 1 for v in values.values()) <= MOST_BROKEN * len(values)
+        places: dict[tuple[int, str], set] = {}
+        for d, p in {(d + j, p + j) for d, p in zip(doc.tolist(), place.tolist(), strict=True) for j in range(WORDS) if p + j in slots and d + j < len(words)}:
+            places.setdefault((d - p, slots[p]), set()).add(d)
+        repeated = [{slot_value(words, at, tokens, d) for d in v} for v in places.values() if len(v) > 1]
+        return sum(len(v) > 1 for v in repeated) <= MOST_BROKEN * len(repeated)
 
 
 def slices(benchmark: DataFrame) -> list[list[tuple]]:
