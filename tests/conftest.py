@@ -3,6 +3,7 @@ import os
 import sys
 
 import duckdb
+import pandas as pd
 import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
@@ -41,5 +42,5 @@ def duck():
 def rows_of(frame):
     """Rows as sorted tuples of comparable text, columns by name."""
     frame = frame[sorted(frame.columns)]
-    show = lambda v: "~" if v is None or v != v else (repr(float(v)) if isinstance(v, float) else str(v))
+    show = lambda v: "~" if pd.api.types.is_scalar(v) and pd.isna(v) else (repr(float(v)) if pd.api.types.is_number(v) and not pd.api.types.is_bool(v) else str(v))
     return list(frame.columns), sorted(tuple(show(v) for v in row) for row in frame.itertuples(index=False))
