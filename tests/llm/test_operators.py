@@ -5,6 +5,7 @@ import zlib
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -255,7 +256,8 @@ def test_bits_are_a_distribution():
     """Over all bytes that may follow, probabilities sum to one."""
     texts = [b"abab cab", b"bab"]
     keys, n = np.unique(lm.strings(texts)[0], return_counts=True)
-    parts = [[c.to_numpy() for c in b.columns] for b in lm._slot_counts([__import__("pyarrow").RecordBatch.from_pydict({"key": keys.view(np.int64), "n": n})])]
+    rows = pa.RecordBatch.from_pydict({"key": keys.view(np.int64), "n": n})
+    parts = [[c.to_numpy() for c in b.columns] for count in (lm._short_counts, lm._word_slots) for b in count([rows])]
     slots, zeros, ones = (np.concatenate(x) for x in zip(*parts, strict=True))
     dense = np.zeros((2, lm.BASES[-1]), np.float32)
     small = slots < lm.BASES[-1]
