@@ -28,6 +28,8 @@ from .common import load, new_path, settled
 LEAST_BYTES = 100
 #: Line end of the headers, separator of records.
 LINE, SEPARATOR = "\r\n", "\r\n\r\n"
+#: Decisions on pages (an id and a digest each) that are broadcast at most; more are joined by a shuffle.
+BROADCAST_ROWS = 200_000
 #: Archive size aimed at; gap that a coalesced read spans, and its greatest length (single longer records are read whole).
 ARCHIVE_BYTES, MOST_GAP, MOST_SPAN = 64 << 20, 64 << 10, 8 << 20
 INDEX = "path string, offset long, length long, record_type string, page_id string, url string, payload_digest string, payload_bytes long, refers_to string"
@@ -45,9 +47,14 @@ def records(pages: DataFrame) -> DataFrame:
     narrow = rows.groupBy("page_id", "digest").agg(F.count(F.lit(1)).alias("n"), F.max("bytes").alias("bytes"))
     first = narrow.where(F.col("bytes") >= LEAST_BYTES).groupBy("digest").agg(F.min("page_id").alias("low"), F.count(F.lit(1)).alias("ids"), F.max("n").alias("most")).where("ids > 1 or most > 1")
     special = narrow.join(first.select(F.col("digest").alias("d"), "low"), F.col("digest") == F.col("d")).where("n > 1 or not page_id <=> low")
-    special = special.select(F.col("page_id").alias("p"), "d", "n", "low")
+    special = settled(special.select(F.col("page_id").alias("p"), "d", "n", "low"), "special-pages")
+    repeated = special.where("n > 1").head(1)
+    if special.count() <= BROADCAST_ROWS:  # else payloads are shuffled to the decisions
+        special = F.broadcast(special)
     joined = rows.join(special, F.col("page_id").eqNullSafe(F.col("p")) & (F.col("digest") == F.col("d")), "left")
     once = joined.where("n is null or n = 1").select("page_id", "url", "payload", "digest", "bytes", F.lit(1).alias("copy"), F.when(F.col("n").isNotNull(), F.col("low")).alias("refers_to"), F.col("n").isNotNull().alias("revisit"))
+    if not repeated:
+        return once
     many = joined.where("n > 1").groupBy("page_id", "digest").agg(F.min("url").alias("url"), F.first("payload").alias("payload"), F.max("bytes").alias("bytes"), F.max("n").alias("n"), F.max("low").alias("low"))
     many = many.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))))
     own = F.col("page_id").eqNullSafe(F.col("low")) & (F.col("copy") == 1)
