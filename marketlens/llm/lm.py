@@ -2,8 +2,9 @@
 
 Every byte is coded as eight binary decisions. For each decision, predictors hash their context (the last 1 to 4 bytes,
 or all of the word so far) into tables of counts; their log odds are combined by weights that a gate picks from how
-often the predictor's own slot, and that of the word predictor, was seen. The weights are learned online, in small steps over the corpus's counts, each step
-leaving out one occurrence of what it predicts. A refinement table, adapted to the mixture's own calibration by node of
+often the predictor's own slot, and that of the word predictor, was seen. The weights are those of least loss over all
+of the corpus's strings, each string leaving out one occurrence of what it predicts; Newton steps reach them, each from
+sums that tasks make of their strings. A refinement table, adapted to the mixture's own calibration by node of
 the decision tree, is averaged in last. Training reads the text once: tasks count strings of 5 bytes with their word's start, one sum by key makes
 the corpus table, and tables, weights and refinement come from that table, whatever its size.
 
@@ -17,6 +18,7 @@ rows count and score each; columns other than doc_id and text are never read.
 from __future__ import annotations
 
 from collections import Counter
+from copy import copy
 
 import numpy as np
 import pyarrow as pa
@@ -42,14 +44,16 @@ FACTOR = 0x9E3779B97F4A7C15
 INVERSE = pow(FACTOR, -1, 1 << 64)
 #: Steps of confidence of the gate, and steps of the refinement.
 GATES, BUCKETS = 20, 33
-#: Rate of the online steps, what each keeps of the curvature met so far, its size, and passes
-#: over the sample.
-RATE, FORGET, STEP_ROWS, PASSES = 0.7, 0.99, 1024, 1
+#: First weights, the pull towards them, the share of the loss that a Newton step must promise to be made, steps at
+#: most (4 are usual), strings that a task works on at once, and strings whose weights the steps over all start from.
+FIRST, PULL, CLOSE, MOST_STEPS, STEP_ROWS, START_STRINGS = 0.3, 50.0, 1e-3, 20, 4096, 200_000
+#: Pairs of predictors, for the curvature.
+PAIRS = [(a, b) for b in range(ORDERS) for a in range(b + 1)]
 #: Words whose counts are broadcast (the rest is joined), strings whose cost is worked out before scoring (the rest is
 #: worked out where it is met), and words and strings that a task holds before it passes counts on.
 BROADCAST_WORDS, READY_STRINGS, HELD = 400_000, 600_000, 400_000
-#: Strings of the corpus table, picked by hash, on which the weights and the refinement are fitted; counts are of all.
-FIT_STRINGS = 800_000
+#: Rows of key tables that a task works on at once.
+JOINED = 50_000
 #: Bytes worked on at once.
 CHUNK = 2_000_000
 #: Bits of a key that hold the bytes; the rest is the hash of the word's start.
@@ -143,6 +147,19 @@ def _string_counts(batches):
         yield out()
 
 
+def joined(batches):
+    """The columns of batches as arrays, at least JOINED rows at once where there are so many."""
+    held, size = [], 0
+    for batch in batches:
+        held.append([c.to_numpy() for c in batch.columns])
+        size += len(batch)
+        if size >= JOINED:
+            yield [np.concatenate(x) for x in zip(*held, strict=True)]
+            held, size = [], 0
+    if size:
+        yield [np.concatenate(x) for x in zip(*held, strict=True)]
+
+
 def decisions(keys: np.ndarray, orders=range(len(MASKS))) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For each string and bit: the slots of the predictors (ORDERS, n, 8), the bits and the tree nodes (n, 8)."""
     with np.errstate(over="ignore"):
@@ -208,9 +225,7 @@ class Mixer:
 
     def __init__(self, dense: np.ndarray, slots: np.ndarray, sparse: np.ndarray):
         self.dense, self.slots, self.sparse = dense, slots, sparse
-        self.weights = np.full((ORDERS, GATES * GATES), 0.3)
-        self.bent = np.zeros((ORDERS, GATES * GATES))
-        self.path, self.steps = np.zeros((ORDERS, GATES * GATES)), 0
+        self.weights = np.full((ORDERS, GATES * GATES), FIRST)
         self.refined = None
         self.ready = np.empty(0, np.uint64), np.empty(0, np.float32)
         self.words = None
@@ -249,24 +264,58 @@ class Mixer:
             total += self.weights[order][gate[order]] * odds[order]
         return np.clip(total, -16, 16)
 
-    def learn(self, keys: np.ndarray, n: np.ndarray) -> None:
-        """One online pass: steps of STEP_ROWS strings, the gradient weighted by the strings' counts; it ends in the mean
-        of the weights along the way, which forgets the noise of single steps."""
-        self.path, self.steps = np.zeros_like(self.weights), 0
+    def statistics(self, keys: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """What a Newton step and the refinement need of strings, weighted by their counts, as one array that adds up:
+        the loss, the gradient by weight, the curvature by pair of weights that meet, and zeros and ones by calibration cell."""
+        loss, gradient, curvature = np.zeros(1), np.zeros((ORDERS, GATES * GATES)), np.zeros((len(PAIRS), GATES**3))
+        cells = np.zeros((2, BUCKETS * 256))
         for i in range(0, len(keys), STEP_ROWS):
-            odds, gate, bit, _ = self.inputs(keys[i : i + STEP_ROWS], n[i : i + STEP_ROWS])
-            weight = n[i : i + STEP_ROWS].astype(float)[:, None]
-            p = 1 / (1 + np.exp(-self.mixed(odds, gate)))
-            error, curve = weight * (bit - p), weight * (p * (1 - p) + 0.002)
+            odds, gate, bit, node = self.inputs(keys[i : i + STEP_ROWS], n[i : i + STEP_ROWS])
+            weight = np.broadcast_to(n[i : i + STEP_ROWS, None].astype(float), bit.shape)
+            x = self.mixed(odds, gate)
+            p = 1 / (1 + np.exp(-x))
+            loss += (weight * np.logaddexp(0, np.where(bit == 1, -x, x))).sum()
+            error, bent = weight * (bit - p), weight * p * (1 - p)
             for order in range(ORDERS):
-                gradient = np.bincount(gate[order].ravel(), (error * odds[order]).ravel(), GATES * GATES)
-                bent = np.bincount(gate[order].ravel(), (curve * odds[order] ** 2).ravel(), GATES * GATES)
-                self.bent[order] = FORGET * self.bent[order] + bent
-                self.weights[order] += np.clip(RATE * gradient / (self.bent[order] + 50.0), -0.05, 0.05)
-            self.path += self.weights
-            self.steps += 1
-        if self.steps:
-            self.weights = self.path / self.steps
+                gradient[order] += np.bincount(gate[order].ravel(), (error * odds[order]).ravel(), GATES * GATES)
+            for k, (one, other) in enumerate(PAIRS):
+                at = gate[one].astype(np.int64) % GATES * GATES**2 + gate[other]
+                curvature[k] += np.bincount(at.ravel(), (bent * odds[one] * odds[other]).ravel(), GATES**3)
+            at = np.rint((x + 16) * (BUCKETS - 1) / 32).astype(np.int64) * 256 + node
+            for v in (0, 1):
+                cells[v] += np.bincount(at.ravel(), (weight * (bit == v)).ravel(), BUCKETS * 256)
+        return np.concatenate([loss, gradient.ravel(), curvature.ravel(), cells.ravel()])
+
+    def fit(self, summed) -> None:
+        """Newton steps on the loss and a small pull to the first weights, which together have one lowest point. summed(weights)
+        gives statistics() of all strings; the last call's cells are those of the weights that stay."""
+        best, weights = None, self.weights
+        for _ in range(MOST_STEPS):
+            found = summed(weights)
+            ends = np.cumsum([1, ORDERS * GATES**2, len(PAIRS) * GATES**3])
+            pull = weights - FIRST
+            loss, gradient = found[0] + PULL / 2 * (pull**2).sum(), found[1 : ends[1]].reshape(ORDERS, GATES, GATES) - PULL * pull.reshape(ORDERS, GATES, GATES)
+            if best is not None and loss > best[0] * (1 + 1e-9):
+                step = best[3] = best[3] / 2  # too far: half the way
+                if np.abs(step).max() < 1e-6:
+                    break
+                weights = best[1] + step
+                continue
+            curvature = found[ends[1] : ends[2]].reshape(len(PAIRS), GATES, GATES, GATES)
+            step = np.zeros((ORDERS, GATES, GATES))
+            for word in range(GATES):  # weights of different gates of the word predictor never meet
+                square = np.zeros((ORDERS, GATES, ORDERS, GATES))
+                for k, (one, other) in enumerate(PAIRS):
+                    square[one, :, other] = curvature[k, :, word]
+                    square[other, :, one] = curvature[k, :, word].T
+                square = square.reshape(ORDERS * GATES, ORDERS * GATES)
+                step[:, word] = np.linalg.solve(square + PULL * np.eye(len(square)), gradient[:, word].ravel()).reshape(ORDERS, GATES)
+            best = [loss, weights, found[ends[2] :], step.reshape(weights.shape)]
+            if (step * gradient).sum() <= CLOSE * loss:
+                break
+            weights = weights + best[3]
+        self.weights = best[1]
+        self.refine(*best[2].reshape(2, -1))
 
     def probability(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Probability of a one for each decision, and the decision's value."""
@@ -280,13 +329,6 @@ class Mixer:
             p = (p + self.refined[low, node] * (1 - share) + self.refined[low + 1, node] * share) / 2
         return np.clip(p, 1e-7, 1 - 1e-7), bit
 
-    def calibration(self, keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Weights of zeros and ones by nearest step of the mixture and node."""
-        odds, gate, bit, node = self.inputs(keys, n)
-        at = np.rint((self.mixed(odds, gate) + 16) * (BUCKETS - 1) / 32).astype(np.int64) * 256 + node
-        weight = np.broadcast_to(n[:, None].astype(float), at.shape)
-        return tuple(np.bincount(at.ravel(), (weight * (bit == v)).ravel(), BUCKETS * 256) for v in (0, 1))
-
     def refine(self, zeros: np.ndarray, ones: np.ndarray) -> None:
         prior = (1 / (1 + np.exp(-(np.arange(BUCKETS) * 32 / (BUCKETS - 1) - 16))))[:, None]
         self.refined = (ones.reshape(BUCKETS, 256) + 20 * prior) / (zeros.reshape(BUCKETS, 256) + ones.reshape(BUCKETS, 256) + 20)
@@ -333,44 +375,26 @@ def train(texts: DataFrame) -> Mixer:
     sparse = np.stack([np.bincount(where, most.column(x).to_numpy(), len(slots)) for x in ("zeros", "ones")])
     known = np.r_[slots, np.iinfo(np.int64).max]
     mixer = Mixer(dense, known, np.c_[sparse, np.zeros(2)].astype(np.float32))
-    size = corpus.count()
-    fit = corpus.where(F.pmod(F.xxhash64("key"), F.lit(max(1, -(-size // FIT_STRINGS)))) == 0)
     shared = spark.sparkContext.broadcast(mixer)
 
-    def online(batches):
-        given = shared.value
-        own = Mixer(given.dense, given.slots, given.sparse)
-        parts = [(b.column(0).to_numpy().view(np.uint64), b.column(1).to_numpy()) for b in batches]
-        n = sum(len(k) for k, _ in parts)
-        keys, counts = (np.concatenate(x) for x in zip(*parts, strict=True)) if n else (None, None)
-        order = np.argsort(mixed64(keys)) if n else None
-        for _ in range(PASSES if n else 0):
-            own.learn(keys[order], counts[order])
-        if n:
-            yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([own.weights.ravel().tolist()], pa.list_(pa.float64()))], ["n", "weights"])
-
-    # One task makes the online passes over the bounded sample, in one order of its strings.
-    each = F.posexplode("weights").alias("k", "w")
-    learned = fit.coalesce(1).mapInArrow(online, "n long, weights array<double>").select("n", each).groupBy("k").agg((F.sum(F.col("n") * F.col("w")) / F.sum("n")).alias("w")).orderBy("k").collect()
+    def summed(weights, rows=corpus):
+        def partial(batches):
+            own = copy(shared.value)
+            own.weights = weights
+            total = sum(own.statistics(keys.view(np.uint64), n) for keys, n in joined(batches))
+            used = np.flatnonzero(total)
+            yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(np.atleast_1d(total)[used], pa.float64())], ["cell", "value"])
+
+        cells = rows.mapInArrow(partial, "cell long, value double").groupBy("cell").agg(F.sum("value").alias("value")).toArrow()
+        total = np.zeros(1 + ORDERS * GATES**2 + len(PAIRS) * GATES**3 + 2 * BUCKETS * 256)
+        total[cells.column("cell").to_numpy()] = cells.column("value").to_numpy()
+        return total
+
+    # A part of the strings gives weights to start from; the steps over all of them end in the same place from anywhere.
+    some = corpus.where(F.pmod(F.xxhash64("key"), F.lit(max(1, corpus.count() // START_STRINGS))) == 0)
+    mixer.fit(lambda weights: summed(weights, some))
+    mixer.fit(summed)
     shared.destroy()  # copies of a broadcast stand on every executor's disk
-    if learned:
-        mixer.weights = np.array([r["w"] for r in learned]).reshape(ORDERS, GATES * GATES)
-    shared = spark.sparkContext.broadcast(mixer)
-
-    def calibrated(batches):
-        total = np.zeros((2, BUCKETS * 256))
-        for batch in batches:
-            keys, counts = batch.column(0).to_numpy().view(np.uint64), batch.column(1).to_numpy()
-            total += np.stack(shared.value.calibration(keys, counts))
-        used = np.flatnonzero(total.sum(axis=0))
-        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[0][used]), pa.array(total[1][used])], ["cell", "zeros", "ones"])
-
-    cells = fit.mapInArrow(calibrated, "cell long, zeros double, ones double").groupBy("cell").agg(F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones")).toArrow()
-    shared.destroy()
-    total = np.zeros((2, BUCKETS * 256))
-    for i, name in enumerate(("zeros", "ones")):
-        total[i][cells.column("cell").to_numpy()] = cells.column(name).to_numpy()
-    mixer.refine(*total)
     # Word starts whose first decision has a slot are seen; the others' strings become alike, and few.
     starts = again.select("word").distinct().mapInArrow(lambda batches: _seen_words(batches, known), "word long").toArrow()
     mixer.know(starts.column("word").to_numpy().astype(np.int64))

@@ -320,3 +320,17 @@ def test_archives_of_odd_pages(spark, tmp_path):
 def test_ranges_join_neighbours():
     rows = [(0, 10), (10, 10), (20 + warc.MOST_GAP + 1, 5), (10**9, warc.MOST_SPAN), (10**9 + warc.MOST_SPAN, 5)]
     assert list(warc._ranges(rows)) == [(0, 2), (2, 3), (3, 4), (4, 5)]
+
+
+def test_language_model_learns_from_all_strings(spark, monkeypatch):
+    """Weights and refinement do not depend on which strings give the start, nor on how tasks share them."""
+    texts = [" ".join(f"w{(i * j) % 37}x{j % 5}" for j in range(30)) for i in range(200)]
+    models = []
+    for start, parts in ((200_000, 1), (50, 7)):
+        monkeypatch.setattr(lm, "START_STRINGS", start)
+        monkeypatch.setattr(lm, "CLOSE", 1e-9)
+        if hasattr(lm, "FIT_STRINGS"):
+            monkeypatch.setattr(lm, "FIT_STRINGS", start)
+        models.append(lm.train(spark.createDataFrame([(t,) for t in texts], "text string").repartition(parts)))
+    assert np.allclose(models[0].weights, models[1].weights, atol=1e-3)
+    assert np.allclose(models[0].refined, models[1].refined, atol=1e-3)
