@@ -56,8 +56,6 @@ BROADCAST_WORDS, READY_STRINGS, HELD = 400_000, 600_000, 400_000
 JOINED = 50_000
 #: Bytes worked on at once.
 CHUNK = 2_000_000
-#: Bits of a key that hold the bytes; the rest is the hash of the word's start.
-BYTES = np.uint64((1 << 40) - 1)
 
 
 def lowered(texts: list) -> list[bytes]:
@@ -228,19 +226,6 @@ class Mixer:
         self.weights = np.full((ORDERS, GATES * GATES), FIRST)
         self.refined = None
         self.ready = np.empty(0, np.uint64), np.empty(0, np.float32)
-        self.words = None
-
-    def know(self, contexts: np.ndarray) -> None:
-        """Mark the hashes of word starts that the word predictor has seen (one bit each)."""
-        marks = np.zeros(1 << 24, bool)
-        marks[contexts] = True
-        self.words = np.packbits(marks, bitorder="little")
-
-    def plain(self, keys: np.ndarray) -> np.ndarray:
-        """Keys without their word's hash where the word predictor has not seen it: it says nothing of them."""
-        word = (keys >> np.uint64(40)).astype(np.int64)
-        seen = (self.words[word >> 3] >> (word & 7).astype(np.uint8)) & 1
-        return np.where(seen == 1, keys, keys & BYTES)
 
     def inputs(self, keys: np.ndarray, n: np.ndarray | None = None):
         """Log odds and gates of the predictors for each decision; with counts n, one occurrence of each string is left out."""
@@ -343,7 +328,6 @@ class Mixer:
     def bits(self, texts: list[bytes]) -> np.ndarray:
         """Total bits of each text with its end mark."""
         keys, sizes = strings(texts)
-        keys = self.plain(keys)
         known, ready = self.ready
         if len(known):
             at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
@@ -395,35 +379,12 @@ def train(texts: DataFrame) -> Mixer:
     mixer.fit(lambda weights: summed(weights, some))
     mixer.fit(summed)
     shared.destroy()  # copies of a broadcast stand on every executor's disk
-    # Word starts whose first decision has a slot are seen; the others' strings become alike, and few.
-    starts = again.select("word").distinct().mapInArrow(lambda batches: _seen_words(batches, known), "word long").toArrow()
-    mixer.know(starts.column("word").to_numpy().astype(np.int64))
-    marks = spark.sparkContext.broadcast(mixer.words)
-
-    def plain(batches):
-        own = Mixer(None, None, None)
-        own.words = marks.value
-        for batch in batches:
-            keys = own.plain(batch.column(0).to_numpy().view(np.uint64))
-            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), batch.column(1)], ["key", "n"])
-
-    alike = corpus.mapInArrow(plain, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
-    top = alike.orderBy(F.desc("n"), "key").limit(READY_STRINGS).select("key").toArrow().column("key").to_numpy().astype(np.int64).view(np.uint64)
-    marks.destroy()
+    top = corpus.orderBy(F.desc("n"), "key").limit(READY_STRINGS).select("key").toArrow().column("key").to_numpy().view(np.uint64)
     ready = np.sort(top)
     mixer.ready = ready, mixer.bits_of(ready)
     return mixer
 
 
-def _seen_words(batches, known: np.ndarray):
-    """Of word starts, those whose first decision is among the known slots."""
-    for batch in batches:
-        word = batch.column(0).to_numpy()
-        slots, _, _ = decisions(word.astype(np.uint64) << np.uint64(40), [ORDERS - 1])
-        first = slots[0][:, 0]
-        yield pa.RecordBatch.from_arrays([pa.array(word[known[np.minimum(np.searchsorted(known, first), len(known) - 1)] == first])], ["word"])
-
-
 def scores(docs: DataFrame, fold=None) -> DataFrame:
     """(doc_id, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte) for every row, learned where fold holds."""
     spark = docs.sparkSession

@@ -334,3 +334,10 @@ def test_language_model_learns_from_all_strings(spark, monkeypatch):
         models.append(lm.train(spark.createDataFrame([(t,) for t in texts], "text string").repartition(parts)))
     assert np.allclose(models[0].weights, models[1].weights, atol=1e-3)
     assert np.allclose(models[0].refined, models[1].refined, atol=1e-3)
+
+
+def test_unseen_words_are_no_word_starts(spark):
+    """A text costs the sum of its strings as they are, also inside words that the model has not seen."""
+    model = lm.train(spark.createDataFrame([("the cat sat on the mat " * 20,)], "text string"))
+    texts = [b"the cat", b"qzxjv", b"the qzxjvk mat"]
+    assert np.allclose(model.bits(texts), [model.bits_of(lm.strings([t])[0]).sum() for t in texts], rtol=1e-5)
