@@ -176,46 +176,28 @@ def decisions(keys: np.ndarray, orders=range(len(MASKS))) -> tuple[np.ndarray, n
 
 def _tables(slots, values):
     for i in range(0, len(slots), 100_000):
-        yield pa.RecordBatch.from_arrays([pa.array(slots[i : i + 100_000]), *[pa.array(v[i : i + 100_000].astype(np.int32)) for v in values]], ["slot", "zeros", "ones"])
+        yield pa.RecordBatch.from_arrays([pa.array(slots[i : i + 100_000]), *[pa.array(v[i : i + 100_000].astype(np.int64)) for v in values]], ["slot", "zeros", "ones"])
 
 
 def _short_counts(batches):
     """(slot, zeros, ones): counts of the corpus table's strings by slot of the short contexts, one row per slot and task."""
     counts = np.zeros((2, BASES[-1]))
-    for batch in batches:
-        keys, n = batch.column(0).to_numpy().view(np.uint64), batch.column(1).to_numpy().astype(float)
-        for i in range(0, len(keys), 20_000):
-            slots, bit, _ = decisions(keys[i : i + 20_000], range(ORDERS - 1))
-            for v in (0, 1):
-                weight = n[i : i + 20_000, None] * (bit == v)
-                for order in range(ORDERS - 1):
-                    counts[v] += np.bincount(slots[order].ravel(), weight.ravel(), BASES[-1])
+    for keys, n in joined(batches):
+        slots, bit, _ = decisions(keys.view(np.uint64), range(ORDERS - 1))
+        for v in (0, 1):
+            weight = n[:, None] * (bit == v).astype(float)
+            for order in range(ORDERS - 1):
+                counts[v, BASES[order] : BASES[order + 1]] += np.bincount((slots[order] - BASES[order]).ravel(), weight.ravel(), BASES[order + 1] - BASES[order])
     used = np.flatnonzero(counts.sum(axis=0))
     yield from _tables(used, counts[:, used])
 
 
 def _word_slots(batches):
-    """(slot, zeros, ones): counts by slot of the word predictor that were used more than once.
-
-    Rows (key, n) come sorted by word start, all of one start in one task, so each run of starts has whole counts.
-    """
-
-    def counted(keys, n):
-        slots, bit, _ = decisions(keys, [ORDERS - 1])
+    """(slot, zeros, ones): partial counts by slot of the word predictor."""
+    for keys, n in joined(batches):
+        slots, bit, _ = decisions(keys.view(np.uint64), [ORDERS - 1])
         used, where = np.unique(slots[0].ravel(), return_inverse=True)
-        zeros, ones = (np.bincount(where.ravel(), (n[:, None] * (bit == v)).ravel(), len(used)) for v in (0, 1))
-        often = zeros + ones > 1
-        yield from _tables(used[often], [zeros[often], ones[often]])
-
-    rest = np.empty(0, np.uint64), np.empty(0)
-    for batch in batches:
-        keys, n = np.r_[rest[0], batch.column(0).to_numpy().view(np.uint64)], np.r_[rest[1], batch.column(1).to_numpy().astype(float)]
-        if not len(keys):
-            continue
-        last = int(np.searchsorted(keys >> np.uint64(40), keys[-1] >> np.uint64(40)))  # where the last start's strings begin
-        yield from counted(keys[:last], n[:last])
-        rest = keys[last:], n[last:]
-    yield from counted(*rest)
+        yield from _tables(used, [np.bincount(where.ravel(), (n[:, None] * (bit == v).astype(float)).ravel(), len(used)) for v in (0, 1)])
 
 
 class Mixer:
@@ -346,14 +328,14 @@ def train(texts: DataFrame) -> Mixer:
     spark = texts.sparkSession
     corpus = texts.mapInArrow(_string_counts, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
     corpus = settled(corpus, "strings")
-    kind, summed = "slot long, zeros int, ones int", [F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones")]
+    kind, sums = "slot long, zeros long, ones long", [F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones")]
     dense = np.zeros((2, BASES[-1]), np.float32)
-    small = corpus.mapInArrow(_short_counts, kind).groupBy("slot").agg(*summed).toArrow()
+    small = corpus.mapInArrow(_short_counts, kind).groupBy("slot").agg(*sums).toArrow()
     for i, name in enumerate(("zeros", "ones")):
         dense[i][small.column("slot").to_numpy()] = small.column(name).to_numpy()
-    # All strings of a word's start go to one task, which sums their slots; a slot used once says nothing of other texts.
-    again = corpus.withColumn("word", F.shiftrightunsigned("key", 40))
-    often = again.repartition("word").sortWithinPartitions("word").select("key", "n").mapInArrow(_word_slots, kind)
+    # Sums by word start and byte first: however many strings share a word start, it has 256 rows at most.
+    pairs = corpus.groupBy((F.shiftleft(F.shiftrightunsigned("key", 40), 40).bitwiseOR(F.col("key").bitwiseAND(255))).alias("key")).agg(F.sum("n").alias("n"))
+    often = pairs.mapInArrow(_word_slots, kind).groupBy("slot").agg(*sums).where("zeros + ones > 1")
     most = often.orderBy(F.desc(F.col("zeros") + F.col("ones")), "slot").limit(SPARSE).toArrow()
     slots, where = np.unique(most.column("slot").to_numpy(), return_inverse=True)
     sparse = np.stack([np.bincount(where, most.column(x).to_numpy(), len(slots)) for x in ("zeros", "ones")])

@@ -341,3 +341,22 @@ def test_unseen_words_are_no_word_starts(spark):
     model = lm.train(spark.createDataFrame([("the cat sat on the mat " * 20,)], "text string"))
     texts = [b"the cat", b"qzxjv", b"the qzxjvk mat"]
     assert np.allclose(model.bits(texts), [model.bits_of(lm.strings([t])[0]).sum() for t in texts], rtol=1e-5)
+
+
+def test_slot_counts_beyond_32_bits():
+    """Counts of slots are long, as the start of a word meets more than 2**31 words."""
+    rows = pa.RecordBatch.from_pydict({"key": np.array([97], np.int64), "n": np.array([3 << 31], np.int64)})
+    for count in (lm._short_counts, lm._word_slots):
+        found = pa.Table.from_batches(count([rows]))
+        assert found.column("zeros").to_numpy().min() >= 0 and found.column("ones").to_numpy().max() >= 3 << 31
+
+
+def test_slot_counts_add_up():
+    """Strings of one word start may be dealt over batches and tasks."""
+    keys, n = np.unique(lm.strings([b"the cat then that " * 3])[0], return_counts=True)
+    whole, parts = ([pa.RecordBatch.from_pydict({"key": k.view(np.int64), "n": c}) for k, c in x] for x in ([(keys, n)], [(keys[::2], n[::2]), (keys[1::2], n[1::2])]))
+    totals = []
+    for tasks in ([whole], [[p] for p in parts]):
+        found = pd.concat([b.to_pandas() for t in tasks for b in lm._word_slots(t)])
+        totals.append(found.groupby("slot")[["zeros", "ones"]].sum())
+    assert totals[0].equals(totals[1])
