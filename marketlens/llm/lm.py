@@ -33,11 +33,11 @@ FOLDS, HELD_OUT = 7, 2
 #: The predictors' contexts as masks of a string's key without its last byte, and the bits of each one's table of slots.
 #: A key holds, from the low end, the byte itself, the 4 bytes before it, and 24 bits of hash of the word before it.
 MASKS = (0xFF, 0xFFFF, 0xFFFFFF, 0xFFFFFFFF, 0xFFFFFF_00000000)
-SLOT_BITS = (16, 18, 19, 19, 31)
+SLOT_BITS = (16, 18, 19, 19, 32)
 ORDERS = len(MASKS)
 BASES = [sum(1 << b for b in SLOT_BITS[:i]) for i in range(ORDERS)]
-#: Slots up to BASES[-1] stand in an array; of the word predictor's, the SPARSE most used stand sorted
-#: by number; one that was used once says nothing but for the string that used it.
+#: Slots up to BASES[-1] stand in an array; of the word predictor's, SPARSE at most, those of the word starts met most,
+#: stand sorted by number in each task. Strings of all other word starts are brought together by word start.
 SPARSE = 2_000_000
 #: An odd factor and its inverse modulo 2**64, for the hash of a word's start.
 FACTOR = 0x9E3779B97F4A7C15
@@ -118,23 +118,25 @@ def _word_counts(batches):
 
 
 def _string_counts(batches):
-    """(key, n): partial counts of byte strings."""
+    """(key, n, m): partial counts of byte strings of (text, learned), n in learned rows and m in all."""
     held, waiting = [], 0
 
     def merged():
         keys = np.concatenate([k for k, _ in held])
         distinct, where = np.unique(keys, return_inverse=True)
-        held[:] = [(distinct, np.bincount(where, np.concatenate([c for _, c in held]), len(distinct)))]
+        held[:] = [(distinct, np.stack([np.bincount(where, np.concatenate([c[i] for _, c in held]), len(distinct)) for i in (0, 1)]))]
         return len(distinct)
 
     def out():
         keys, n = held.pop()
-        return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n.astype(np.int64))], ["key", "n"])
+        return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), *[pa.array(x.astype(np.int64)) for x in n]], ["key", "n", "m"])
 
     for batch in batches:
-        texts = lowered(batch.column(0).cast(pa.binary()).to_pylist())
-        for a, b in runs(texts):
-            held.append(np.unique(strings(texts[a:b])[0], return_counts=True))
+        texts, flags = lowered(batch.column(0).cast(pa.binary()).to_pylist()), batch.column(1).to_pylist()
+        parts = [(learned, [t for t, f in zip(texts, flags, strict=True) if bool(f) is learned]) for learned in (True, False)]
+        for learned, own in [(learned, part[a:b]) for learned, part in parts for a, b in runs(part)]:
+            keys, n = np.unique(strings(own)[0], return_counts=True)
+            held.append((keys, np.stack([n * learned, n])))
             waiting += 1
             if waiting >= 8:
                 waiting = 0
@@ -149,7 +151,7 @@ def joined(batches):
     """The columns of batches as arrays, at least JOINED rows at once where there are so many."""
     held, size = [], 0
     for batch in batches:
-        held.append([c.to_numpy() for c in batch.columns])
+        held.append([c.to_numpy(zero_copy_only=False) for c in batch.columns])
         size += len(batch)
         if size >= JOINED:
             yield [np.concatenate(x) for x in zip(*held, strict=True)]
@@ -169,6 +171,9 @@ def decisions(keys: np.ndarray, orders=range(len(MASKS))) -> tuple[np.ndarray, n
         for row, order in enumerate(orders):
             bits = SLOT_BITS[order]
             context = (keys >> np.uint64(8)) & np.uint64(MASKS[order])
+            if order == ORDERS - 1:  # 24 bits of word and 8 of node: no two share a slot
+                slots[row] = (context >> np.uint64(24) & np.uint64(0xFFFFFF00)).astype(np.int64)[:, None] + node + BASES[order]
+                continue
             at = mixed64(chained([context])[:, None] + node.astype(np.uint64))
             slots[row] = (at >> np.uint64(64 - bits)).astype(np.int64) + BASES[order]
     return slots, bit, node
@@ -200,6 +205,29 @@ def _word_slots(batches):
         yield from _tables(used, [np.bincount(where.ravel(), (n[:, None] * (bit == v).astype(float)).ravel(), len(used)) for v in (0, 1)])
 
 
+def _rare_counts(batches):
+    """(key, n, counts): strings with the word predictor's zeros and ones of their 8 decisions; rows (key, n) come sorted by
+    word start, all of one start in one task, and are few for each start, as the most frequent starts stand elsewhere."""
+
+    def counted(keys, n):
+        slots, bit, _ = decisions(keys, [ORDERS - 1])
+        used, where = np.unique(slots[0].ravel(), return_inverse=True)
+        where = where.reshape(bit.shape)
+        counts = [np.bincount(where.ravel(), (n[:, None] * (bit == v).astype(float)).ravel(), len(used))[where] for v in (0, 1)]
+        for i in range(0, len(keys), 20_000):
+            own = np.concatenate([c[i : i + 20_000] for c in counts], axis=1).astype(np.float32)
+            yield pa.RecordBatch.from_arrays([pa.array(keys[i : i + 20_000].view(np.int64)), pa.array(n[i : i + 20_000]), pa.array([x.tobytes() for x in own], pa.binary())], ["key", "n", "counts"])
+
+    rest = np.empty(0, np.uint64), np.empty(0, np.int64)
+    for keys, n in joined(batches):
+        keys, n = np.r_[rest[0], keys.view(np.uint64)], np.r_[rest[1], n]
+        word = keys >> np.uint64(40)
+        last = len(word) - int(np.argmax(word[::-1] != word[-1])) if (word != word[-1]).any() else 0  # where the last start's strings begin
+        yield from counted(keys[:last], n[:last])
+        rest = keys[last:], n[last:]
+    yield from counted(*rest)
+
+
 class Mixer:
     """Slot counts, gated weights (ORDERS, GATES * GATES) and the refinement table (BUCKETS, 256)."""
 
@@ -208,16 +236,34 @@ class Mixer:
         self.weights = np.full((ORDERS, GATES * GATES), FIRST)
         self.refined = None
         self.ready = np.empty(0, np.uint64), np.empty(0, np.float32)
-
-    def inputs(self, keys: np.ndarray, n: np.ndarray | None = None):
-        """Log odds and gates of the predictors for each decision; with counts n, one occurrence of each string is left out."""
+        self.words = None
+
+    def know(self, words: np.ndarray) -> None:
+        """Mark the word starts whose slots, if they have any, all stand here (one bit each)."""
+        marks = np.zeros(1 << 24, bool)
+        marks[words] = True
+        self.words = np.packbits(marks, bitorder="little")
+
+    def knows(self, keys: np.ndarray) -> np.ndarray:
+        """Whether the slots of each key's word start stand here; without know(), those of all do."""
+        if self.words is None:
+            return np.ones(len(keys), bool)
+        word = (keys >> np.uint64(40)).astype(np.int64)
+        return (self.words[word >> 3] >> (word & 7).astype(np.uint8)) & 1 == 1
+
+    def inputs(self, keys: np.ndarray, n: np.ndarray | None = None, rare: np.ndarray | None = None):
+        """Log odds and gates of the predictors for each decision; with counts n, one occurrence of each string is left out;
+        rare are the word predictor's counts, zeros and ones (n, 16), where they do not stand here."""
         slots, bit, node = decisions(keys)
         n0, n1 = (np.empty(slots.shape, np.float32) for _ in range(2))
         for v, counts in ((0, n0), (1, n1)):
             counts[:-1] = self.dense[v][slots[:-1]]
-        at = np.minimum(np.searchsorted(self.slots, slots[-1]), len(self.slots) - 1)
-        seen = self.slots[at] == slots[-1]
-        n0[-1], n1[-1] = np.where(seen, self.sparse[0][at], 0), np.where(seen, self.sparse[1][at], 0)
+        if rare is not None:
+            n0[-1], n1[-1] = rare[:, :8], rare[:, 8:]
+        else:
+            at = np.minimum(np.searchsorted(self.slots, slots[-1]), len(self.slots) - 1)
+            seen = self.slots[at] == slots[-1]
+            n0[-1], n1[-1] = np.where(seen, self.sparse[0][at], 0), np.where(seen, self.sparse[1][at], 0)
         if n is not None:
             n0, n1 = np.maximum(n0 - (bit == 0), 0), np.maximum(n1 - (bit == 1), 0)
         odds = np.log((n1 + 0.02) / (n0 + 0.02))
@@ -231,13 +277,13 @@ class Mixer:
             total += self.weights[order][gate[order]] * odds[order]
         return np.clip(total, -16, 16)
 
-    def statistics(self, keys: np.ndarray, n: np.ndarray) -> np.ndarray:
+    def statistics(self, keys: np.ndarray, n: np.ndarray, rare: np.ndarray | None = None) -> np.ndarray:
         """What a Newton step and the refinement need of strings, weighted by their counts, as one array that adds up:
         the loss, the gradient by weight, the curvature by pair of weights that meet, and zeros and ones by calibration cell."""
         loss, gradient, curvature = np.zeros(1), np.zeros((ORDERS, GATES * GATES)), np.zeros((len(PAIRS), GATES**3))
         cells = np.zeros((2, BUCKETS * 256))
         for i in range(0, len(keys), STEP_ROWS):
-            odds, gate, bit, node = self.inputs(keys[i : i + STEP_ROWS], n[i : i + STEP_ROWS])
+            odds, gate, bit, node = self.inputs(keys[i : i + STEP_ROWS], n[i : i + STEP_ROWS], None if rare is None else rare[i : i + STEP_ROWS])
             weight = np.broadcast_to(n[i : i + STEP_ROWS, None].astype(float), bit.shape)
             x = self.mixed(odds, gate)
             p = 1 / (1 + np.exp(-x))
@@ -284,9 +330,9 @@ class Mixer:
         self.weights = best[1]
         self.refine(*best[2].reshape(2, -1))
 
-    def probability(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def probability(self, keys: np.ndarray, rare: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Probability of a one for each decision, and the decision's value."""
-        odds, gate, bit, node = self.inputs(keys)
+        odds, gate, bit, node = self.inputs(keys, None, rare)
         x = self.mixed(odds, gate)
         p = 1 / (1 + np.exp(-x))
         if self.refined is not None:
@@ -300,15 +346,20 @@ class Mixer:
         prior = (1 / (1 + np.exp(-(np.arange(BUCKETS) * 32 / (BUCKETS - 1) - 16))))[:, None]
         self.refined = (ones.reshape(BUCKETS, 256) + 20 * prior) / (zeros.reshape(BUCKETS, 256) + ones.reshape(BUCKETS, 256) + 20)
 
-    def bits_of(self, keys: np.ndarray) -> np.ndarray:
+    def bits_of(self, keys: np.ndarray, rare: np.ndarray | None = None) -> np.ndarray:
         out = np.empty(len(keys), np.float32)
         for i in range(0, len(keys), 20_000):
-            p, bit = self.probability(keys[i : i + 20_000])
+            p, bit = self.probability(keys[i : i + 20_000], None if rare is None else rare[i : i + 20_000])
             out[i : i + 20_000] = -np.log2(np.where(bit == 1, p, 1 - p)).sum(axis=1)
         return out
 
     def bits(self, texts: list[bytes]) -> np.ndarray:
-        """Total bits of each text with its end mark."""
+        """Total bits of each text with its end mark, where no word start of the corpus stands elsewhere."""
+        bits, others, ends = self.known_bits(texts)
+        return bits + np.diff(np.cumsum(np.r_[0.0, self.bits_of(others)])[ends], prepend=0)
+
+    def known_bits(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Bits of each text's strings whose word start stands here, the keys of the others, and their ends by text."""
         keys, sizes = strings(texts)
         known, ready = self.ready
         if len(known):
@@ -317,54 +368,90 @@ class Mixer:
             rest = np.flatnonzero(known[at] != keys)
         else:
             cost, rest = np.empty(len(keys), np.float32), np.arange(len(keys))
+        here = self.knows(keys[rest])
+        away, rest = rest[~here], rest[here]
+        cost[away] = 0
         if len(rest):
             new, where = np.unique(keys[rest], return_inverse=True)
             cost[rest] = self.bits_of(new)[where]
-        return np.add.reduceat(cost, np.r_[0, np.cumsum(sizes)[:-1]], dtype=np.float64)
+        return np.add.reduceat(cost, np.r_[0, np.cumsum(sizes)[:-1]], dtype=np.float64), keys[away], np.searchsorted(away, np.cumsum(sizes))
 
 
 def train(texts: DataFrame) -> Mixer:
-    """The byte model of a table (text). What comes to the driver is bounded by the tables' sizes."""
+    """The byte model of a table (text), as far as it stands in each task."""
+    return trained(texts.withColumn("learned", F.lit(True)))[0]
+
+
+def trained(texts: DataFrame) -> tuple[Mixer, DataFrame]:
+    """The byte model of the learned rows of a table (text, learned), and (key, bits) of the strings of all its rows whose
+    word start does not stand in the model. What comes to the driver is bounded by the tables' sizes."""
     spark = texts.sparkSession
-    corpus = texts.mapInArrow(_string_counts, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
-    corpus = settled(corpus, "strings")
+    every = texts.mapInArrow(_string_counts, "key long, n long, m long").groupBy("key").agg(F.sum("n").alias("n"), F.sum("m").alias("m"))
+    every = settled(every, "strings")
+    corpus = every.where("n > 0").select("key", "n")
     kind, sums = "slot long, zeros long, ones long", [F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones")]
     dense = np.zeros((2, BASES[-1]), np.float32)
     small = corpus.mapInArrow(_short_counts, kind).groupBy("slot").agg(*sums).toArrow()
     for i, name in enumerate(("zeros", "ones")):
         dense[i][small.column("slot").to_numpy()] = small.column(name).to_numpy()
     # Sums by word start and byte first: however many strings share a word start, it has 256 rows at most.
-    pairs = corpus.groupBy((F.shiftleft(F.shiftrightunsigned("key", 40), 40).bitwiseOR(F.col("key").bitwiseAND(255))).alias("key")).agg(F.sum("n").alias("n"))
-    often = pairs.mapInArrow(_word_slots, kind).groupBy("slot").agg(*sums).where("zeros + ones > 1")
-    most = often.orderBy(F.desc(F.col("zeros") + F.col("ones")), "slot").limit(SPARSE).toArrow()
-    slots, where = np.unique(most.column("slot").to_numpy(), return_inverse=True)
-    sparse = np.stack([np.bincount(where, most.column(x).to_numpy(), len(slots)) for x in ("zeros", "ones")])
-    known = np.r_[slots, np.iinfo(np.int64).max]
-    mixer = Mixer(dense, known, np.c_[sparse, np.zeros(2)].astype(np.float32))
+    word = F.shiftrightunsigned("key", 40)
+    pair = F.shiftleft(word, 40).bitwiseOR(F.col("key").bitwiseAND(255)).alias("key")
+    pairs = settled(every.groupBy(pair).agg(F.sum("n").alias("n"), F.sum("m").alias("m")), "pairs")
+    top = pairs.groupBy(word.alias("word")).agg(F.sum("m").alias("m"), F.count(F.lit(1)).alias("bytes")).orderBy(F.desc("m"), "word").limit(max(1, SPARSE // 8)).toArrow()
+    words = top.column("word").to_numpy()
+    words = words[: max(1, int(np.searchsorted(np.cumsum(np.minimum(255, 8 * top.column("bytes").to_numpy())), SPARSE, "right")))]
+    chosen = spark.createDataFrame(pa.table({"word": pa.array(words, pa.int64())}))
+    own = pairs.where("n > 0").withColumn("word", word).join(F.broadcast(chosen), "word", "left_semi").select("key", "n").toArrow()
+    parts = [[c.to_numpy() for c in b.columns] for b in _word_slots(own.to_batches())]
+    slots, zeros, ones = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.empty(0, np.int64), *np.empty((2, 0)))
+    slots, where = np.unique(slots, return_inverse=True)
+    sparse = np.stack([np.bincount(where, x, len(slots)) for x in (zeros, ones)])
+    mixer = Mixer(dense, np.r_[slots, np.iinfo(np.int64).max], np.c_[sparse, np.zeros(2)].astype(np.float32))
+    mixer.know(words)
+    # The other word starts: their strings, learned or not, come together, each with its counts.
+    others = every.withColumn("word", word).join(F.broadcast(chosen), "word", "left_anti")
+    rare = settled(others.repartition("word").sortWithinPartitions("word").select("key", "n").mapInArrow(_rare_counts, "key long, n long, counts binary"), "rare")
+    here = every.withColumn("word", word).join(F.broadcast(chosen), "word", "left_semi").where("n > 0").select("key", "n")
     shared = spark.sparkContext.broadcast(mixer)
 
-    def summed(weights, rows=corpus):
+    def summed(weights, share=1):
         def partial(batches):
-            own = copy(shared.value)
-            own.weights = weights
-            total = sum(own.statistics(keys.view(np.uint64), n) for keys, n in joined(batches))
+            model = copy(shared.value)
+            model.weights = weights
+            total = sum(model.statistics(keys.view(np.uint64), n, *map(unpacked, more)) for keys, n, *more in joined(batches))
             used = np.flatnonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(np.atleast_1d(total)[used], pa.float64())], ["cell", "value"])
 
-        cells = rows.mapInArrow(partial, "cell long, value double").groupBy("cell").agg(F.sum("value").alias("value")).toArrow()
+        picked = F.pmod(F.xxhash64("key"), F.lit(share)) == 0
+        both = [rows.where(picked).mapInArrow(partial, "cell long, value double") for rows in (here, rare.where("n > 0"))]
+        cells = both[0].unionAll(both[1]).groupBy("cell").agg(F.sum("value").alias("value")).toArrow()
         total = np.zeros(1 + ORDERS * GATES**2 + len(PAIRS) * GATES**3 + 2 * BUCKETS * 256)
         total[cells.column("cell").to_numpy()] = cells.column("value").to_numpy()
         return total
 
     # A part of the strings gives weights to start from; the steps over all of them end in the same place from anywhere.
-    some = corpus.where(F.pmod(F.xxhash64("key"), F.lit(max(1, corpus.count() // START_STRINGS))) == 0)
-    mixer.fit(lambda weights: summed(weights, some))
+    share = max(1, corpus.count() // START_STRINGS)
+    mixer.fit(lambda weights: summed(weights, share))
     mixer.fit(summed)
     shared.destroy()  # copies of a broadcast stand on every executor's disk
-    top = corpus.orderBy(F.desc("n"), "key").limit(READY_STRINGS).select("key").toArrow().column("key").to_numpy().view(np.uint64)
-    ready = np.sort(top)
+    model = copy(mixer)
+
+    def costs(batches):
+        for keys, counts in joined(batches):
+            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(model_of.value.bits_of(keys.view(np.uint64), unpacked(counts)))], ["key", "bits"])
+
+    model_of = spark.sparkContext.broadcast(model)
+    away = settled(rare.select("key", "counts").mapInArrow(costs, "key long, bits float"), "costs")
+    model_of.destroy()
+    most = here.orderBy(F.desc("n"), "key").limit(READY_STRINGS).select("key").toArrow().column("key").to_numpy().view(np.uint64)
+    ready = np.sort(most)
     mixer.ready = ready, mixer.bits_of(ready)
-    return mixer
+    return mixer, away
+
+
+def unpacked(counts: np.ndarray) -> np.ndarray:
+    return np.frombuffer(b"".join(counts), np.float32).reshape(-1, 16)
 
 
 def scores(docs: DataFrame, fold=None) -> DataFrame:
@@ -379,13 +466,17 @@ def scores(docs: DataFrame, fold=None) -> DataFrame:
     frequent = top.toArrow()
     keys = frequent.column("word").to_numpy().astype(np.int64).view(np.uint64)
     rank = np.argsort(keys)
-    shared = spark.sparkContext.broadcast((train(learned), keys[rank], np.log10(frequent.column("n").to_numpy().astype(float) + 1)[rank]))
+    mixer, away = trained(docs.select("text", (F.lit(True) if fold is None else fold).alias("learned")))
+    shared = spark.sparkContext.broadcast((mixer, keys[rank], np.log10(frequent.column("n").to_numpy().astype(float) + 1)[rank]))
 
     def scored(batches):
         mixer, known, logs = shared.value
         for batch in batches:
             texts = lowered(batch.column(1).cast(pa.binary()).to_pylist())
-            bits = np.concatenate([mixer.bits(texts[a:b]) for a, b in runs(texts)]) if texts else np.empty(0)
+            parts = [mixer.known_bits(texts[a:b]) for a, b in runs(texts)]
+            bits = np.concatenate([np.empty(0), *[p[0] for p in parts]])
+            others, sizes = np.concatenate([np.empty(0, np.uint64), *[p[1] for p in parts]]), np.concatenate([np.empty(0, int), *[np.diff(p[2], prepend=0) for p in parts]])
+            strange = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32)), pa.array(others.view(np.int64)))
             tokens, found, base, rare = [], [], [], []
             for text in texts:
                 own = text.split()
@@ -403,16 +494,19 @@ def scores(docs: DataFrame, fold=None) -> DataFrame:
             ends = np.r_[0, np.cumsum([len(x) for x in rare])].astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(rare) if rare else np.empty(0, np.int64)))
             size_ = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(tokens, pa.int64()), pa.array(found, pa.int64()), pa.array(base, pa.float64()), pa.array(bits), pa.array(bits / size_), lists], ["doc_id", "n_tokens", "found", "base", "bits", "bits_per_byte", "rare"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(tokens, pa.int64()), pa.array(found, pa.int64()), pa.array(base, pa.float64()), pa.array(bits), pa.array(size_), lists, strange], ["doc_id", "n_tokens", "found", "base", "bits", "size", "rare", "strange"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, n_tokens long, found long, base double, bits double, bits_per_byte double, rare array<long>"
+    schema = f"doc_id {kind}, n_tokens long, found long, base double, bits double, size long, rare array<long>, strange array<long>"
     rows = settled(docs.select("doc_id", "text").mapInArrow(scored, schema).withColumn("row", F.monotonically_increasing_id()), "scored")
     rare = rows.select("row", F.explode("rare").alias("word")).groupBy("row", "word").agg(F.count(F.lit(1)).alias("times"))
     more = rare.join(words, "word").groupBy("row").agg(F.sum(F.col("times") * F.log10(F.col("n") + 1.0)).alias("more"), F.sum("times").alias("times"))
-    out = rows.drop("rare").join(more, "row", "left")
+    strange = rows.select("row", F.explode("strange").alias("key")).groupBy("row", "key").agg(F.count(F.lit(1)).alias("times"))
+    rest = strange.join(away, "key").groupBy("row").agg(F.sum(F.col("times") * F.col("bits").cast("double")).alias("rest"))
+    out = rows.drop("rare", "strange").join(more, "row", "left").join(rest, "row", "left")
+    bits = F.col("bits") + F.coalesce("rest", F.lit(0.0))
     base = F.col("base") + F.coalesce("more", F.lit(0.0)) - F.col("n_tokens") * F.lit(below)
-    return out.select("doc_id", "n_tokens", (F.col("found") + F.coalesce("times", F.lit(0))).alias("n_known"), F.lit(size["n"]).cast("long").alias("train_tokens"), base.alias("base_score"), (F.col("bits") * F.lit(-float(np.log10(2)))).alias("score"), "bits_per_byte")
+    return out.select("doc_id", "n_tokens", (F.col("found") + F.coalesce("times", F.lit(0))).alias("n_known"), F.lit(size["n"]).cast("long").alias("train_tokens"), base.alias("base_score"), (bits * F.lit(-float(np.log10(2)))).alias("score"), (bits / F.col("size")).alias("bits_per_byte"))
 
 
 def op8_lm(spark, sf_dir: str) -> DataFrame:

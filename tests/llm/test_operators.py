@@ -360,3 +360,16 @@ def test_slot_counts_add_up():
         found = pd.concat([b.to_pandas() for t in tasks for b in lm._word_slots(t)])
         totals.append(found.groupby("slot")[["zeros", "ones"]].sum())
     assert totals[0].equals(totals[1])
+
+
+def test_language_model_keeps_all_words(spark, monkeypatch):
+    """Scores are the same however few word starts stand in each task, and a word seen once helps where it is repeated."""
+    once = "zyxwvutsrq"
+    texts = [" ".join(f"w{(i * j) % 37}x{j % 5}" for j in range(30)) for i in range(60)] + [f"w1x1 {once}", None, ""]
+    docs = spark.createDataFrame([*[(i, t) for i, t in enumerate(texts)], (100, once), (101, "srqzyxwvut")], "doc_id long, text string")
+    found = []
+    for most in (2_000_000, 40):
+        monkeypatch.setattr(lm, "SPARSE", most)
+        found.append({r["doc_id"]: r["score"] for r in lm.scores(docs, F.col("doc_id") < 100).collect()})
+    assert len(found[0]) == docs.count() and np.allclose([found[0][i] for i in sorted(found[0])], [found[1][i] for i in sorted(found[0])], rtol=1e-3)
+    assert found[1][100] > found[1][101]
