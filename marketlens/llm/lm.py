@@ -6,7 +6,8 @@ often the predictor's own slot, and that of the word predictor, was seen. The we
 of the corpus's strings, each string leaving out one occurrence of what it predicts; Newton steps reach them, each from
 sums that tasks make of their strings. A refinement table, adapted to the mixture's own calibration by node of
 the decision tree, is averaged in last. Training reads the text once: tasks count strings of 5 bytes with their word's start, one sum by key makes
-the corpus table, and tables, weights and refinement come from that table, whatever its size.
+the corpus table, and tables, weights and refinement come from that table, whatever its size. The word predictor's slots
+of the most frequent word starts stand in each task; strings of all other word starts are joined by key.
 
 The base sums log10((c + 1) / (N + V + 1)) over words and the end mark. Counts of the most frequent words are a
 broadcast of bounded size; what a document has besides them is joined by key.
@@ -17,6 +18,7 @@ rows count and score each; columns other than doc_id and text are never read.
 
 from __future__ import annotations
 
+import gc
 from collections import Counter
 from copy import copy
 
@@ -45,7 +47,7 @@ INVERSE = pow(FACTOR, -1, 1 << 64)
 #: Steps of confidence of the gate, and steps of the refinement.
 GATES, BUCKETS = 20, 33
 #: First weights, the pull towards them, the share of the loss that a Newton step must promise to be made, steps at
-#: most (4 are usual), strings that a task works on at once, and strings whose weights the steps over all start from.
+#: most, strings that a task works on at once, and strings whose weights the steps over all start from.
 FIRST, PULL, CLOSE, MOST_STEPS, STEP_ROWS, START_STRINGS = 0.3, 50.0, 1e-3, 20, 4096, 200_000
 #: Pairs of predictors, for the curvature.
 PAIRS = [(a, b) for b in range(ORDERS) for a in range(b + 1)]
@@ -275,7 +277,7 @@ class Mixer:
         total = np.zeros(odds.shape[1:])
         for order in range(ORDERS):
             total += self.weights[order][gate[order]] * odds[order]
-        return np.clip(total, -16, 16)
+        return total
 
     def statistics(self, keys: np.ndarray, n: np.ndarray, rare: np.ndarray | None = None) -> np.ndarray:
         """What a Newton step and the refinement need of strings, weighted by their counts, as one array that adds up:
@@ -286,15 +288,16 @@ class Mixer:
             odds, gate, bit, node = self.inputs(keys[i : i + STEP_ROWS], n[i : i + STEP_ROWS], None if rare is None else rare[i : i + STEP_ROWS])
             weight = np.broadcast_to(n[i : i + STEP_ROWS, None].astype(float), bit.shape)
             x = self.mixed(odds, gate)
-            p = 1 / (1 + np.exp(-x))
+            p = 1 / (1 + np.exp(-np.clip(x, -500, 500)))
             loss += (weight * np.logaddexp(0, np.where(bit == 1, -x, x))).sum()
-            error, bent = weight * (bit - p), weight * p * (1 - p)
+            # Where the guess is far off, the curvature alone is near 0 and would let a step go far beyond.
+            error, bent = weight * (bit - p), weight * np.maximum(p * (1 - p), np.abs(bit - p) / 2)
             for order in range(ORDERS):
                 gradient[order] += np.bincount(gate[order].ravel(), (error * odds[order]).ravel(), GATES * GATES)
             for k, (one, other) in enumerate(PAIRS):
                 at = gate[one].astype(np.int64) % GATES * GATES**2 + gate[other]
                 curvature[k] += np.bincount(at.ravel(), (bent * odds[one] * odds[other]).ravel(), GATES**3)
-            at = np.rint((x + 16) * (BUCKETS - 1) / 32).astype(np.int64) * 256 + node
+            at = np.rint((np.clip(x, -16, 16) + 16) * (BUCKETS - 1) / 32).astype(np.int64) * 256 + node
             for v in (0, 1):
                 cells[v] += np.bincount(at.ravel(), (weight * (bit == v)).ravel(), BUCKETS * 256)
         return np.concatenate([loss, gradient.ravel(), curvature.ravel(), cells.ravel()])
@@ -333,7 +336,7 @@ class Mixer:
     def probability(self, keys: np.ndarray, rare: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Probability of a one for each decision, and the decision's value."""
         odds, gate, bit, node = self.inputs(keys, None, rare)
-        x = self.mixed(odds, gate)
+        x = np.clip(self.mixed(odds, gate), -16, 16)
         p = 1 / (1 + np.exp(-x))
         if self.refined is not None:
             at = np.clip((x + 16) * (BUCKETS - 1) / 32, 0, BUCKETS - 1.001)
@@ -412,6 +415,7 @@ def trained(texts: DataFrame) -> tuple[Mixer, DataFrame]:
     # The other word starts: their strings, learned or not, come together, each with its counts.
     others = every.withColumn("word", word).join(F.broadcast(chosen), "word", "left_anti")
     rare = settled(others.repartition("word").sortWithinPartitions("word").select("key", "n").mapInArrow(_rare_counts, "key long, n long, counts binary"), "rare")
+    freed(spark)
     here = every.withColumn("word", word).join(F.broadcast(chosen), "word", "left_semi").where("n > 0").select("key", "n")
     shared = spark.sparkContext.broadcast(mixer)
 
@@ -450,6 +454,12 @@ def trained(texts: DataFrame) -> tuple[Mixer, DataFrame]:
     return mixer, away
 
 
+def freed(spark) -> None:
+    """Let Spark delete the shuffle files of tables that are settled: it does so when the driver collects garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def unpacked(counts: np.ndarray) -> np.ndarray:
     return np.frombuffer(b"".join(counts), np.float32).reshape(-1, 16)
 
@@ -467,6 +477,7 @@ def scores(docs: DataFrame, fold=None) -> DataFrame:
     keys = frequent.column("word").to_numpy().astype(np.int64).view(np.uint64)
     rank = np.argsort(keys)
     mixer, away = trained(docs.select("text", (F.lit(True) if fold is None else fold).alias("learned")))
+    freed(spark)
     shared = spark.sparkContext.broadcast((mixer, keys[rank], np.log10(frequent.column("n").to_numpy().astype(float) + 1)[rank]))
 
     def scored(batches):
@@ -501,8 +512,8 @@ def scores(docs: DataFrame, fold=None) -> DataFrame:
     rows = settled(docs.select("doc_id", "text").mapInArrow(scored, schema).withColumn("row", F.monotonically_increasing_id()), "scored")
     rare = rows.select("row", F.explode("rare").alias("word")).groupBy("row", "word").agg(F.count(F.lit(1)).alias("times"))
     more = rare.join(words, "word").groupBy("row").agg(F.sum(F.col("times") * F.log10(F.col("n") + 1.0)).alias("more"), F.sum("times").alias("times"))
-    strange = rows.select("row", F.explode("strange").alias("key")).groupBy("row", "key").agg(F.count(F.lit(1)).alias("times"))
-    rest = strange.join(away, "key").groupBy("row").agg(F.sum(F.col("times") * F.col("bits").cast("double")).alias("rest"))
+    strange = rows.select("row", F.explode("strange").alias("key"))
+    rest = strange.join(away.withColumnRenamed("bits", "cost"), "key").groupBy("row").agg(F.sum(F.col("cost").cast("double")).alias("rest"))
     out = rows.drop("rare", "strange").join(more, "row", "left").join(rest, "row", "left")
     bits = F.col("bits") + F.coalesce("rest", F.lit(0.0))
     base = F.col("base") + F.coalesce("more", F.lit(0.0)) - F.col("n_tokens") * F.lit(below)

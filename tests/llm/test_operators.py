@@ -343,6 +343,19 @@ def test_unseen_words_are_no_word_starts(spark):
     assert np.allclose(model.bits(texts), [model.bits_of(lm.strings([t])[0]).sum() for t in texts], rtol=1e-5)
 
 
+def test_newton_steps_end(spark, sf_dir, monkeypatch):
+    """The steps lower the loss each time and end by themselves, long before MOST_STEPS."""
+    losses, fit = [], lm.Mixer.fit
+
+    def traced(self, summed):
+        losses.append([])
+        fit(self, lambda weights: (found := summed(weights), losses[-1].append(found[0]))[0])
+
+    monkeypatch.setattr(lm.Mixer, "fit", traced)
+    lm.train(spark.read.parquet(f"{sf_dir}/documents.parquet").select("text"))
+    assert all(len(x) <= lm.MOST_STEPS // 2 and all(b <= a * 1.001 for a, b in itertools.pairwise(x)) for x in losses)
+
+
 def test_slot_counts_beyond_32_bits():
     """Counts of slots are long, as the start of a word meets more than 2**31 words."""
     rows = pa.RecordBatch.from_pydict({"key": np.array([97], np.int64), "n": np.array([3 << 31], np.int64)})
