@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 import numpy as np
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,9 +21,11 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; a temporary one only where it is unset (tests)."""
+    """The folder that the cluster names in spark.checkpoint.dir; a temporary one only where it is unset and all is one machine."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -40,6 +43,37 @@ def settled(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Columns that tell rows apart where ids repeat or are null; input columns of these names are replaced.
+FILE, ROW = "__row_file", "__row_place"
+#: Bits of a sieve, and of one of its words.
+SIEVE_BITS, WORD_BITS = 26, 6
+
+
+def with_rows(df: DataFrame) -> DataFrame:
+    """df with FILE and ROW, which stay the same however often df is computed.
+
+    Rows of files are known by file and place there; any other table is written to the shared folder first.
+    """
+    df = df.drop(FILE, ROW)
+    try:
+        return df.select("*", F.xxhash64("_metadata.file_path").alias(FILE), F.col("_metadata.row_index").alias(ROW))
+    except AnalysisException:
+        return settled(df.withColumns({FILE: F.lit(0).cast("long"), ROW: F.monotonically_increasing_id()}), "rows")
+
+
+def sieved(rows: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
+    """The rows of ``rows`` whose columns ``on`` are in keys.
+
+    A bitmap of hashed keys goes first, so that few other rows are shuffled: it is broadcast as at most 2**20 words,
+    whatever the number of keys. The join after it is exact.
+    """
+    place = F.shiftrightunsigned(F.xxhash64(*on), 64 - SIEVE_BITS)
+    word, bit = F.shiftright(place, WORD_BITS), F.shiftleft(F.lit(1).cast("long"), place.bitwiseAND((1 << WORD_BITS) - 1).cast("int"))
+    marks = settled(keys.groupBy(word.alias("__word")).agg(F.bit_or(bit).alias("__bits")), "sieve")
+    held = rows.withColumn("__at", word).join(F.broadcast(marks), F.col("__at") == F.col("__word")).where(F.col("__bits").bitwiseAND(bit) != 0)
+    return held.drop("__at", "__word", "__bits").join(keys.select(*on).distinct(), on, "left_semi").select(*rows.columns)
+
+
 def by_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
     """Keep Arrow batches of texts small; a smaller setting of the session stays."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"

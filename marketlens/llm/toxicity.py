@@ -1,11 +1,14 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
-Five small transducers (insult, threat, target, negation, reported speech) read the word classes of a clause and are
-composed into one machine: states multiply, output weights multiply. A document's evidence is the sum of its matched
-clauses, not of isolated words; a clause without an insult or threat matches nothing. Words of the insult class and
-their weights are learned from labelled rows (log odds of the documents that have the word, of all labelled rows of the
-training folds); other classes are fixed lists. The evidence becomes a probability by logistic regression, fitted on
-a table of counts by grid cell, which has a bounded number of cells whatever the number of rows.
+Five transducers (insult, threat, target, negation, reported speech) read the word classes of a clause and are composed
+into one machine: states multiply; what insult, threat and target machines emit adds up, what the others say about it
+multiplies. A target counts before an insult and after it. A document's evidence is the sum of its matched clauses, not
+of isolated words; a clause without an insult or threat matches nothing. Words of the insult class and their weights
+are learned from labelled rows (log odds of the documents that have the word) by a statistical threshold alone; other
+classes are fixed lists. The evidence becomes a probability by logistic regression over grid cells.
+
+Words and regression are fitted on at most TRAIN_ROWS labelled documents, those of the smallest hashes; they are written
+once, so that fitting reads a table of bounded size, and all documents are scored in one pass without any shuffle.
 
 Defined cases: null and empty texts have no clause and get the score of a document without any; null labels and labels
 of absent documents are ignored; several labels of one document count as their mean, rounded up; without any training
@@ -17,9 +20,11 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from collections.abc import Iterator
 from itertools import product
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,12 +33,20 @@ from .common import by_batches, crc_of_id, load, settled
 
 #: Held-out fold of the labels.
 FOLDS, HELD_OUT = 5, 0
-#: Size of the learned part of the lexicon, and the likelihood-ratio statistic that a word must reach.
-LEXICON, LEAST_G2 = 5000, 24.0
+#: Labelled documents that the classifier is fitted on at most.
+TRAIN_ROWS = 100_000
+#: Likelihood-ratio statistic that a word must reach to be learned.
+LEAST_G2 = 24.0
 #: Partial word counts that a task holds before it passes them on.
 HELD_WORDS = 200_000
 #: Weight of a listed word that training has not seen, and least weight of a word to be of the insult class.
 UNSEEN_WEIGHT, LEAST_WEIGHT = 2.0, 1.0
+#: Weight of a target that follows an insult or threat.
+TARGET_WEIGHT = 1.0
+#: Factors: of a second insult in a clause, of a threat, of a target before, of negation and reported speech before; and
+#: the words that each of the last three and a target after reach.
+SECOND, THREATENS, AIMED, DENIED, QUOTED = 1.2, 1.3, 1.4, 0.3, 0.5
+TARGET_REACH, NOT_REACH, SAYS_REACH, AFTER_REACH = 6, 3, 12, 4
 
 # Word lists of the classes, and clause ends.
 INSULT = "idiot moron stupid loser scum trash pathetic worthless disgusting clown imbecile dumb fool idiota estúpido imbécil basura idiotisch dumm abschaum versager stupide crétin ordure".split()
@@ -47,49 +60,66 @@ OTHER, BAD, DANGER, WHOM, NOT, SAYS = range(6)
 
 
 class Machine:
-    """Deterministic transducer: step[state][symbol] = (next state, factor of the weight that the symbol emits)."""
+    """Deterministic transducer: step[state][symbol] = (next state, what it emits, factor of what all emit)."""
 
-    def __init__(self, step: list[list[tuple[int, float]]]):
+    def __init__(self, step: list[list[tuple[int, float, float]]]):
         self.step = step
 
     def __matmul__(self, other: Machine) -> Machine:
-        """Composition on a shared input: product states, product factors."""
+        """Composition on a shared input: product states, emissions added, factors multiplied."""
         wide = len(other.step)
         step = []
         for p, q in product(range(len(self.step)), range(wide)):
             pairs = zip(self.step[p], other.step[q], strict=True)
-            step.append([(a * wide + b, f * g) for (a, f), (b, g) in pairs])
+            step.append([(a * wide + b, d + e, f * g) for (a, d, f), (b, e, g) in pairs])
         return Machine(step)
 
+    def outputs(self) -> list[list[tuple[int, float]]]:
+        """step as (next state, output of a word of weight 1)."""
+        return [[(a, e * f) for a, e, f in row] for row in self.step]
+
+
+def insults(symbol: int, factor: float) -> Machine:
+    """A word of the class emits, a second one of a clause more than the first; other words emit nothing."""
+    step = [[(0, 0.0, 1.0)] * 6, [(1, 0.0, 1.0)] * 6]
+    step[0][symbol], step[1][symbol] = (1, factor, 1.0), (1, factor * SECOND, 1.0)
+    return Machine(step)
+
 
 def within(symbol: int, reach: int, factor: float) -> Machine:
-    """After symbol, the next reach words' weights are multiplied by factor."""
+    """After symbol, what the next reach words emit is multiplied by factor."""
     step = []
     for state in range(reach + 1):
-        row = [(max(0, state - 1), factor if state else 1.0)] * 6
-        row[symbol] = (reach, 1.0)
+        row = [(max(0, state - 1), 0.0, factor if state else 1.0)] * 6
+        row[symbol] = (reach, 0.0, factor if state else 1.0)
         step.append(row)
     return Machine(step)
 
 
-def emitting() -> Machine:
-    """Insults and threats emit their weight, a second one of a clause more than the first; other words emit nothing."""
-    step = [[(0, 0.0)] * 6, [(1, 0.0)] * 6]
-    for state, factor in ((0, 1.0), (1, 1.2)):
-        step[state][BAD], step[state][DANGER] = (1, factor), (1, 1.3 * factor)
-    return Machine(step)
+def targets() -> Machine:
+    """Targets raise what is emitted within TARGET_REACH words, and emit themselves within AFTER_REACH words of an insult or threat."""
+    before = within(WHOM, TARGET_REACH, AIMED)
+    after = []
+    for state in range(AFTER_REACH + 1):
+        row = [(max(0, state - 1), 0.0, 1.0)] * 6
+        row[BAD] = row[DANGER] = (AFTER_REACH, 0.0, 1.0)
+        row[WHOM] = (max(0, state - 1), float(state > 0), 1.0)
+        after.append(row)
+    for row in before.step:  # a target's own output is not raised by a target before it
+        row[WHOM] = (row[WHOM][0], 0.0, 1.0)
+    return before @ Machine(after)
 
 
-def grammar() -> Machine:
-    """A target before raises, negation before lowers, reported speech before halves what is emitted."""
-    return emitting() @ within(WHOM, 6, 1.4) @ within(NOT, 3, 0.3) @ within(SAYS, 12, 0.5)
+def grammar() -> list[list[tuple[int, float]]]:
+    """The five machines as one."""
+    return (insults(BAD, 1.0) @ insults(DANGER, THREATENS) @ targets() @ within(NOT, NOT_REACH, DENIED) @ within(SAYS, SAYS_REACH, QUOTED)).outputs()
 
 
 def classes_of(weights: dict[str, float]) -> dict[str, tuple[int, float]]:
     """word -> (class, weight) of the whole lexicon; learned weights hold over the lists' default."""
     out = {}
-    for words, kind in ((TARGET, WHOM), (NEGATION, NOT), (REPORTED, SAYS)):
-        out |= dict.fromkeys(words, (kind, 0.0))
+    for words, kind, weight in ((TARGET, WHOM, TARGET_WEIGHT), (NEGATION, NOT, 0.0), (REPORTED, SAYS, 0.0)):
+        out |= dict.fromkeys(words, (kind, weight))
     out |= {w: (BAD, v) for w, v in weights.items() if v >= LEAST_WEIGHT and w not in out}
     for words, kind in ((INSULT, BAD), (THREAT, DANGER)):
         for w in words:
@@ -98,10 +128,10 @@ def classes_of(weights: dict[str, float]) -> dict[str, tuple[int, float]]:
     return out
 
 
-def clauses(tokens: list[str], lexicon: dict, machine: Machine) -> list[float]:
+def clauses(tokens: list[str], lexicon: dict, step: list) -> list[float]:
     """Weights of the matched clauses of a lower-cased token list."""
     found, total, state = [], 0.0, 0
-    get, step = lexicon.get, machine.step
+    get = lexicon.get
     for token in tokens:
         hit = get(token)
         if hit is None:
@@ -140,7 +170,7 @@ def _word_counts(batches):
 
 
 def learn_words(labelled: DataFrame) -> dict[str, float]:
-    """Learned weights by word from (text, toxic): at most LEXICON words come to the driver."""
+    """Learned weights by word from (text, toxic), a table of at most TRAIN_ROWS rows."""
     counts = labelled.select("text", "toxic").mapInArrow(_word_counts, "word string, toxic long, clean long").groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     counts = settled(counts.where("toxic > 0"), "toxic-words")
     total = counts.where("word = ''").first()
@@ -153,32 +183,30 @@ def learn_words(labelled: DataFrame) -> dict[str, float]:
     weight = F.log((a + 0.5) / (n1 + 1.0)) - F.log((b + 0.5) / (n0 + 1.0))
     known = counts.where("word <> ''").select("word", weight.alias("weight"), (2 * (part(a, n1) + part(b, n0))).alias("g2"))
     listed = known.where(F.col("word").isin(INSULT + THREAT)).select("word", "weight").collect()
-    found = known.where((F.col("g2") >= LEAST_G2) & (F.col("weight") >= LEAST_WEIGHT)).orderBy(F.desc("g2"), "word").limit(LEXICON).select("word", "weight").collect()
+    found = known.where((F.col("g2") >= LEAST_G2) & (F.col("weight") >= LEAST_WEIGHT)).select("word", "weight").collect()
     return {r["word"]: r["weight"] for r in [*listed, *found]}
 
 
-def evidence(docs: DataFrame, weights: dict[str, float]) -> DataFrame:
-    """(doc_id, words, matched, most, total): words and matched clauses of each row's whole text, and their weights."""
-    lexicon, machine = classes_of(weights), grammar()
+def scanner(weights: dict[str, float]):
+    """The function texts -> (words, matched clauses, greatest clause, sum of clauses), each a list."""
+    lexicon, step = classes_of(weights), grammar()
     bad = frozenset(w for w, (kind, _) in lexicon.items() if kind in (BAD, DANGER))
 
-    def scan(batches):
-        for batch in batches:
-            rows = []
-            for text in batch.column(1).to_pylist():
-                tokens = TOKEN.findall((text or "").lower())
-                found = [] if bad.isdisjoint(tokens) else clauses(tokens, lexicon, machine)
-                rows.append((len(tokens), len(found), max(found, default=0.0), sum(found)))
-            n, m, most, total = zip(*rows, strict=True) if rows else ((), (), (), ())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(m, pa.int64()), pa.array(most, pa.float64()), pa.array(total, pa.float64())], ["doc_id", "words", "matched", "most", "total"])
+    def scan(texts: list[str | None]):
+        rows = []
+        for text in texts:
+            tokens = TOKEN.findall((text or "").lower())
+            found = [] if bad.isdisjoint(tokens) else clauses(tokens, lexicon, step)
+            rows.append((len(tokens), len(found), max(found, default=0.0), sum(found)))
+        return list(zip(*rows, strict=True)) if rows else [()] * 4
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(scan, f"doc_id {kind}, words long, matched long, most double, total double")
+    return scan
 
 
-def features(total, words):
-    """Evidence and evidence per hundred words, on a grid; works on columns."""
-    return F.floor(F.least(F.log1p(total), F.lit(6.0)) * 8) / 8, F.floor(F.least(F.log1p(100 * total / F.greatest(words, F.lit(1))), F.lit(6.0)) * 8) / 8
+def features(total, words) -> tuple[np.ndarray, np.ndarray]:
+    """Evidence and evidence per hundred words, on a grid."""
+    total, words = np.asarray(total, float), np.asarray(words, float)
+    return tuple(np.floor(np.minimum(np.log1p(x), 6.0) * 8) / 8 for x in (total, 100 * total / np.maximum(words, 1)))
 
 
 def fitted(cells: list[tuple[float, float, int, int]]) -> np.ndarray:
@@ -197,26 +225,77 @@ def fitted(cells: list[tuple[float, float, int, int]]) -> np.ndarray:
     return w
 
 
+class Model:
+    """Learned weights of words and coefficients of the regression."""
+
+    def __init__(self, weights: dict[str, float], coefficients: np.ndarray):
+        self.weights, self.coefficients = weights, coefficients
+
+    def scores(self):
+        """The function texts -> (score, matched clauses, evidence)."""
+        scan, w = scanner(self.weights), self.coefficients
+
+        def score(texts):
+            words, matched, _, total = scan(texts)
+            x1, x2 = features(total, words)
+            return 1 / (1 + np.exp(-(w[0] + w[1] * x1 + w[2] * x2))), np.array(matched, np.int64), np.array(total, np.float64)
+
+        return score
+
+
+def train(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> Model:
+    """The model of the labelled rows outside the held-out fold: the most of smallest hash, by document."""
+    held = crc_of_id(F.col("doc_id"), FOLDS) == HELD_OUT
+    known = labels.where("toxic is not null and doc_id is not null").where(~held).groupBy("doc_id").agg(F.when(F.avg("toxic") >= 0.5, 1).otherwise(0).alias("toxic"))
+    known = settled(known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most), "known")
+    # At most `most` ids of bounded size are broadcast; a document's repeated rows with them are cut at the same bound.
+    labelled = settled(docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").select("text", "toxic").limit(most), "labelled")
+    weights = learn_words(labelled)
+    scan = scanner(weights)
+
+    def cells(batches):
+        for batch in batches:
+            words, _, _, total = scan(batch.column(0).to_pylist())
+            x1, x2 = features(total, words)
+            yield pa.RecordBatch.from_arrays([pa.array(x1), pa.array(x2), batch.column(1).cast(pa.int64())], ["x1", "x2", "toxic"])
+
+    found = labelled.mapInArrow(cells, "x1 double, x2 double, toxic long").groupBy("x1", "x2").agg(F.sum(1 - F.col("toxic")).alias("clean"), F.sum("toxic").alias("toxic"))
+    return Model(weights, fitted([tuple(r) for r in found.collect()]))  # at most 49 x 49 cells
+
+
+def scored_by(model: Model, docs: DataFrame) -> DataFrame:
+    """(doc_id, score, matched, evidence) for every row of docs, in one pass."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def scan(batches):
+        score = shared.value.scores()
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, score(batch.column(1).to_pylist()))], ["doc_id", "score", "matched", "evidence"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", "text").mapInArrow(scan, f"doc_id {kind}, score double, matched long, evidence double")
+
+
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, held_out, score, predicted, matched, evidence) for every row of docs; labels has (doc_id, toxic)."""
     by_batches(docs.sparkSession)
     held = crc_of_id(F.col("doc_id"), FOLDS) == HELD_OUT
-    known = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.when(F.avg("toxic") >= 0.5, 1).otherwise(0).alias("toxic"))
-    known = known.where(~held)
-    labelled = docs.select("doc_id", "text").join(known, "doc_id")
-    found = settled(evidence(docs, learn_words(labelled)), "clauses")
-    x1, x2 = features(F.col("total"), F.col("words"))
-    cells = found.join(known, "doc_id").groupBy(x1.alias("x1"), x2.alias("x2")).agg(F.sum(1 - F.col("toxic")).alias("clean"), F.sum("toxic").alias("toxic"))
-    w = fitted([tuple(r) for r in cells.collect()])  # at most 49 x 49 cells
-    raw = F.lit(float(w[0])) + F.lit(float(w[1])) * x1 + F.lit(float(w[2])) * x2
-    out = found.select("doc_id", held.alias("held_out"), (1 / (1 + F.exp(-raw))).alias("score"), "matched", F.col("total").alias("evidence"))
-    return out.select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "matched", "evidence")
+    found = scored_by(train(docs, labels), docs)
+    return found.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "matched", "evidence")
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of docs that are not predicted toxic."""
-    bad = toxicity(docs, labels).where("predicted = 1").select("doc_id").distinct()
-    return docs.join(bad, "doc_id", "left_anti").select(*docs.columns)
+    """The rows of docs that are not predicted toxic; each row is judged by its own text, whatever its id."""
+    by_batches(docs.sparkSession)
+    shared = docs.sparkSession.sparkContext.broadcast(train(docs, labels))
+
+    @F.pandas_udf("double")
+    def score(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        judge = shared.value.scores()
+        for texts in parts:
+            yield pd.Series(judge(texts.tolist())[0])
+
+    return docs.where(score("text") < 0.5)
 
 
 def op4_toxicity(spark, sf_dir: str) -> DataFrame:

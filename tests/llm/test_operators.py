@@ -3,6 +3,7 @@
 import itertools
 import zlib
 
+import duckdb
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -167,11 +168,55 @@ def test_toxicity_held_out(spark, sf_dir):
     assert (held[~insulted].predicted == 0).all()
 
 
+def clauses_by_rule(tokens, lexicon):
+    """Weights of the matched clauses by looking back from each word, without machines."""
+    t = toxicity
+    found = []
+    for clause in "\n".join(x if x[0] not in ".!?;\n" else "\n" for x in tokens).split("\n\n"):
+        kinds = [lexicon.get(w, (t.OTHER, 0.0)) for w in clause.split("\n") if w]
+        kind = [k for k, _ in kinds]
+        total = 0.0
+        for i, (k, weight) in enumerate(kinds):
+            says, no = t.SAYS in kind[max(0, i - t.SAYS_REACH) : i], t.NOT in kind[max(0, i - t.NOT_REACH) : i]
+            calm = (t.QUOTED if says else 1) * (t.DENIED if no else 1)
+            if k in (t.BAD, t.DANGER):
+                aimed = t.AIMED if t.WHOM in kind[max(0, i - t.TARGET_REACH) : i] else 1
+                total += weight * (t.THREATENS if k == t.DANGER else 1) * (t.SECOND if k in kind[:i] else 1) * aimed * calm
+            elif k == t.WHOM and {t.BAD, t.DANGER} & set(kind[max(0, i - t.AFTER_REACH) : i]):
+                total += weight * calm
+        if total:
+            found.append(total)
+    return found
+
+
+def test_toxicity_by_force(spark, sf_dir):
+    """Every score equals that of rules applied word by word, with the fitted model."""
+    docs, labels = (spark.read.parquet(f"{sf_dir}/{x}.parquet") for x in ("documents", "labels"))
+    model = toxicity.train(docs, labels)
+    lexicon, w = toxicity.classes_of(model.weights), model.coefficients
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    scores = {r["doc_id"]: r["score"] for r in toxicity.scored_by(model, docs).collect()}
+    extra = ["idiot, you", "you said he is not an idiot. kill them", "you you kill the idiot you", "he said: you moron"]
+    for text, score in [*((texts[i], scores[i]) for i in texts), *zip(extra, model.scores()(extra)[0], strict=True)]:
+        tokens = toxicity.TOKEN.findall((text or "").lower())
+        total = sum(clauses_by_rule(tokens, lexicon))
+        x = [np.floor(min(np.log1p(v), 6) * 8) / 8 for v in (total, 100 * total / max(1, len(tokens)))]
+        assert np.isclose(score, 1 / (1 + np.exp(-(w[0] + w[1] * x[0] + w[2] * x[1]))), atol=1e-6)
+
+
+def test_few_labelled_rows_are_enough(spark, sf_dir):
+    """The bound on labelled rows holds, and the same rows are drawn each time."""
+    docs, labels = (spark.read.parquet(f"{sf_dir}/{x}.parquet") for x in ("documents", "labels"))
+    one, two = (toxicity.train(docs, labels.repartition(n), 40) for n in (1, 5))
+    assert one.weights == two.weights and np.allclose(one.coefficients, two.coefficients)
+
+
 def test_toxic_clauses():
     lexicon, machine = toxicity.classes_of({"idiot": 4.0}), toxicity.grammar()
     weigh = lambda t: sum(toxicity.clauses(toxicity.TOKEN.findall(t.lower()), lexicon, machine))
     assert weigh("you idiot") > weigh("an idiot") > weigh("he said an idiot") > weigh("he said not an idiot") > 0
-    assert weigh("nothing here. at all") == 0
+    assert weigh("idiot, you") > weigh("idiot")
+    assert weigh("nothing here. at all") == weigh("you there") == 0
     assert weigh("idiot. idiot") < weigh("idiot idiot")
 
 
@@ -209,17 +254,55 @@ def test_language_of_odd_rows(odd, none):
     assert langid.with_known_language(none).count() == 0
 
 
+def filled(sizes):
+    """Targets by water-filling in rounds, for source -> words: the independent way to mixing.targets."""
+    weights = dict(zip(sorted(sizes), itertools.cycle((5.0, 2.0, 1.0)), strict=False))
+    found, open_, left = {}, set(sizes), float(sum(sizes.values()))
+    while open_:
+        level = left / sum(weights[s] for s in open_)
+        over = {s for s in open_ if 3 * sizes[s] < weights[s] * level}
+        if not over:
+            return found | {s: weights[s] * level for s in open_}
+        found |= {s: 3.0 * sizes[s] for s in over}
+        left -= sum(3 * sizes[s] for s in over)
+        open_ -= over
+    return found
+
+
 def test_mixing(spark, sf_dir, documents):
     found = mixing.op6_mixing(spark, sf_dir).toPandas().merge(documents[["doc_id", "source"]], on="doc_id")
     assert (found.taken <= 3 * found["size"]).all() and (found.taken % found["size"].clip(lower=1) == 0).all()
-    for _, own in found.groupby("source"):
+    expected = filled(found.groupby("source")["size"].sum().to_dict())
+    for source, own in found.groupby("source"):
+        assert np.allclose(own.target, expected[source], atol=1e-3)
         assert abs(own.taken.sum() - own.target.iloc[0]) <= 3 * own["size"].max()
 
 
-def test_mixing_of_odd_rows(odd, none):
+@pytest.mark.parametrize("sizes", [{"a": 1000, "b": 1000, "c": 1000, "d": 1000}, {"a": 500, "b": 200}, {"a": 50, "b": 20, "c": 10, "d": 50, "e": 0}, {"a": 10, "b": 1000, "c": 1000, "d": 10}])
+def test_mixing_of_equal_ratios(spark, duck, sizes):
+    """Sources of equal cap to weight: targets by water-filling, in Spark and in SQL, and they sum to all words."""
+    rows = [(k * 10_000 + i, s, "w " * 10) for k, (s, n) in enumerate(sorted(sizes.items())) for i in range(n // 10)] + [(99, "e", "")] * ("e" in sizes)
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    found = mixing.mix(docs).toPandas()
+    expected = filled(sizes)
+    assert np.allclose(found.target, found.source.map(expected)) and (found.taken <= 3 * found["size"]).all()
+    assert np.isclose(sum(expected.values()), sum(sizes.values()))
+    for source, own in found.groupby("source"):
+        assert abs(own.taken.sum() - expected[source]) <= 30
+    own = duckdb.connect()
+    own.register("documents", pd.DataFrame(rows, columns=["doc_id", "source", "text"]))
+    sql = own.sql(mixing.OP6_SQL).df()
+    assert sorted(zip(sql.doc_id, sql.target, sql.taken, strict=True)) == sorted(zip(found.doc_id, found.target.round(4), found.taken, strict=True))
+
+
+def test_mixing_of_odd_rows(spark, odd, none):
     found = mixing.mix(odd).collect()
     assert len(found) == odd.count() and sum(r["size"] for r in found) >= sum(r["taken"] for r in found) > 0
     assert mixing.mix(none).count() == 0
+    kept = mixing.taken_rows(odd.withColumn("size", F.lit("own"))).collect()
+    assert sorted((str(r["doc_id"]), r["taken"]) for r in kept) == sorted((str(r["doc_id"]), r["taken"]) for r in found if r["taken"])
+    nameless = spark.createDataFrame([(None, "one two", "s")] * 3 + [(1, "three", "s")], "doc_id long, text string, source string")
+    assert sum(r["taken"] for r in mixing.taken_rows(nameless).collect()) == 7
 
 
 def test_chat(spark):
