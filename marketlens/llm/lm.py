@@ -1,26 +1,29 @@
-"""Scoring texts with a byte model of logistic context mixing, and with a word model as the base.
+"""Scoring texts by online logistic context mixing of bit predictors, with a word model as the base.
 
-Every byte is coded as eight binary decisions. For each decision, predictors hash their context (the last 1 to 4 bytes,
-or all of the word so far) into tables of counts; their log odds are combined by weights that a gate picks from how
-often the predictor's own slot, and that of the word predictor, was seen. The weights are those of least loss over all
-of the corpus's strings, each string leaving out one occurrence of what it predicts; Newton steps reach them, each from
-sums that tasks make of their strings. A refinement table, adapted to the mixture's own calibration by node of
-the decision tree, is averaged in last. Training reads the text once: tasks count strings of 5 bytes with their word's start, one sum by key makes
-the corpus table, and tables, weights and refinement come from that table, whatever its size. The word predictor's slots
-of the most frequent word starts stand in each task; strings of all other word starts are joined by key.
+Every byte is coded as eight binary decisions. Five predictors hash their context (the last 2, 3, 4 or 6 bytes, or the
+word so far) into tables of bit counts; the log odds of the counts are their inputs to a mixer, whose weights a gate
+picks by how often the longest contexts were seen. A refinement stage corrects the mixture by its own confidence.
 
-The base sums log10((c + 1) / (N + V + 1)) over words and the end mark. Counts of the most frequent words are a
-broadcast of bounded size; what a document has besides them is joined by key.
+1. Learning. Each task codes its texts in order: it predicts a chunk with what it has counted so far, takes an online
+   Newton step on the weights of the gates, and only then counts the chunk, so weights are never fitted on counts that
+   hold the answer. Tasks' counts are summed by block of slots, their weights are averaged by their curvature. Tables
+   grow with the training text up to MOST_BITS a predictor; counts of whole words grow without a bound.
+2. Scoring. Every document starts from the learned weights and refines them along its text: after each block of
+   BLOCK bytes the document's own weights and refinement take a step on what was just coded.
+3. Words. A token's probability is a mixture of its bytes' and of its share of all training words: frequent words
+   stand in each task, all others are joined by key.
+
+The base sums log10((c + 1) / (N + V + 1)) over words and the end mark.
 
 Defined cases: null text is empty; an empty text is the end mark alone; without training rows all counts are 0; repeated
-rows count and score each; columns other than doc_id and text are never read.
+rows count and score each; a text's result does not depend on the other texts of its task; texts of any length are
+coded whole; columns other than doc_id and text are never read.
 """
 
 from __future__ import annotations
 
 import gc
 from collections import Counter
-from copy import copy
 
 import numpy as np
 import pyarrow as pa
@@ -28,67 +31,51 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_batches, chained, crc_of_id, load, mixed64, settled
+from .common import by_batches, crc_of_id, load, mixed64, settled
 
 #: Held-out fold.
 FOLDS, HELD_OUT = 7, 2
-#: The predictors' contexts as masks of a string's key without its last byte, and the bits of each one's table of slots.
-#: A key holds, from the low end, the byte itself, the 4 bytes before it, and 24 bits of hash of the word before it.
-MASKS = (0xFF, 0xFFFF, 0xFFFFFF, 0xFFFFFFFF, 0xFFFFFF_00000000)
-SLOT_BITS = (16, 18, 19, 19, 32)
-ORDERS = len(MASKS)
-BASES = [sum(1 << b for b in SLOT_BITS[:i]) for i in range(ORDERS)]
-#: Slots up to BASES[-1] stand in an array; of the word predictor's, SPARSE at most, those of the word starts met most,
-#: stand sorted by number in each task. Strings of all other word starts are brought together by word start.
-SPARSE = 2_000_000
+#: Bytes that each predictor sees; the last one (0) sees the word so far.
+ORDERS = (2, 3, 4, 6, 0)
+INPUTS = len(ORDERS)
+#: Bits of a predictor's number of slots: at least, at most, and training bytes for a slot; short contexts need fewer.
+LEAST_BITS, MOST_BITS, BYTES_A_SLOT = 18, 22, 8
+SHORT_BITS = {1: 18, 2: 20}
+#: Added to both counts of a slot, and the greatest log odds.
+PRIOR, MOST_ODDS = 0.3, 8.0
+#: Levels of confidence of the two longest contexts (by number of times seen), which make the gates.
+LEVELS = np.array([0] + [1] * 2 + [2] * 3 + [3] * 250, np.uint8)
+GATES = 16
+#: First weights; pull towards the weights before, at the first step of a task, and within a document.
+FIRST, PULL, OWN_PULL = 0.3, 20.0, 150.0
+#: Steps of the refinement, and the pull of each.
+BUCKETS, REFINE_PULL = 17, 60.0
+#: Bytes of a document to the first refinement of its weights (blocks then double), the longest block, and bytes worked
+#: on at once, in rows of at most STEP_ROWS besides a block.
+BLOCK, MOST_BLOCK, CHUNK, STEP_ROWS = 256, 4096, 3_000_000, 8192
+#: Slots of a block of counts that is summed as one, and text that one learning task should take.
+SLOTS, TASK_BYTES = 4096, 96 << 20
+#: Share of the word model in a token's probability.
+WORD_SHARE = 0.1
+#: Words whose counts stand in each task (the rest is joined), and words that a task holds before it passes counts on.
+BROADCAST_WORDS, HELD = 400_000, 400_000
+#: Separators of words.
+SEPARATORS = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 #: An odd factor and its inverse modulo 2**64, for the hash of a word's start.
 FACTOR = 0x9E3779B97F4A7C15
 INVERSE = pow(FACTOR, -1, 1 << 64)
-#: Steps of confidence of the gate, and steps of the refinement.
-GATES, BUCKETS = 20, 33
-#: First weights, the pull towards them, the share of the loss that a Newton step must promise to be made, steps at
-#: most, strings that a task works on at once, and strings whose weights the steps over all start from.
-FIRST, PULL, CLOSE, MOST_STEPS, STEP_ROWS, START_STRINGS = 0.3, 50.0, 1e-3, 20, 4096, 200_000
-#: Pairs of predictors, for the curvature.
-PAIRS = [(a, b) for b in range(ORDERS) for a in range(b + 1)]
-#: Words whose counts are broadcast (the rest is joined), strings whose cost is worked out before scoring (the rest is
-#: worked out where it is met), and words and strings that a task holds before it passes counts on.
-BROADCAST_WORDS, READY_STRINGS, HELD = 400_000, 600_000, 400_000
-#: Rows of key tables that a task works on at once.
-JOINED = 50_000
-#: Bytes worked on at once.
-CHUNK = 2_000_000
+#: By byte: its decisions' nodes within the two runs of slots, and its decisions as 1 or -1.
+_BYTES, _DEPTH = np.arange(256), np.arange(8)[:, None]
+NODES = (1 << _DEPTH % 4) | (np.where(_DEPTH < 4, _BYTES >> 4, _BYTES & 15) >> (4 - _DEPTH % 4))
+SIGNS = (((_BYTES >> (7 - _DEPTH)) & 1) * 2 - 1).astype(np.float32)
 
 
 def lowered(texts: list) -> list[bytes]:
     return [(t or b"").lower() for t in texts]
 
 
-def strings(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit keys of what ends at each byte of each text and at its end mark (0), and their number by text."""
-    sizes = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
-    code = np.frombuffer(b"\0".join(texts) + b"\0", np.uint8).astype(np.uint64)
-    starts = np.r_[0, np.cumsum(sizes)[:-1]]
-    key = code.copy()
-    for back in range(1, 5):
-        prior = np.zeros(len(code), np.uint64)
-        prior[back:] = code[:-back]
-        for j in range(back):  # nothing before the start of a text
-            at = starts + j
-            prior[at[at < starts + sizes]] = 0
-        key |= prior << np.uint64(8 * back)
-    with np.errstate(over="ignore"):
-        place = np.arange(len(code), dtype=np.uint64)
-        power, inverse = (np.cumprod(np.r_[np.uint64(1), np.full(max(0, len(code) - 1), x, np.uint64)]) for x in (FACTOR, INVERSE))
-        total = np.r_[np.uint64(0), np.cumsum((code + np.uint64(1)) * power)[:-1]]  # of all bytes before each place
-        first = np.r_[True, code[:-1] <= 32]
-        start = np.maximum.accumulate(np.where(first, place, 0)).astype(np.int64)
-        word = mixed64((total - total[start]) * inverse[start])
-        word[first] = 0
-    return key | (word >> np.uint64(40) << np.uint64(40)), sizes
-
-
 def runs(texts: list[bytes]):
+    """(first, end) of runs of texts of about CHUNK bytes."""
     first, size = 0, 0
     for i, text in enumerate(texts):
         size += len(text) + 1
@@ -99,6 +86,254 @@ def runs(texts: list[bytes]):
         yield first, len(texts)
 
 
+class Strings:
+    """What each byte of some texts follows: the byte or end mark (0), the bytes before it, and the hash of its word so far."""
+
+    def __init__(self, texts: list[bytes]):
+        self.sizes = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
+        self.code = np.frombuffer(b"\0".join(texts) + b"\0", np.uint8)
+        self.starts = np.r_[0, np.cumsum(self.sizes)[:-1]]
+        wide = self.code.astype(np.uint64)
+        before = np.zeros(len(wide), np.uint64)
+        for back in range(1, max(ORDERS) + 1):
+            before[back:] |= wide[:-back] << np.uint64(8 * (back - 1))
+        for j in range(max(ORDERS)):  # nothing before the start of a text
+            at = self.starts + j
+            at = at[at < self.starts + self.sizes]
+            before[at] &= np.uint64((1 << 8 * j) - 1)
+        self.before = before
+        with np.errstate(over="ignore"):
+            place = np.arange(len(wide))
+            power, inverse = (np.cumprod(np.r_[np.uint64(1), np.full(max(0, len(wide) - 1), x, np.uint64)]) for x in (FACTOR, INVERSE))
+            total = np.r_[np.uint64(0), np.cumsum((wide + np.uint64(1)) * power)[:-1]]  # of all bytes before each place
+            first = np.r_[True, SEPARATORS[self.code[:-1]]]
+            first[self.starts] = True
+            start = np.maximum.accumulate(np.where(first, place, 0))
+            self.word = (total - total[start]) * inverse[start]
+            self.word[first] = 0
+
+    def distinct(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """A place of each distinct string, the number of its places, and the string of every place."""
+        with np.errstate(over="ignore"):
+            key = mixed64((self.before << np.uint64(8) | self.code) + self.word * np.uint64(0xD6E8FEB86659FD93))
+        order = np.argsort(key)
+        ranked = key[order]
+        new = np.r_[True, ranked[1:] != ranked[:-1]]
+        which = np.empty(len(key), np.int64)
+        which[order] = np.cumsum(new) - 1
+        at = np.flatnonzero(new)
+        return order[at], np.diff(np.r_[at, len(key)]), which
+
+
+def table_bits(train_bytes: int) -> list[int]:
+    """Bits of each predictor's number of slots for so much training text."""
+    wide = int(np.clip(np.ceil(np.log2(max(1, train_bytes / BYTES_A_SLOT))), LEAST_BITS, MOST_BITS))
+    return [min(wide, SHORT_BITS.get(order, wide)) for order in ORDERS]
+
+
+def slots_of(bits: list[int], code: np.ndarray, before: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """The slots of each string's 8 decisions by predictor (INPUTS, 8, n).
+
+    A context's decisions stand in two runs of 16 slots, one for each half of the byte, found by a hash each.
+    """
+    nodes = [own[code] for own in NODES]
+    out = np.empty((INPUTS, 8, len(code)), np.int64)
+    high = (code >> 4).astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F) + np.uint64(1 << 32)
+    base = 0
+    with np.errstate(over="ignore"):
+        for p, order in enumerate(ORDERS):
+            context = (before & np.uint64((1 << 8 * order) - 1) if order else word) * np.uint64(FACTOR) + np.uint64(p)
+            for half, known in enumerate((context, context + high)):
+                run = (mixed64(known) >> np.uint64(64 - bits[p] + 4)).astype(np.int64) * 16 + base
+                for j in range(4 * half, 4 * half + 4):
+                    np.add(run, nodes[j], out=out[p, j])
+            base += 1 << bits[p]
+    return out
+
+
+def odds_of(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
+    return np.log((ones + np.float32(PRIOR)) / (zeros + np.float32(PRIOR))).clip(-MOST_ODDS, MOST_ODDS)
+
+
+def seen_of(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
+    return np.log2(zeros + ones + 1).astype(np.uint8)
+
+
+def gates_of(seen: np.ndarray) -> np.ndarray:
+    """Gate of each string, from how often its two longest contexts (the last two inputs) were seen, as a logarithm."""
+    return LEVELS[seen[-2]] * 4 + LEVELS[seen[-1]]
+
+
+def buckets_of(x: np.ndarray) -> np.ndarray:
+    return np.rint(np.clip(x, -8, 8) + 8).astype(np.int64)
+
+
+class Learner:
+    """Counts, weights and refinement of one task, learned online."""
+
+    def __init__(self, bits: list[int]):
+        self.bits = bits
+        self.counts = np.zeros(2 * sum(1 << b for b in bits), np.float32)  # zeros and ones by turns
+        self.weights = np.full((GATES, INPUTS), FIRST)
+        self.curvature = np.zeros((GATES, INPUTS, INPUTS))
+        self.refined = np.zeros((2, BUCKETS))  # sums of errors and of their variance
+        self.ends = np.zeros(256)
+
+    def learn(self, texts: list[bytes]) -> None:
+        """Predict the strings of some texts with what was counted before them, a few at a time, then count them."""
+        strings = Strings(texts)
+        at, times, _ = strings.distinct()
+        later = []
+        for i in range(0, len(at), STEP_ROWS):
+            part, n = at[i : i + STEP_ROWS], times[i : i + STEP_ROWS].astype(np.float32)
+            code = strings.code[part]
+            slots, one = slots_of(self.bits, code, strings.before[part], strings.word[part]), SIGNS[:, code] > 0
+            self._step(self.counts[2 * slots], self.counts[2 * slots + 1], one, n)
+            later.append(((2 * slots + one).astype(np.int32).reshape(INPUTS * 8, -1), n))
+        for slots, n in later:
+            for own in slots:
+                np.add.at(self.counts, own, n)
+        # What follows words: the separator or, as 0, the end of the text.
+        inside = np.r_[False, ~SEPARATORS[strings.code[:-1]]]
+        inside[strings.starts] = False
+        last = np.zeros(len(strings.code), bool)
+        last[strings.starts + strings.sizes - 1] = True
+        self.ends += np.bincount(strings.code[inside & (SEPARATORS[strings.code] | last)], minlength=256)
+
+    def _step(self, zeros, ones, one, times) -> None:
+        """One online Newton step for each gate, with the counts of what came before."""
+        odds = odds_of(zeros, ones)
+        gate = gates_of(seen_of(zeros[:, 0], ones[:, 0]))
+        weights = self.weights.astype(np.float32).T[:, gate]
+        x = sum(odds[p] * weights[p] for p in range(INPUTS))
+        p = 1 / (1 + np.exp(-x.clip(-30, 30)))
+        error, bent = (one - p) * times, p * (1 - p) * times
+        b = buckets_of(x).ravel()
+        self.refined += np.stack([np.bincount(b, v.ravel(), BUCKETS) for v in (error, bent)])
+        for g in np.unique(gate):
+            own = gate == g
+            rows = odds[:, :, own].reshape(INPUTS, -1)
+            self.curvature[g] += (rows * bent[:, own].ravel()) @ rows.T
+            self.weights[g] += np.linalg.solve(self.curvature[g] + PULL * np.eye(INPUTS), rows @ error[:, own].ravel()).clip(-0.2, 0.2)
+
+    def out(self):
+        """(block, numbers) rows that add up: counts by block of slots, and as block -1 the weights by their curvature."""
+        for first in range(0, len(self.counts) // 2, SLOTS):
+            part = self.counts[2 * first : 2 * (first + SLOTS)]
+            if part.any():
+                yield first // SLOTS, part.astype(np.float64)
+        pulled = np.einsum("gij,gj->gi", self.curvature, self.weights)
+        yield -1, np.concatenate([self.curvature.ravel(), pulled.ravel(), self.refined.ravel(), self.ends])
+
+
+def step_of(place: np.ndarray) -> np.ndarray:
+    """The block of each place of a text: BLOCK bytes, then blocks that double up to MOST_BLOCK."""
+    doubling = int(np.log2(MOST_BLOCK // BLOCK)) + 1
+    early = np.ceil(np.log2(place // BLOCK + 1)).astype(np.int64)
+    return np.where(place < MOST_BLOCK, early, place // MOST_BLOCK + doubling - 1)
+
+
+def pieces(order: np.ndarray, step: np.ndarray, owner: np.ndarray):
+    """Places, ordered by step and text, in runs of one step that hold whole blocks of texts."""
+    at_step, at_text = step[order], owner[order]
+    new_step = np.flatnonzero(np.r_[True, at_step[1:] != at_step[:-1]])
+    new_text = np.flatnonzero(np.r_[True, (at_text[1:] != at_text[:-1]) | (at_step[1:] != at_step[:-1])])
+    ends = set(new_step.tolist())
+    first = 0
+    for at in new_text[1:].tolist():
+        if at in ends or at - first >= STEP_ROWS:
+            yield order[first:at]
+            first = at
+    if len(order):
+        yield order[first:]
+
+
+class Mixer:
+    """The learned model: log odds and confidence by slot, weights, refinement, and what follows words."""
+
+    def __init__(self, bits: list[int]):
+        self.bits = bits
+        self.odds = np.zeros(sum(1 << b for b in bits), np.float16)
+        self.seen = np.zeros(len(self.odds), np.uint8)
+        self.weights = np.full((GATES, INPUTS), FIRST)
+        self.refined = np.zeros(BUCKETS)
+        self.ends = np.full(256, 1 / 256)
+
+    def settle(self, numbers: np.ndarray) -> None:
+        """Weights, refinement and ends from the sum of the tasks' last rows."""
+        cuts = np.cumsum([GATES * INPUTS**2, GATES * INPUTS, 2 * BUCKETS])
+        curvature, pulled, refined, ends = np.split(numbers, cuts)
+        square = curvature.reshape(GATES, INPUTS, INPUTS) + PULL * np.eye(INPUTS)
+        self.weights = np.linalg.solve(square, (pulled.reshape(GATES, INPUTS) + PULL * FIRST)[:, :, None])[:, :, 0]
+        error, bent = refined.reshape(2, BUCKETS)
+        self.refined = (error / (bent + REFINE_PULL)).clip(-1, 1)
+        self.ends = (ends + 1) / (ends.sum() + 256)
+
+    def bits_of(self, texts: list[bytes]) -> tuple[np.ndarray, Strings]:
+        """Bits of each byte and end mark of the texts, each text coded from the learned weights on, block by block."""
+        strings = Strings(texts)
+        at, _, which = strings.distinct()
+        odds = np.empty((len(at), INPUTS * 8), np.float16)
+        gate = np.empty(len(at), np.int64)
+        for i in range(0, len(at), STEP_ROWS):
+            part = at[i : i + STEP_ROWS]
+            slots = slots_of(self.bits, strings.code[part], strings.before[part], strings.word[part])
+            odds[i : i + STEP_ROWS] = self.odds[slots].reshape(INPUTS * 8, -1).T
+            gate[i : i + STEP_ROWS] = gates_of(self.seen[slots[:, 0]])
+        n = len(texts)
+        weights = np.broadcast_to(self.weights.astype(np.float32), (n, GATES, INPUTS)).copy()
+        curved = np.zeros((n, GATES, INPUTS), np.float32)
+        refined = np.broadcast_to(self.refined.astype(np.float32), (n, BUCKETS)).copy()
+        swayed = np.zeros((n, BUCKETS), np.float32)
+        owner = np.repeat(np.arange(n), strings.sizes)
+        step = step_of(np.arange(len(owner)) - strings.starts[owner])
+        order = np.argsort(step.astype(np.int16) if step.max(initial=0) < 32_000 else step, kind="stable")
+        cost = np.empty(len(owner), np.float32)
+        for places in pieces(order, step, owner):
+            string, text = which[places], owner[places]
+            low, texts_here = text[0], text[-1] - text[0] + 1
+            text = text - low
+            own = odds[string].T.astype(np.float32, order="C").reshape(INPUTS, 8, -1)
+            s, cell = SIGNS[:, strings.code[places]], text * GATES + gate[string]
+            w, h = (v[low : low + texts_here].reshape(-1, INPUTS) for v in (weights, curved))
+            here = np.ascontiguousarray(w[cell].T)
+            x = own[0] * here[0]
+            for p in range(1, INPUTS):
+                x += own[p] * here[p]
+            bucket = (buckets_of(x) + text * BUCKETS).ravel()
+            r, t = (v[low : low + texts_here].reshape(-1) for v in (refined, swayed))
+            e = np.exp(-(s * (x + r[bucket].reshape(x.shape))).clip(-20, 20))
+            cost[places] = np.log(1 + e).sum(axis=0)
+            wrong = e / (1 + e)
+            error, bent = s * wrong, wrong * (1 - wrong)
+            for p in range(INPUTS):
+                h[:, p] += np.bincount(cell, (own[p] * own[p] * bent).sum(axis=0), len(w))
+                w[:, p] += np.bincount(cell, (own[p] * error).sum(axis=0), len(w)) / (OWN_PULL + INPUTS * h[:, p])
+            t += np.bincount(bucket, bent.ravel(), len(t))
+            r += np.bincount(bucket, error.ravel(), len(t)) / (REFINE_PULL + 2 * t)
+        return cost.astype(np.float64) / np.log(2), strings
+
+    def tokens(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Bits of each text outside its words, and for all words in order: the text, the bits with what follows, and the share of that."""
+        cost, strings = self.bits_of(texts)
+        code = strings.code
+        last = np.zeros(len(code), bool)
+        last[strings.starts + strings.sizes - 1] = True
+        inside = ~SEPARATORS[code] & ~last
+        before = np.r_[False, inside[:-1]]
+        first, end = np.flatnonzero(inside & ~before), np.flatnonzero(~inside & before)
+        total = np.r_[0.0, np.cumsum(cost)]
+        own = total[end + 1] - total[first]
+        text = np.searchsorted(strings.starts, first, "right") - 1
+        outside = np.bincount(np.repeat(np.arange(len(texts)), strings.sizes), np.where(inside | before, 0.0, cost), len(texts))
+        return outside, text, own, self.ends[code[end]]
+
+
+def mixture(bits: np.ndarray, share: np.ndarray, follows: np.ndarray) -> np.ndarray:
+    """Bits of tokens: the mixture of their bytes and of their share of all words, each with what follows."""
+    return -np.logaddexp2(np.log2(1 - WORD_SHARE) - bits, np.log2(np.maximum(WORD_SHARE * share * follows, 1e-300)))
+
+
 def _word_counts(batches):
     """(word, n): partial counts by the word's 64-bit hash."""
     held: Counter = Counter()
@@ -119,349 +354,66 @@ def _word_counts(batches):
     yield out()
 
 
-def _string_counts(batches):
-    """(key, n, m): partial counts of byte strings of (text, learned), n in learned rows and m in all."""
-    held, waiting = [], 0
-
-    def merged():
-        keys = np.concatenate([k for k, _ in held])
-        distinct, where = np.unique(keys, return_inverse=True)
-        held[:] = [(distinct, np.stack([np.bincount(where, np.concatenate([c[i] for _, c in held]), len(distinct)) for i in (0, 1)]))]
-        return len(distinct)
-
-    def out():
-        keys, n = held.pop()
-        return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), *[pa.array(x.astype(np.int64)) for x in n]], ["key", "n", "m"])
-
-    for batch in batches:
-        texts, flags = lowered(batch.column(0).cast(pa.binary()).to_pylist()), batch.column(1).to_pylist()
-        parts = [(learned, [t for t, f in zip(texts, flags, strict=True) if bool(f) is learned]) for learned in (True, False)]
-        for learned, own in [(learned, part[a:b]) for learned, part in parts for a, b in runs(part)]:
-            keys, n = np.unique(strings(own)[0], return_counts=True)
-            held.append((keys, np.stack([n * learned, n])))
-            waiting += 1
-            if waiting >= 8:
-                waiting = 0
-                if merged() > 4 * HELD:
-                    yield out()
-    if held:
-        merged()
-        yield out()
-
-
-def joined(batches):
-    """The columns of batches as arrays, at least JOINED rows at once where there are so many."""
-    held, size = [], 0
-    for batch in batches:
-        held.append([c.to_numpy(zero_copy_only=False) for c in batch.columns])
-        size += len(batch)
-        if size >= JOINED:
-            yield [np.concatenate(x) for x in zip(*held, strict=True)]
-            held, size = [], 0
-    if size:
-        yield [np.concatenate(x) for x in zip(*held, strict=True)]
+def _numbers(rows):
+    for block, numbers in rows:
+        yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([numbers.tobytes()], pa.binary())], ["block", "numbers"])
 
 
-def decisions(keys: np.ndarray, orders=range(len(MASKS))) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each string and bit: the slots of the predictors (ORDERS, n, 8), the bits and the tree nodes (n, 8)."""
-    with np.errstate(over="ignore"):
-        symbol = (keys & np.uint64(255)).astype(np.int64)
-        depth = np.arange(8)
-        node = (1 << depth) | (symbol[:, None] >> (8 - depth))
-        bit = (symbol[:, None] >> (7 - depth)) & 1
-        slots = np.empty((len(orders), len(keys), 8), np.int64)
-        for row, order in enumerate(orders):
-            bits = SLOT_BITS[order]
-            context = (keys >> np.uint64(8)) & np.uint64(MASKS[order])
-            if order == ORDERS - 1:  # 24 bits of word and 8 of node: no two share a slot
-                slots[row] = (context >> np.uint64(24) & np.uint64(0xFFFFFF00)).astype(np.int64)[:, None] + node + BASES[order]
-                continue
-            at = mixed64(chained([context])[:, None] + node.astype(np.uint64))
-            slots[row] = (at >> np.uint64(64 - bits)).astype(np.int64) + BASES[order]
-    return slots, bit, node
-
-
-def _tables(slots, values):
-    for i in range(0, len(slots), 100_000):
-        yield pa.RecordBatch.from_arrays([pa.array(slots[i : i + 100_000]), *[pa.array(v[i : i + 100_000].astype(np.int64)) for v in values]], ["slot", "zeros", "ones"])
-
-
-def _short_counts(batches):
-    """(slot, zeros, ones): counts of the corpus table's strings by slot of the short contexts, one row per slot and task."""
-    counts = np.zeros((2, BASES[-1]))
-    for keys, n in joined(batches):
-        slots, bit, _ = decisions(keys.view(np.uint64), range(ORDERS - 1))
-        for v in (0, 1):
-            weight = n[:, None] * (bit == v).astype(float)
-            for order in range(ORDERS - 1):
-                counts[v, BASES[order] : BASES[order + 1]] += np.bincount((slots[order] - BASES[order]).ravel(), weight.ravel(), BASES[order + 1] - BASES[order])
-    used = np.flatnonzero(counts.sum(axis=0))
-    yield from _tables(used, counts[:, used])
-
-
-def _word_slots(batches):
-    """(slot, zeros, ones): partial counts by slot of the word predictor."""
-    for keys, n in joined(batches):
-        slots, bit, _ = decisions(keys.view(np.uint64), [ORDERS - 1])
-        used, where = np.unique(slots[0].ravel(), return_inverse=True)
-        yield from _tables(used, [np.bincount(where.ravel(), (n[:, None] * (bit == v).astype(float)).ravel(), len(used)) for v in (0, 1)])
-
-
-def _rare_counts(batches):
-    """(key, n, counts): strings with the word predictor's zeros and ones of their 8 decisions; rows (key, n) come sorted by
-    word start, all of one start in one task, and are few for each start, as the most frequent starts stand elsewhere."""
-
-    def counted(keys, n):
-        slots, bit, _ = decisions(keys, [ORDERS - 1])
-        used, where = np.unique(slots[0].ravel(), return_inverse=True)
-        where = where.reshape(bit.shape)
-        counts = [np.bincount(where.ravel(), (n[:, None] * (bit == v).astype(float)).ravel(), len(used))[where] for v in (0, 1)]
-        for i in range(0, len(keys), 20_000):
-            own = np.concatenate([c[i : i + 20_000] for c in counts], axis=1).astype(np.float32)
-            yield pa.RecordBatch.from_arrays([pa.array(keys[i : i + 20_000].view(np.int64)), pa.array(n[i : i + 20_000]), pa.array([x.tobytes() for x in own], pa.binary())], ["key", "n", "counts"])
-
-    rest = np.empty(0, np.uint64), np.empty(0, np.int64)
-    for keys, n in joined(batches):
-        keys, n = np.r_[rest[0], keys.view(np.uint64)], np.r_[rest[1], n]
-        word = keys >> np.uint64(40)
-        last = len(word) - int(np.argmax(word[::-1] != word[-1])) if (word != word[-1]).any() else 0  # where the last start's strings begin
-        yield from counted(keys[:last], n[:last])
-        rest = keys[last:], n[last:]
-    yield from counted(*rest)
+def _summed(batches):
+    """(block, numbers) of rows that come sorted by block: the sum of each block; counts become log odds and confidence."""
 
+    def done(block, total):
+        if block < 0:
+            return total.tobytes()
+        zeros, ones = total[::2], total[1::2]
+        return odds_of(zeros, ones).astype(np.float16).tobytes() + np.minimum(seen_of(zeros, ones), len(LEVELS) - 1).tobytes()
 
-class Mixer:
-    """Slot counts, gated weights (ORDERS, GATES * GATES) and the refinement table (BUCKETS, 256)."""
-
-    def __init__(self, dense: np.ndarray, slots: np.ndarray, sparse: np.ndarray):
-        self.dense, self.slots, self.sparse = dense, slots, sparse
-        self.weights = np.full((ORDERS, GATES * GATES), FIRST)
-        self.refined = None
-        self.ready = np.empty(0, np.uint64), np.empty(0, np.float32)
-        self.words = None
-
-    def know(self, words: np.ndarray) -> None:
-        """Mark the word starts whose slots, if they have any, all stand here (one bit each)."""
-        marks = np.zeros(1 << 24, bool)
-        marks[words] = True
-        self.words = np.packbits(marks, bitorder="little")
-
-    def knows(self, keys: np.ndarray) -> np.ndarray:
-        """Whether the slots of each key's word start stand here; without know(), those of all do."""
-        if self.words is None:
-            return np.ones(len(keys), bool)
-        word = (keys >> np.uint64(40)).astype(np.int64)
-        return (self.words[word >> 3] >> (word & 7).astype(np.uint8)) & 1 == 1
-
-    def inputs(self, keys: np.ndarray, n: np.ndarray | None = None, rare: np.ndarray | None = None):
-        """Log odds and gates of the predictors for each decision; with counts n, one occurrence of each string is left out;
-        rare are the word predictor's counts, zeros and ones (n, 16), where they do not stand here."""
-        slots, bit, node = decisions(keys)
-        n0, n1 = (np.empty(slots.shape, np.float32) for _ in range(2))
-        for v, counts in ((0, n0), (1, n1)):
-            counts[:-1] = self.dense[v][slots[:-1]]
-        if rare is not None:
-            n0[-1], n1[-1] = rare[:, :8], rare[:, 8:]
-        else:
-            at = np.minimum(np.searchsorted(self.slots, slots[-1]), len(self.slots) - 1)
-            seen = self.slots[at] == slots[-1]
-            n0[-1], n1[-1] = np.where(seen, self.sparse[0][at], 0), np.where(seen, self.sparse[1][at], 0)
-        if n is not None:
-            n0, n1 = np.maximum(n0 - (bit == 0), 0), np.maximum(n1 - (bit == 1), 0)
-        odds = np.log((n1 + 0.02) / (n0 + 0.02))
-        gate = np.minimum(np.log2(n0 + n1 + 1), GATES - 1).astype(np.int16)
-        gate += GATES * gate[-1:].copy()
-        return odds, gate, bit, node
-
-    def mixed(self, odds: np.ndarray, gate: np.ndarray) -> np.ndarray:
-        total = np.zeros(odds.shape[1:])
-        for order in range(ORDERS):
-            total += self.weights[order][gate[order]] * odds[order]
-        return total
-
-    def statistics(self, keys: np.ndarray, n: np.ndarray, rare: np.ndarray | None = None) -> np.ndarray:
-        """What a Newton step and the refinement need of strings, weighted by their counts, as one array that adds up:
-        the loss, the gradient by weight, the curvature by pair of weights that meet, and zeros and ones by calibration cell."""
-        loss, gradient, curvature = np.zeros(1), np.zeros((ORDERS, GATES * GATES)), np.zeros((len(PAIRS), GATES**3))
-        cells = np.zeros((2, BUCKETS * 256))
-        for i in range(0, len(keys), STEP_ROWS):
-            odds, gate, bit, node = self.inputs(keys[i : i + STEP_ROWS], n[i : i + STEP_ROWS], None if rare is None else rare[i : i + STEP_ROWS])
-            weight = np.broadcast_to(n[i : i + STEP_ROWS, None].astype(float), bit.shape)
-            x = self.mixed(odds, gate)
-            p = 1 / (1 + np.exp(-np.clip(x, -500, 500)))
-            loss += (weight * np.logaddexp(0, np.where(bit == 1, -x, x))).sum()
-            # Where the guess is far off, the curvature alone is near 0 and would let a step go far beyond.
-            error, bent = weight * (bit - p), weight * np.maximum(p * (1 - p), np.abs(bit - p) / 2)
-            for order in range(ORDERS):
-                gradient[order] += np.bincount(gate[order].ravel(), (error * odds[order]).ravel(), GATES * GATES)
-            for k, (one, other) in enumerate(PAIRS):
-                at = gate[one].astype(np.int64) % GATES * GATES**2 + gate[other]
-                curvature[k] += np.bincount(at.ravel(), (bent * odds[one] * odds[other]).ravel(), GATES**3)
-            at = np.rint((np.clip(x, -16, 16) + 16) * (BUCKETS - 1) / 32).astype(np.int64) * 256 + node
-            for v in (0, 1):
-                cells[v] += np.bincount(at.ravel(), (weight * (bit == v)).ravel(), BUCKETS * 256)
-        return np.concatenate([loss, gradient.ravel(), curvature.ravel(), cells.ravel()])
-
-    def fit(self, summed) -> None:
-        """Newton steps on the loss and a small pull to the first weights, which together have one lowest point. summed(weights)
-        gives statistics() of all strings; the last call's cells are those of the weights that stay."""
-        best, weights = None, self.weights
-        for _ in range(MOST_STEPS):
-            found = summed(weights)
-            ends = np.cumsum([1, ORDERS * GATES**2, len(PAIRS) * GATES**3])
-            pull = weights - FIRST
-            loss, gradient = found[0] + PULL / 2 * (pull**2).sum(), found[1 : ends[1]].reshape(ORDERS, GATES, GATES) - PULL * pull.reshape(ORDERS, GATES, GATES)
-            if best is not None and loss > best[0] * (1 + 1e-9):
-                step = best[3] = best[3] / 2  # too far: half the way
-                if np.abs(step).max() < 1e-6:
-                    break
-                weights = best[1] + step
-                continue
-            curvature = found[ends[1] : ends[2]].reshape(len(PAIRS), GATES, GATES, GATES)
-            step = np.zeros((ORDERS, GATES, GATES))
-            for word in range(GATES):  # weights of different gates of the word predictor never meet
-                square = np.zeros((ORDERS, GATES, ORDERS, GATES))
-                for k, (one, other) in enumerate(PAIRS):
-                    square[one, :, other] = curvature[k, :, word]
-                    square[other, :, one] = curvature[k, :, word].T
-                square = square.reshape(ORDERS * GATES, ORDERS * GATES)
-                step[:, word] = np.linalg.solve(square + PULL * np.eye(len(square)), gradient[:, word].ravel()).reshape(ORDERS, GATES)
-            best = [loss, weights, found[ends[2] :], step.reshape(weights.shape)]
-            if (step * gradient).sum() <= CLOSE * loss:
-                break
-            weights = weights + best[3]
-        self.weights = best[1]
-        self.refine(*best[2].reshape(2, -1))
-
-    def probability(self, keys: np.ndarray, rare: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """Probability of a one for each decision, and the decision's value."""
-        odds, gate, bit, node = self.inputs(keys, None, rare)
-        x = np.clip(self.mixed(odds, gate), -16, 16)
-        p = 1 / (1 + np.exp(-x))
-        if self.refined is not None:
-            at = np.clip((x + 16) * (BUCKETS - 1) / 32, 0, BUCKETS - 1.001)
-            low = at.astype(np.int64)
-            share = at - low
-            p = (p + self.refined[low, node] * (1 - share) + self.refined[low + 1, node] * share) / 2
-        return np.clip(p, 1e-7, 1 - 1e-7), bit
-
-    def refine(self, zeros: np.ndarray, ones: np.ndarray) -> None:
-        prior = (1 / (1 + np.exp(-(np.arange(BUCKETS) * 32 / (BUCKETS - 1) - 16))))[:, None]
-        self.refined = (ones.reshape(BUCKETS, 256) + 20 * prior) / (zeros.reshape(BUCKETS, 256) + ones.reshape(BUCKETS, 256) + 20)
-
-    def bits_of(self, keys: np.ndarray, rare: np.ndarray | None = None) -> np.ndarray:
-        out = np.empty(len(keys), np.float32)
-        for i in range(0, len(keys), 20_000):
-            p, bit = self.probability(keys[i : i + 20_000], None if rare is None else rare[i : i + 20_000])
-            out[i : i + 20_000] = -np.log2(np.where(bit == 1, p, 1 - p)).sum(axis=1)
-        return out
-
-    def bits(self, texts: list[bytes]) -> np.ndarray:
-        """Total bits of each text with its end mark, where no word start of the corpus stands elsewhere."""
-        bits, others, ends = self.known_bits(texts)
-        return bits + np.diff(np.cumsum(np.r_[0.0, self.bits_of(others)])[ends], prepend=0)
-
-    def known_bits(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Bits of each text's strings whose word start stands here, the keys of the others, and their ends by text."""
-        keys, sizes = strings(texts)
-        known, ready = self.ready
-        if len(known):
-            at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
-            cost = ready[at]
-            rest = np.flatnonzero(known[at] != keys)
-        else:
-            cost, rest = np.empty(len(keys), np.float32), np.arange(len(keys))
-        here = self.knows(keys[rest])
-        away, rest = rest[~here], rest[here]
-        cost[away] = 0
-        if len(rest):
-            new, where = np.unique(keys[rest], return_inverse=True)
-            cost[rest] = self.bits_of(new)[where]
-        return np.add.reduceat(cost, np.r_[0, np.cumsum(sizes)[:-1]], dtype=np.float64), keys[away], np.searchsorted(away, np.cumsum(sizes))
+    last, total = None, None
+    for batch in batches:
+        for block, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            numbers = np.frombuffer(raw, np.float64)
+            if block != last:
+                if last is not None:
+                    yield pa.RecordBatch.from_arrays([pa.array([last], pa.int64()), pa.array([done(last, total)], pa.binary())], ["block", "numbers"])
+                last, total = block, np.zeros(len(numbers))
+            total = total + numbers
+    if last is not None:
+        yield pa.RecordBatch.from_arrays([pa.array([last], pa.int64()), pa.array([done(last, total)], pa.binary())], ["block", "numbers"])
 
 
 def train(texts: DataFrame) -> Mixer:
-    """The byte model of a table (text), as far as it stands in each task."""
-    return trained(texts.withColumn("learned", F.lit(True)))[0]
-
-
-def trained(texts: DataFrame) -> tuple[Mixer, DataFrame]:
-    """The byte model of the learned rows of a table (text, learned), and (key, bits) of the strings of all its rows whose
-    word start does not stand in the model. What comes to the driver is bounded by the tables' sizes."""
+    """The byte model of a table (text). What comes to the driver is bounded by the tables' sizes."""
     spark = texts.sparkSession
-    every = texts.mapInArrow(_string_counts, "key long, n long, m long").groupBy("key").agg(F.sum("n").alias("n"), F.sum("m").alias("m"))
-    every = settled(every, "strings")
-    corpus = every.where("n > 0").select("key", "n")
-    kind, sums = "slot long, zeros long, ones long", [F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones")]
-    dense = np.zeros((2, BASES[-1]), np.float32)
-    small = corpus.mapInArrow(_short_counts, kind).groupBy("slot").agg(*sums).toArrow()
-    for i, name in enumerate(("zeros", "ones")):
-        dense[i][small.column("slot").to_numpy()] = small.column(name).to_numpy()
-    # Sums by word start and byte first: however many strings share a word start, it has 256 rows at most.
-    word = F.shiftrightunsigned("key", 40)
-    pair = F.shiftleft(word, 40).bitwiseOR(F.col("key").bitwiseAND(255)).alias("key")
-    pairs = settled(every.groupBy(pair).agg(F.sum("n").alias("n"), F.sum("m").alias("m")), "pairs")
-    top = pairs.groupBy(word.alias("word")).agg(F.sum("m").alias("m"), F.count(F.lit(1)).alias("bytes")).orderBy(F.desc("m"), "word").limit(max(1, SPARSE // 8)).toArrow()
-    words = top.column("word").to_numpy()
-    words = words[: max(1, int(np.searchsorted(np.cumsum(np.minimum(255, 8 * top.column("bytes").to_numpy())), SPARSE, "right")))]
-    chosen = spark.createDataFrame(pa.table({"word": pa.array(words, pa.int64())}))
-    own = pairs.where("n > 0").withColumn("word", word).join(F.broadcast(chosen), "word", "left_semi").select("key", "n").toArrow()
-    parts = [[c.to_numpy() for c in b.columns] for b in _word_slots(own.to_batches())]
-    slots, zeros, ones = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.empty(0, np.int64), *np.empty((2, 0)))
-    slots, where = np.unique(slots, return_inverse=True)
-    sparse = np.stack([np.bincount(where, x, len(slots)) for x in (zeros, ones)])
-    mixer = Mixer(dense, np.r_[slots, np.iinfo(np.int64).max], np.c_[sparse, np.zeros(2)].astype(np.float32))
-    mixer.know(words)
-    # The other word starts: their strings, learned or not, come together, each with its counts.
-    others = every.withColumn("word", word).join(F.broadcast(chosen), "word", "left_anti")
-    rare = settled(others.repartition("word").sortWithinPartitions("word").select("key", "n").mapInArrow(_rare_counts, "key long, n long, counts binary"), "rare")
-    freed(spark)
-    here = every.withColumn("word", word).join(F.broadcast(chosen), "word", "left_semi").where("n > 0").select("key", "n")
-    shared = spark.sparkContext.broadcast(mixer)
-
-    def summed(weights, share=1):
-        def partial(batches):
-            model = copy(shared.value)
-            model.weights = weights
-            total = sum(model.statistics(keys.view(np.uint64), n, *map(unpacked, more)) for keys, n, *more in joined(batches))
-            used = np.flatnonzero(total)
-            yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(np.atleast_1d(total)[used], pa.float64())], ["cell", "value"])
-
-        picked = F.pmod(F.xxhash64("key"), F.lit(share)) == 0
-        both = [rows.where(picked).mapInArrow(partial, "cell long, value double") for rows in (here, rare.where("n > 0"))]
-        cells = both[0].unionAll(both[1]).groupBy("cell").agg(F.sum("value").alias("value")).toArrow()
-        total = np.zeros(1 + ORDERS * GATES**2 + len(PAIRS) * GATES**3 + 2 * BUCKETS * 256)
-        total[cells.column("cell").to_numpy()] = cells.column("value").to_numpy()
-        return total
-
-    # A part of the strings gives weights to start from; the steps over all of them end in the same place from anywhere.
-    share = max(1, corpus.count() // START_STRINGS)
-    mixer.fit(lambda weights: summed(weights, share))
-    mixer.fit(summed)
-    shared.destroy()  # copies of a broadcast stand on every executor's disk
-    model = copy(mixer)
-
-    def costs(batches):
-        for keys, counts in joined(batches):
-            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(model_of.value.bits_of(keys.view(np.uint64), unpacked(counts)))], ["key", "bits"])
-
-    model_of = spark.sparkContext.broadcast(model)
-    away = settled(rare.select("key", "counts").mapInArrow(costs, "key long, bits float"), "costs")
-    model_of.destroy()
-    most = here.orderBy(F.desc("n"), "key").limit(READY_STRINGS).select("key").toArrow().column("key").to_numpy().view(np.uint64)
-    ready = np.sort(most)
-    mixer.ready = ready, mixer.bits_of(ready)
-    return mixer, away
-
-
-def freed(spark) -> None:
-    """Let Spark delete the shuffle files of tables that are settled: it does so when the driver collects garbage."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
-def unpacked(counts: np.ndarray) -> np.ndarray:
-    return np.frombuffer(b"".join(counts), np.float32).reshape(-1, 16)
+    size = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    bits = table_bits(size)
+
+    def learned(batches):
+        learner, held, waiting = Learner(bits), [], 0
+        for batch in batches:
+            for text in lowered(batch.column(0).cast(pa.binary()).to_pylist()):
+                held.append(text)
+                waiting += len(text) + 1
+                if waiting >= CHUNK:
+                    learner.learn(held)
+                    held, waiting = [], 0
+        if held:
+            learner.learn(held)
+        yield from _numbers(learner.out())
+
+    # Each task gives back as much as its tables hold, so tasks should take texts worth it.
+    tasks = max(2 * spark.sparkContext.defaultParallelism, -(-size // TASK_BYTES))
+    parts = texts.select("text").coalesce(tasks).mapInArrow(learned, "block long, numbers binary")
+    sums = settled(parts.repartition("block").sortWithinPartitions("block").mapInArrow(_summed, "block long, numbers binary"), "tables")
+    mixer = Mixer(bits)
+    for row in sums.toLocalIterator():
+        block, raw = row["block"], bytes(row["numbers"])
+        if block < 0:
+            mixer.settle(np.frombuffer(raw, np.float64))
+        else:
+            own = slice(block * SLOTS, (block + 1) * SLOTS)
+            mixer.odds[own] = np.frombuffer(raw, np.float16, SLOTS)
+            mixer.seen[own] = np.frombuffer(raw, np.uint8, SLOTS, 2 * SLOTS)
+    return mixer
 
 
 def scores(docs: DataFrame, fold=None) -> DataFrame:
@@ -470,51 +422,71 @@ def scores(docs: DataFrame, fold=None) -> DataFrame:
     by_batches(spark)
     learned = (docs if fold is None else docs.where(fold)).select("text")
     words = settled(learned.mapInArrow(_word_counts, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).where("n > 0"), "words")
-    size = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
-    below = float(np.log10(size["n"] + size["v"] + 1))
-    top = words.orderBy(F.desc("n"), "word").limit(BROADCAST_WORDS)
-    frequent = top.toArrow()
+    end = xxhash.xxh3_64_intdigest(b"")
+    end = end - (1 << 64) if end >> 63 else end
+    size = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v"), F.coalesce(F.sum(F.when(F.col("word") != end, F.col("n"))), F.lit(0)).alias("words")).first()
+    below, all_words = float(np.log10(size["n"] + size["v"] + 1)), max(1, size["words"])
+    frequent = words.orderBy(F.desc("n"), "word").limit(BROADCAST_WORDS).toArrow()
     keys = frequent.column("word").to_numpy().astype(np.int64).view(np.uint64)
     rank = np.argsort(keys)
-    mixer, away = trained(docs.select("text", (F.lit(True) if fold is None else fold).alias("learned")))
-    freed(spark)
-    shared = spark.sparkContext.broadcast((mixer, keys[rank], np.log10(frequent.column("n").to_numpy().astype(float) + 1)[rank]))
+    mixer = train(learned)
+    gc.collect()  # lets Spark delete the shuffle files of settled tables
+    shared = spark.sparkContext.broadcast((mixer, keys[rank], frequent.column("n").to_numpy().astype(float)[rank]))
 
     def scored(batches):
-        mixer, known, logs = shared.value
+        mixer, known, n = shared.value
         for batch in batches:
             texts = lowered(batch.column(1).cast(pa.binary()).to_pylist())
-            parts = [mixer.known_bits(texts[a:b]) for a, b in runs(texts)]
-            bits = np.concatenate([np.empty(0), *[p[0] for p in parts]])
-            others, sizes = np.concatenate([np.empty(0, np.uint64), *[p[1] for p in parts]]), np.concatenate([np.empty(0, int), *[np.diff(p[2], prepend=0) for p in parts]])
-            strange = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32)), pa.array(others.view(np.int64)))
-            tokens, found, base, rare = [], [], [], []
-            for text in texts:
-                own = text.split()
-                h = np.fromiter(map(xxhash.xxh3_64_intdigest, [*own, b""]), np.uint64, len(own) + 1)
+            tokens, found, base, bits, rare, costs, sizes = [], [], [], [], [], [], []
+            for a, b in runs(texts):
+                outside, owner, own, follows = mixer.tokens(texts[a:b])
+                split = [t.split() for t in texts[a:b]]
+                h = np.fromiter((xxhash.xxh3_64_intdigest(w) for s in split for w in [*s, b""]), np.uint64)
+                where = np.repeat(np.arange(b - a), [len(s) + 1 for s in split])
+                word = np.ones(len(h), bool)
+                word[np.cumsum([len(s) + 1 for s in split]) - 1] = False  # the end marks
                 hit = np.zeros(len(h), bool)
+                count = np.zeros(len(h))
                 if len(known):
                     at = np.minimum(np.searchsorted(known, h), len(known) - 1)
                     hit = known[at] == h
-                    base.append(logs[at[hit]].sum())
-                else:
-                    base.append(0.0)
-                tokens.append(len(h))
-                found.append(int(hit.sum()))
-                rare.append(h[~hit].view(np.int64))
-            ends = np.r_[0, np.cumsum([len(x) for x in rare])].astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(rare) if rare else np.empty(0, np.int64)))
-            size_ = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(tokens, pa.int64()), pa.array(found, pa.int64()), pa.array(base, pa.float64()), pa.array(bits), pa.array(size_), lists, strange], ["doc_id", "n_tokens", "found", "base", "bits", "size", "rare", "strange"])
+                    count = np.where(hit, n[at], 0.0)
+                tokens.append(np.bincount(where, minlength=b - a))
+                found.append(np.bincount(where[hit], minlength=b - a))
+                base.append(np.bincount(where[hit], np.log10(count[hit] + 1), b - a))
+                mixed = mixture(own, count[word] / all_words, follows)
+                here = hit[word]
+                bits.append(outside + np.bincount(owner[here], mixed[here], b - a))
+                # Words that do not stand here: their cost by bytes, and of what follows, waits for their counts.
+                cost = np.zeros(len(h))
+                cost[word] = own
+                after = np.ones(len(h))
+                after[word] = follows
+                rare.append(h[~hit].view(np.int64)), costs.append(np.stack([cost[~hit], after[~hit]])), sizes.append(np.bincount(where[~hit], minlength=b - a))
+            flat = lambda x, kind: np.concatenate([np.empty(0, kind), *x]).astype(kind)
+            bounds = pa.array(np.r_[0, np.cumsum(flat(sizes, np.int64))].astype(np.int32))
+            lists = [pa.ListArray.from_arrays(bounds, pa.array(x)) for x in (flat(rare, np.int64), flat([c[0] for c in costs], np.float64), flat([c[1] for c in costs], np.float64))]
+            bytes_ = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), *map(pa.array, (flat(tokens, np.int64), flat(found, np.int64), flat(base, np.float64), flat(bits, np.float64), bytes_)), *lists],
+                ["doc_id", "n_tokens", "found", "base", "bits", "size", "rare", "cost", "follows"],
+            )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, n_tokens long, found long, base double, bits double, size long, rare array<long>, strange array<long>"
+    schema = f"doc_id {kind}, n_tokens long, found long, base double, bits double, size long, rare array<long>, cost array<double>, follows array<double>"
     rows = settled(docs.select("doc_id", "text").mapInArrow(scored, schema).withColumn("row", F.monotonically_increasing_id()), "scored")
-    rare = rows.select("row", F.explode("rare").alias("word")).groupBy("row", "word").agg(F.count(F.lit(1)).alias("times"))
-    more = rare.join(words, "word").groupBy("row").agg(F.sum(F.col("times") * F.log10(F.col("n") + 1.0)).alias("more"), F.sum("times").alias("times"))
-    strange = rows.select("row", F.explode("strange").alias("key"))
-    rest = strange.join(away.withColumnRenamed("bits", "cost"), "key").groupBy("row").agg(F.sum(F.col("cost").cast("double")).alias("rest"))
-    out = rows.drop("rare", "strange").join(more, "row", "left").join(rest, "row", "left")
+    each = rows.select("row", F.explode(F.arrays_zip("rare", "cost", "follows")).alias("x")).select("row", F.col("x.rare").alias("word"), "x.cost", "x.follows")
+    known = each.join(words, "word", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    by_bytes = F.log2(F.lit(1 - WORD_SHARE)) - F.col("cost")
+    by_word = F.log2(F.lit(WORD_SHARE / all_words) * F.col("n") * F.col("follows"))
+    top = F.greatest(by_bytes, by_word)  # a word without count has no by_word
+    mixed = F.when(F.col("n") > 0, -(top + F.log2(F.pow(F.lit(2.0), by_bytes - top) + F.pow(F.lit(2.0), by_word - top)))).otherwise(-by_bytes)
+    more = known.groupBy("row").agg(
+        F.sum(F.when(F.col("n") > 0, F.log10(F.col("n") + 1.0)).otherwise(0.0)).alias("more"),
+        F.sum((F.col("n") > 0).cast("long")).alias("times"),
+        F.sum(F.when(F.col("word") == end, 0.0).otherwise(mixed)).alias("rest"),
+    )
+    out = rows.drop("rare", "cost", "follows").join(more, "row", "left")
     bits = F.col("bits") + F.coalesce("rest", F.lit(0.0))
     base = F.col("base") + F.coalesce("more", F.lit(0.0)) - F.col("n_tokens") * F.lit(below)
     return out.select("doc_id", "n_tokens", (F.col("found") + F.coalesce("times", F.lit(0))).alias("n_known"), F.lit(size["n"]).cast("long").alias("train_tokens"), base.alias("base_score"), (bits * F.lit(-float(np.log10(2)))).alias("score"), (bits / F.col("size")).alias("bits_per_byte"))
@@ -523,4 +495,4 @@ def scores(docs: DataFrame, fold=None) -> DataFrame:
 def op8_lm(spark, sf_dir: str) -> DataFrame:
     held = crc_of_id(F.col("doc_id"), FOLDS) == HELD_OUT
     found = scores(load(spark, sf_dir, "documents"), ~held)
-    return found.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    return found.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte")
