@@ -43,7 +43,7 @@ def settled(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-#: Columns that tell rows apart where ids repeat or are null; input columns of these names are replaced.
+#: Columns that tell rows apart where ids repeat or are null; a table that has both keeps them.
 FILE, ROW = "__row_file", "__row_place"
 #: Bits of a sieve, and of one of its words.
 SIEVE_BITS, WORD_BITS = 26, 6
@@ -54,24 +54,56 @@ def with_rows(df: DataFrame) -> DataFrame:
 
     Rows of files are known by file and place there; any other table is written to the shared folder first.
     """
-    df = df.drop(FILE, ROW)
+    if FILE in df.columns and ROW in df.columns:
+        return df
     try:
         return df.select("*", F.xxhash64("_metadata.file_path").alias(FILE), F.col("_metadata.row_index").alias(ROW))
     except AnalysisException:
         return settled(df.withColumns({FILE: F.lit(0).cast("long"), ROW: F.monotonically_increasing_id()}), "rows")
 
 
+def _place(place: Column) -> tuple[Column, Column]:
+    """Word and bit of a place of the bitmap."""
+    return F.shiftright(place, WORD_BITS), F.call_function("shiftleft", F.lit(1).cast("long"), place.bitwiseAND((1 << WORD_BITS) - 1).cast("int"))
+
+
+def _marked(rows: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
+    """rows with __marked: whether a bitmap of the hashes of keys, of 2**20 words at most, has the row's columns ``on``."""
+    word, bit = _place(F.shiftrightunsigned(F.xxhash64(*on), 64 - SIEVE_BITS))
+    marks = settled(keys.groupBy(word.alias("__word")).agg(F.bit_or(bit).alias("__bits")), "sieve")
+    held = rows.withColumn("__at", word).join(F.broadcast(marks), F.col("__at") == F.col("__word"), "left")
+    return held.withColumn("__marked", F.coalesce(F.col("__bits").bitwiseAND(bit) != 0, F.lit(False))).drop("__at", "__word", "__bits")
+
+
+def bitmap(keys: DataFrame, place: str) -> np.ndarray:
+    """The bitmap of places (of SIEVE_BITS bits) as bytes: 8 MB on the driver, whatever the number of rows; see in_bitmap."""
+    word, bit = _place(F.col(place))
+    found = keys.groupBy(word.alias("word")).agg(F.bit_or(bit).alias("bits")).toArrow()
+    words = np.zeros(1 << SIEVE_BITS - WORD_BITS, np.int64)
+    words[found.column("word").to_numpy()] = found.column("bits").to_numpy()
+    return words.view(np.uint8)
+
+
+def in_bitmap(bits: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """Whether places (of SIEVE_BITS bits) are marked."""
+    return (bits[places >> 3] >> (places & 7).astype(np.uint8)) & 1 == 1
+
+
 def sieved(rows: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
     """The rows of ``rows`` whose columns ``on`` are in keys.
 
     A bitmap of hashed keys goes first, so that few other rows are shuffled: it is broadcast as at most 2**20 words,
     whatever the number of keys. The join after it is exact.
     """
-    place = F.shiftrightunsigned(F.xxhash64(*on), 64 - SIEVE_BITS)
-    word, bit = F.shiftright(place, WORD_BITS), F.shiftleft(F.lit(1).cast("long"), place.bitwiseAND((1 << WORD_BITS) - 1).cast("int"))
-    marks = settled(keys.groupBy(word.alias("__word")).agg(F.bit_or(bit).alias("__bits")), "sieve")
-    held = rows.withColumn("__at", word).join(F.broadcast(marks), F.col("__at") == F.col("__word")).where(F.col("__bits").bitwiseAND(bit) != 0)
-    return held.drop("__at", "__word", "__bits").join(keys.select(*on).distinct(), on, "left_semi").select(*rows.columns)
+    held = _marked(rows, keys, on).where("__marked")
+    return held.join(keys.select(*on).distinct(), on, "left_semi").select(*rows.columns)
+
+
+def without(rows: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
+    """The rows of ``rows`` whose columns ``on`` are not in keys; only those that a bitmap of bounded size marks are shuffled."""
+    held = _marked(rows, keys, on)
+    doubtful = held.where("__marked").join(keys.select(*on).distinct(), on, "left_anti")
+    return held.where(~F.col("__marked")).select(*rows.columns).unionByName(doubtful.select(*rows.columns))
 
 
 def by_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:

@@ -1,16 +1,21 @@
 """Benchmark decontamination by template canonicalisation.
 
 Texts and benchmark items become word templates: numbers, names and units are typed placeholders, other words their
-lower-cased selves. Items are cut in windows of five template words; a table of the windows' hashes is joined to the
-documents' windows. A document that has at least 75 % of an item's windows, with one and the same value in all places of
-a slot (along one alignment), is contaminated, so a question with other numbers or names is caught too.
-
-The windows of the benchmark are broadcast in slices of bounded size: a larger benchmark takes more passes, not more
-memory. No document moves, whatever its source, so hot sources and common passages do not matter.
-
-Defined cases: null and empty texts and items have no words and match nothing; an item of fewer than five template words
-is one window; repeated items count once each; a document that holds several items reports the smallest item of the best
-coverage; an empty benchmark leaves all documents clean; columns other than those named pass through unread.
+lower-cased selves. Both are cut in windows of five template words and joined by the windows' hashes.
+
+1. Items: every distinct window with its place and the values in its slots, one row each.
+2. Documents: one pass cuts every text and keeps the windows that a bitmap of the benchmark's hashes has (8 MB for any
+   benchmark; what it lets through wrongly costs a row, no result), with their slots' values.
+3. Candidates: a document that has at least 75 % of an item's n windows has one of any n - ceil(0.75 n) + 1 of them, so
+   the documents' windows are joined to as many of each item's rarest windows, and to no others. This loses nothing.
+4. Check: all windows of a candidate pair are joined. The document is contaminated if they cover 75 % of the item and,
+   along each alignment, places of the item that hold one and the same value hold one in the document too (a quarter of
+   them may differ), so a question with other numbers or names is caught and a mere likeness is not.
+
+Defined cases: null and empty texts and items have no words and match nothing; a text or item of fewer than five template
+words is one window of its own; repeated items count once each; a document that holds several items reports the smallest
+item of the best coverage (null last); an empty benchmark leaves all documents clean; ids may be of any type, null or
+repeated, as documents are told apart by row; an input column ``leak`` is replaced, other columns pass through unread.
 """
 
 from __future__ import annotations
@@ -18,17 +23,15 @@ from __future__ import annotations
 import re
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import by_batches, chained, load
+from .common import FILE, ROW, SIEVE_BITS, bitmap, by_batches, chained, in_bitmap, load, mixed64, settled, with_rows, without
 
 #: Template words of a window, and the share of an item's windows, in hundredths, that contaminates.
 WORDS, LEAST = 5, 75
-#: Characters of benchmark items that one slice broadcasts.
-SLICE_CHARS = 8_000_000
 #: Distinct words that a task remembers before it starts anew.
 MEMORY = 300_000
 #: Share of repeated slots that may disagree.
@@ -89,103 +92,108 @@ def slot_value(words: np.ndarray, at: np.ndarray, tokens: list[str], i: int) ->
     return " ".join(t.lower() for t in tokens[at[i] : end] if t not in ".!?\n") if words[i] == NAME else tokens[at[i]].lower()
 
 
-class Items:
-    """A slice of the benchmark: sorted window hashes with the item and place of each, and the items' slots."""
+def slot_values(words: np.ndarray, at: np.ndarray, tokens: list[str], first: int) -> list[str | None]:
+    """The values in the slots of the window that begins at first; null where no slot is."""
+    return [slot_value(words, at, tokens, i) for i in range(first, min(first + WORDS, len(words)))]
+
 
-    def __init__(self, rows: list[tuple[int, str | None]]):
-        memory, hashes, owners, places = Memory(), [], [], []
-        self.ids, self.sizes, self.slots = [], [], []
-        for item, text in rows:
+ITEM = "item long, size int, place int, hash long, slots array<string>"
+
+
+def _item_windows(batches):
+    """Of (item, text): each distinct window of an item with its first place, and how many the item has."""
+    memory = Memory()
+    for batch in batches:
+        rows = []
+        for item, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             words, at, tokens = template(text, memory)
-            if not len(words):
-                continue
             own, first = np.unique(windows(words), return_index=True)
-            hashes.append(own), places.append(first), owners.append(np.full(len(own), len(self.ids)))
-            self.ids.append(item), self.sizes.append(len(own))
-            self.slots.append({i: v for i in range(len(words)) if (v := slot_value(words, at, tokens, i)) is not None})
-        join = lambda xs, kind: np.concatenate(xs) if xs else np.empty(0, kind)
-        rank = np.argsort(join(hashes, np.uint64), kind="stable")
-        self.hashes, self.owners, self.places = (join(x, k)[rank] for x, k in ((hashes, np.uint64), (owners, np.int64), (places, np.int64)))
-
-    def matched(self, text: str | None, memory: Memory) -> list[tuple[int, float]]:
-        """(item, coverage) of the items that the text holds."""
-        words, at, tokens = template(text, memory)
-        own = windows(words)
-        if not len(own) or not len(self.hashes):
-            return []
-        low = np.searchsorted(self.hashes, own)
-        hit = np.flatnonzero(self.hashes[np.minimum(low, len(self.hashes) - 1)] == own)
-        if not len(hit):
-            return []
-        n = np.searchsorted(self.hashes, own[hit], side="right") - low[hit]
-        doc = np.repeat(hit, n)
-        row = np.repeat(low[hit], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        owner, place = self.owners[row], self.places[row]
-        seen = np.unique(np.stack([owner, place]), axis=1)[0]
-        found = []
-        for item, count in zip(*np.unique(seen, return_counts=True), strict=True):
-            if 100 * count >= LEAST * self.sizes[item]:
-                mine = owner == item
-                if self._consistent(int(item), doc[mine], place[mine], words, at, tokens):
-                    found.append((self.ids[item], count / self.sizes[item]))
-        return found
-
-    def _consistent(self, item, doc, place, words, at, tokens) -> bool:
-        slots = self.slots[item]
-        if not slots:
-            return True
-        places: dict[tuple[int, str], set] = {}
-        for d, p in {(d + j, p + j) for d, p in zip(doc.tolist(), place.tolist(), strict=True) for j in range(WORDS) if p + j in slots and d + j < len(words)}:
-            places.setdefault((d - p, slots[p]), set()).add(d)
-        repeated = [{slot_value(words, at, tokens, d) for d in v} for v in places.values() if len(v) > 1]
-        return sum(len(v) > 1 for v in repeated) <= MOST_BROKEN * len(repeated)
-
-
-def slices(benchmark: DataFrame) -> list[list[tuple]]:
-    """The items in slices of about SLICE_CHARS characters, each one read from the table when it is needed."""
-    size = benchmark.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
-    n = max(1, -(-size // SLICE_CHARS))
-    for k in range(n):
-        part = benchmark.select("item_id", "text").where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k)
-        yield [(r["item_id"], r["text"]) for r in part.orderBy("item_id", "text").toLocalIterator()]
-
-
-def _leak_column(shared, kind: str):
-    """The function text -> (n_items, best_item, coverage) for a broadcast slice; it runs once per row."""
-
-    def leak(texts: pd.Series) -> pd.DataFrame:
-        items, memory, found = shared.value, Memory(), []
-        for text in texts:
-            hits = items.matched(text, memory)
-            best = min(hits, key=lambda x: (-x[1], x[0] is None, x[0] or 0), default=(None, 0.0))
-            found.append((len(hits), *best))
-        frame = pd.DataFrame(found, columns=["n_items", "best_item", "coverage"], dtype=object)
-        return frame.astype({"n_items": "int64", "coverage": "float64"})
-
-    return F.pandas_udf(leak, f"struct<n_items: long, best_item: {kind}, coverage: double>").asNondeterministic()
+            rows += [(item, len(own), int(i), int(h), slot_values(words, at, tokens, int(i))) for h, i in zip(own.view(np.int64), first, strict=True)]
+        kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.string())]
+        columns = list(zip(*rows, strict=True)) or [()] * 5
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["item", "size", "place", "hash", "slots"])
+
+
+def sieve_place(hashes: np.ndarray) -> np.ndarray:
+    return (mixed64(hashes) >> np.uint64(64 - SIEVE_BITS)).astype(np.int64)
+
+
+def hits_of(docs: DataFrame, marks: np.ndarray) -> DataFrame:
+    """(FILE, ROW, hash, at, values) of the windows of every text that the bitmap has."""
+    shared = docs.sparkSession.sparkContext.broadcast(marks)
+
+    def cut(batches):
+        memory, bits = Memory(), shared.value
+        for batch in batches:
+            owner, hashes, places, values = [], [], [], []
+            for row, text in enumerate(batch.column(2).to_pylist()):
+                words, at, tokens = template(text, memory)
+                own = windows(words)
+                with np.errstate(over="ignore"):
+                    found = np.flatnonzero(in_bitmap(bits, sieve_place(own))) if len(own) else own
+                owner += [row] * len(found)
+                hashes += own[found].view(np.int64).tolist() if len(found) else []
+                places += found.tolist()
+                values += [slot_values(words, at, tokens, int(i)) for i in found]
+            take = pa.array(owner, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(hashes, pa.int64()), pa.array(places, pa.int32()), pa.array(values, pa.list_(pa.string()))], [FILE, ROW, "hash", "at", "values"])
+
+    return docs.select(FILE, ROW, "text").mapInArrow(cut, f"{FILE} long, {ROW} long, hash long, at int, values array<string>")
+
+
+def _marks(batches):
+    """The places in the bitmap of a column of hashes."""
+    for batch in batches:
+        with np.errstate(over="ignore"):
+            yield pa.RecordBatch.from_arrays([pa.array(sieve_place(batch.column(0).to_numpy().view(np.uint64)))], ["at"])
+
+
+def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """(FILE, ROW, n_items, best_item, coverage) of the rows of docs, which has FILE and ROW, that hold benchmark items."""
+    by_batches(docs.sparkSession)
+    items = settled(benchmark.select("item_id", "text").withColumn("item", F.monotonically_increasing_id()), "items")
+    parts = settled(items.select("item", "text").mapInArrow(_item_windows, ITEM), "item-windows")
+    marks = bitmap(parts.select("hash").mapInArrow(_marks, "at long"), "at")
+    hits = settled(hits_of(docs, marks), "window-hits")
+    row = [FILE, ROW]
+    seen = hits.groupBy("hash").agg(F.count(F.lit(1)).alias("seen"))
+    rarest = Window.partitionBy("item").orderBy(F.coalesce("seen", F.lit(0)), "hash")
+    spare = F.col("size") - F.ceil(F.col("size") * LEAST / 100) + 1
+    asked = parts.join(seen, "hash", "left").withColumn("rank", F.row_number().over(rarest)).where(F.col("rank") <= spare)
+    candidates = hits.select(*row, "hash").join(asked.select("hash", "item"), "hash").select(*row, "item").distinct()
+    pairs = candidates.join(parts, "item").join(hits, [*row, "hash"])
+    pairs = settled(pairs.select(*row, "item", "size", "place", "at", "slots", "values"), "candidates")
+    covered = pairs.groupBy(*row, "item").agg(F.countDistinct("place").alias("n"), F.max("size").alias("size")).where(F.col("n") * 100 >= F.col("size") * LEAST)
+    # Each slot's value in the item and in the document, by alignment; a slot stands in up to five windows.
+    slot = pairs.select(*row, "item", "at", (F.col("at") - F.col("place")).alias("shift"), F.posexplode(F.arrays_zip("slots", "values")).alias("j", "x")).where("x.slots is not null")
+    slot = slot.select(*row, "item", "shift", F.col("x.slots").alias("value"), (F.col("at") + F.col("j")).alias("place"), F.col("x.values").alias("found")).distinct()
+    same = slot.groupBy(*row, "item", "shift", "value").agg(F.count(F.lit(1)).alias("places"), (F.count_distinct(F.coalesce("found", F.lit(""))) > 1).cast("int").alias("broken")).where("places > 1")
+    broken = same.groupBy(*row, "item").agg(F.sum("broken").alias("broken"), F.count(F.lit(1)).alias("repeated"))
+    whole = covered.join(broken, [*row, "item"], "left").where(F.coalesce(F.col("broken") <= F.col("repeated") * MOST_BROKEN, F.lit(True)))
+    best = F.struct((-F.col("n") / F.col("size")).alias("missing"), F.col("item_id").isNull().alias("nameless"), "item_id")
+    found = whole.join(items.select("item", "item_id"), "item").groupBy(*row).agg(F.count(F.lit(1)).alias("n_items"), F.min(best).alias("best"))
+    return found.select(*row, "n_items", F.col("best.item_id").alias("best_item"), (-F.col("best.missing")).alias("coverage"))
 
 
 def flagged(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs with the column leak: struct of n_items, best_item and coverage (0, null and 0.0 for clean documents)."""
-    spark = docs.sparkSession
-    by_batches(spark)
-    kind = benchmark.schema["item_id"].dataType.simpleString()
-    out, leaks = docs, []
-    for k, rows in enumerate(slices(benchmark)):
-        shared = spark.sparkContext.broadcast(Items(rows))
-
-        out = out.withColumn(f"_leak{k}", _leak_column(shared, kind)("text"))
-        leaks.append(f"_leak{k}")
-    best = F.array_max(F.array(*[F.struct(F.col(f"{x}.coverage").alias("coverage"), F.negative(F.col(f"{x}.best_item")).alias("low"), F.col(f"{x}.n_items").alias("n_items")) for x in leaks]))
-    total = sum((F.col(f"{x}.n_items") for x in leaks), F.lit(0))
-    return out.withColumn("_best", best).withColumn("leak", F.struct(total.cast("long").alias("n_items"), F.negative(F.col("_best.low")).alias("best_item"), F.col("_best.coverage").alias("coverage"))).drop("_best", *leaks)
+    rows = with_rows(docs)
+    found = leaks(rows, benchmark)
+    leak = F.struct(F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"), F.col("best_item"), F.coalesce("coverage", F.lit(0.0)).alias("coverage"))
+    kept = [c for c in docs.columns if c != "leak"]
+    own = found.select(FILE, ROW, leak.alias("leak"))
+    clean = F.struct(F.lit(0).cast("long").alias("n_items"), F.lit(None).cast(benchmark.schema["item_id"].dataType).alias("best_item"), F.lit(0.0).alias("coverage"))
+    return rows.select(*kept, FILE, ROW).join(own, [FILE, ROW], "left").select(*kept, F.coalesce("leak", clean).alias("leak"))
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs that hold no benchmark item."""
-    return flagged(docs, benchmark).where("leak.n_items = 0").select(*docs.columns)
+    rows = with_rows(docs)
+    return without(rows, settled(leaks(rows, benchmark).select(FILE, ROW), "leaks"), [FILE, ROW]).select(*docs.columns)
 
 
 def op9_decontamination(spark, sf_dir: str) -> DataFrame:
-    found = flagged(load(spark, sf_dir, "documents").select("doc_id", "text"), load(spark, sf_dir, "benchmark"))
-    return found.select("doc_id", (F.col("leak.n_items") > 0).alias("contaminated"), "leak.n_items", "leak.best_item", "leak.coverage")
+    rows = with_rows(load(spark, sf_dir, "documents"))
+    found = leaks(rows, load(spark, sf_dir, "benchmark"))
+    n = F.coalesce("n_items", F.lit(0)).cast("long")
+    return rows.select("doc_id", FILE, ROW).join(found, [FILE, ROW], "left").select("doc_id", (n > 0).alias("contaminated"), n.alias("n_items"), "best_item", F.coalesce("coverage", F.lit(0.0)).alias("coverage"))

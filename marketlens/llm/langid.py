@@ -15,10 +15,12 @@ go to the smaller language name; only doc_id, text and (for training) lang are r
 from __future__ import annotations
 
 import sys
+from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import by_batches, crc_of_id, load, settled
@@ -33,6 +35,8 @@ MODEL_GRAMS = 400_000
 CHUNK, HELD_GRAMS = 1_000_000, 1_000_000
 #: Standard deviations above the mean that reject, and the least deviation.
 SPREADS, LEAST_SPREAD = 8.0, 0.05
+#: Characters whose cross-entropy makes a text's score; more do not make it surer.
+SURE_CHARS = 50
 
 _letters: np.ndarray | None = None
 
@@ -184,42 +188,67 @@ def train(docs: DataFrame) -> Model:
     return Model(tables)
 
 
-def identify(docs: DataFrame, fold=None) -> DataFrame:
-    """(doc_id, lang_pred, score, bits, chars, rejected) for every row of docs, learned from its rows where fold holds."""
-    spark = docs.sparkSession
-    by_batches(spark)
-    fold = F.lit(True) if fold is None else fold
-    model = train(docs.where(fold))
-    shared = spark.sparkContext.broadcast(model)
+def judged(model: Model, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Language, score, bits per character and characters of each text."""
+    parts = []
+    for a, b in chunks(texts) if model.langs else ():
+        ce, n = model.cross_entropy(texts[a:b])
+        best = ce.argmin(axis=1)
+        gap = (ce - ce.min(axis=1, keepdims=True)) * np.minimum(n, SURE_CHARS)[:, None]
+        score = np.where(n > 0, 1 / np.exp2(-gap).sum(axis=1), 0.0)
+        parts.append((np.where(n > 0, np.array(model.langs, object)[best], "und"), score, ce.min(axis=1), n))
+    return tuple(np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.full(len(texts), "und", object), *[np.zeros(len(texts))] * 3)
+
+
+def scored_by(model: Model, docs: DataFrame) -> DataFrame:
+    """(doc_id, learned, lang_pred, score, bits, chars): each row of docs by the model; learned is its own lang."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def scored(batches):
-        model = shared.value
         for batch in batches:
-            texts, parts = batch.column(1).to_pylist(), []
-            for a, b in chunks(texts) if model.langs else ():
-                ce, n = model.cross_entropy(texts[a:b])
-                best = ce.argmin(axis=1)
-                gap = (ce - ce.min(axis=1, keepdims=True)) * np.minimum(n, 50)[:, None]
-                score = np.where(n > 0, 1 / np.exp2(-gap).sum(axis=1), 0.0)
-                parts.append((np.where(n > 0, np.array(model.langs, object)[best], "und"), score, ce.min(axis=1), n))
-            lang, score, bits, n = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.full(len(texts), "und", object), *[np.zeros(len(texts))] * 3)
+            lang, score, bits, n = judged(shared.value, batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(bits, pa.float64()), pa.array(n.astype(np.int64))], ["doc_id", "learned", "lang_pred", "score", "bits", "chars"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    learned = F.when(fold & F.col("text").isNotNull(), F.col("lang").cast("string")).alias("learned")
+    learned = F.when(F.col("text").isNotNull(), F.col("lang").cast("string")).alias("learned")
     schema = f"doc_id {kind}, learned string, lang_pred string, score double, bits double, chars long"
-    found = settled(docs.select("doc_id", "text", learned).mapInArrow(scored, schema), "languages")
-    # Calibration: cross-entropy of training texts by language and length class (a bounded table), and by language.
-    length = F.least(F.floor(F.log2(F.greatest("chars", F.lit(1)))), F.lit(12)).alias("length")
-    right = found.where("learned = lang_pred and chars > 0").select("lang_pred", "bits", length)
-    stats = [F.count(F.lit(1)).alias("n"), F.avg("bits").alias("mean"), F.coalesce(F.stddev_pop("bits"), F.lit(0.0)).alias("spread")]
-    near = right.groupBy(F.col("lang_pred").alias("l1"), F.col("length").alias("k1")).agg(*stats).where("n >= 30").drop("n")
-    wide = right.groupBy(F.col("lang_pred").alias("l2")).agg(*stats).select("l2", F.col("mean").alias("mean2"), F.col("spread").alias("spread2"))
-    out = found.withColumn("length", length)
+    return docs.select("doc_id", "text", learned).mapInArrow(scored, schema)
+
+
+def length_class() -> Column:
+    return F.least(F.floor(F.log2(F.greatest("chars", F.lit(1)))), F.lit(12)).alias("length")
+
+
+def calibration(found: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Mean and spread of the cross-entropy of training texts by language and length class, and by language: bounded tables."""
+    right = found.where("learned = lang_pred and chars > 0").select("lang_pred", "bits", length_class())
+    sums = right.groupBy("lang_pred", "length").agg(F.count(F.lit(1)).alias("n"), F.sum("bits").alias("s"), F.sum(F.col("bits") * F.col("bits")).alias("q"))
+    sums = settled(sums, "calibration")
+
+    def spread(n, s, q):
+        return F.sqrt(F.greatest(q / n - (s / n) * (s / n), F.lit(0.0)))
+
+    near = sums.where("n >= 30").select(F.col("lang_pred").alias("l1"), F.col("length").alias("k1"), (F.col("s") / F.col("n")).alias("mean"), spread(F.col("n"), F.col("s"), F.col("q")).alias("spread"))
+    whole = sums.groupBy(F.col("lang_pred").alias("l2")).agg(*[F.sum(x).alias(x) for x in ("n", "s", "q")])
+    wide = whole.select("l2", (F.col("s") / F.col("n")).alias("mean2"), spread(F.col("n"), F.col("s"), F.col("q")).alias("spread2"))
+    return near, wide
+
+
+def identify(docs: DataFrame, fold=None) -> DataFrame:
+    """(doc_id, lang_pred, score, bits, chars, rejected) for every row of docs, learned from its rows where fold holds."""
+    by_batches(docs.sparkSession)
+    fold = F.lit(True) if fold is None else fold
+    model = train(docs.where(fold))
+    found = settled(scored_by(model, docs.withColumn("lang", F.when(fold, F.col("lang")))), "languages")
+    near, wide = calibration(found)
+    out = found.withColumn("length", length_class())
     out = out.join(F.broadcast(near), (F.col("lang_pred") == F.col("l1")) & (F.col("length") == F.col("k1")), "left").join(F.broadcast(wide), F.col("lang_pred") == F.col("l2"), "left")
     most = F.coalesce("mean", "mean2") + SPREADS * F.greatest(F.coalesce("spread", "spread2"), F.lit(LEAST_SPREAD))
     rejected = (F.col("chars") == 0) | F.coalesce(F.col("bits") > most, F.lit(False))
-    return out.select("doc_id", "lang_pred", "score", "bits", "chars", rejected.alias("rejected"))
+    # What lies beyond the limit lowers the score of a rejected text.
+    beyond = F.least(F.col("chars"), F.lit(SURE_CHARS)) * F.greatest(F.col("bits") - most, F.lit(0.0))
+    score = F.col("score") * F.coalesce(F.pow(F.lit(0.5), beyond), F.lit(1.0))
+    return out.select("doc_id", "lang_pred", score.alias("score"), "bits", "chars", rejected.alias("rejected"))
 
 
 def in_fold():
@@ -227,9 +256,26 @@ def in_fold():
 
 
 def with_known_language(docs: DataFrame) -> DataFrame:
-    """The rows of docs that are not rejected."""
-    bad = identify(docs, in_fold()).where("rejected").select("doc_id").distinct()
-    return docs.join(bad, "doc_id", "left_anti").select(*docs.columns)
+    """The rows of docs that are not rejected; each row is judged by its own text, whatever its id."""
+    by_batches(docs.sparkSession)
+    model = train(docs.where(in_fold()))
+    found = scored_by(model, docs.where(in_fold()))
+    near, wide = calibration(found)
+    # Bounded tables: one row for each language, and for each language and length class.
+    limits = {(r["l1"], r["k1"]): r["mean"] + SPREADS * max(r["spread"], LEAST_SPREAD) for r in near.collect()}
+    limits |= {(r["l2"], None): r["mean2"] + SPREADS * max(r["spread2"], LEAST_SPREAD) for r in wide.collect()}
+    shared = docs.sparkSession.sparkContext.broadcast((model, limits))
+
+    @F.pandas_udf("boolean")
+    def known(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        model, limits = shared.value
+        for texts in parts:
+            lang, _, bits, n = judged(model, [None if x is None else x for x in texts.tolist()])
+            length = np.minimum(np.floor(np.log2(np.maximum(n, 1))), 12)
+            most = np.array([limits.get((x, int(k)), limits.get((x, None), np.inf)) for x, k in zip(lang, length, strict=True)])
+            yield pd.Series((n > 0) & (bits <= most))
+
+    return docs.where(known("text"))
 
 
 def op5_langid(spark, sf_dir: str) -> DataFrame:

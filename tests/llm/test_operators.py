@@ -93,12 +93,24 @@ def test_near_duplicates_of_odd_rows(odd, none):
     assert (4, 0, 4, True) in found and (5, 0, 5, True) in found and (6, 1, 6, True) in found and (7, 1, 6, False) in found
     assert (None, 36, 1, False) in found and (None, 0, None, False) in found
     assert minhash.near_duplicates(none).count() == 0
-    assert sorted(r["doc_id"] for r in minhash.deduplicated(odd).collect()) == [1, 4, 5, 6, 8, 9]
+    kept = [r["doc_id"] for r in minhash.deduplicated(odd).collect()]
+    assert kept.count(None) == 1 and sorted(x for x in kept if x is not None) == [1, 4, 5, 6, 8, 9, 9]
+
+
+def test_near_duplicates_without_ids(spark):
+    """Rows without ids, and rows that share one, are told apart by their place."""
+    base = " ".join(f"n{i}" for i in range(40))
+    rows = [(None, base), (None, base + " more"), (5, "one two three four five six seven"), (5, base), (None, "quite another text of its own here")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = sorted((str(r["doc_id"]), r["text"][:3]) for r in minhash.deduplicated(docs).collect())
+    assert kept == [("5", "n0 "), ("5", "one"), ("None", "qui")]
 
 
 def test_blocks_cover_all_pairs(monkeypatch, spark, sf_dir, documents):
-    """Tiny blocks and cuts change nothing."""
+    """Tiny blocks, and buckets that are cut, change nothing."""
     monkeypatch.setattr(minhash, "BLOCK", 2)
+    monkeypatch.setattr(minhash, "CUT_OVER", 2)
+    monkeypatch.setattr(minhash, "HUB_ROUNDS", 1)
     found = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in minhash.op1_minhash(spark, sf_dir).collect()}
     assert found == components_by_force(zip(documents.doc_id, documents.text, strict=True))
 
@@ -468,10 +480,44 @@ def test_reparameterised_questions(spark, odd):
     assert decontam.decontaminated(odd, bench.limit(0)).count() == odd.count()
 
 
-def test_slices_change_nothing(monkeypatch, spark, sf_dir):
-    once = {tuple(r) for r in decontam.op9_decontamination(spark, sf_dir).collect()}
-    monkeypatch.setattr(decontam, "SLICE_CHARS", 3000)
-    assert {tuple(r) for r in decontam.op9_decontamination(spark, sf_dir).collect()} == once
+def leaks_by_force(docs, items):
+    """row -> items: every window of every item is looked for in every text, without hashes, rarity or joins."""
+
+    def cut(text):
+        words, at, tokens = decontam.template(text, decontam.Memory())
+        n = min(decontam.WORDS, len(words))
+        return words, at, tokens, [tuple(words[i : i + n]) for i in range(len(words) - n + 1)] if n else []
+
+    out = {}
+    known = [(i, *cut(t)) for i, t in items]
+    for row, text in enumerate(docs):
+        words, at, tokens, own = cut(text)
+        for item, iwords, iat, itokens, theirs in known:
+            both = [(d, p) for p, w in enumerate(theirs) if theirs.index(w) == p for d, x in enumerate(own) if x == w]
+            if not theirs or 100 * len({p for _, p in both}) < decontam.LEAST * len(set(theirs)):
+                continue
+            places = {}
+            for d, p in {(d + j, p + j) for d, p in both for j in range(decontam.WORDS)}:
+                if p < len(iwords) and d < len(words) and (v := decontam.slot_value(iwords, iat, itokens, p)) is not None:
+                    places.setdefault((d - p, v), {})[d] = decontam.slot_value(words, at, tokens, d)
+            repeated = [set(v.values()) for v in places.values() if len(v) > 1]
+            if sum(len(v) > 1 for v in repeated) <= decontam.MOST_BROKEN * len(repeated):
+                out.setdefault(row, set()).add(item)
+    return out
+
+
+def test_leaks_by_force(spark, sf_dir, documents):
+    """Items and their counts by document equal those of the plain search, also for ids that are text, null or repeated."""
+    items = pd.read_parquet(f"{sf_dir}/benchmark.parquet").head(60)
+    extra = "Anna paid 12 euros for 3 km of rope and Anna paid 12 euros for 4 km of wire in Bonn"
+    bench = [*zip(items.item_id.astype(str), items.text, strict=True), ("x", extra), (None, "short words only"), ("y", ""), ("z", None)]
+    texts = [*documents.text[:120], f"So. {extra.replace('12', '77').replace('Anna', 'Bob Lee')}. End", extra.replace("12 euros for 4", "13 euros for 4"), "short words only", None, "", *[t + " tail" for t in items.text[:5]]]
+    docs = spark.createDataFrame([("same" if k % 3 else None, t, k, "own") for k, t in enumerate(texts)], "doc_id string, text string, k int, leak string")
+    found = {r["k"]: r["leak"]["n_items"] for r in decontam.flagged(docs, spark.createDataFrame(bench, "item_id string, text string")).collect()}
+    expected = leaks_by_force(texts, bench)
+    assert len(found) == len(texts) and {k: n for k, n in found.items() if n} == {k: len(v) for k, v in expected.items()}
+    kept = decontam.decontaminated(docs, spark.createDataFrame(bench, "item_id string, text string"))
+    assert kept.columns == docs.columns and {r["k"] for r in kept.collect()} == set(found) - set(expected)
 
 
 def test_archives_of_odd_pages(spark, tmp_path):
