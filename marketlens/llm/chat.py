@@ -63,24 +63,40 @@ def preferences(pairs: DataFrame, conversations: DataFrame) -> DataFrame:
     return out.withColumns({**empty, "prefix_turns": F.coalesce("prefix_turns", F.lit(0)).cast("long")}).select("pair_id", "prefix_turns", "prompt", "chosen", "chosen_mask", "rejected", "rejected_mask")
 
 
-def neighbours(conversations: DataFrame) -> DataFrame:
-    """Pairs for a table without judgements: conversation 2k as chosen, 2k + 1 as rejected; a lone one has an empty side."""
-    ids = conversations.where("conv_id is not null").groupBy("conv_id").agg(F.lit(1).alias("one"))
-    even = F.pmod("conv_id", F.lit(2)) == 0
-    pair = F.floor(F.col("conv_id") / 2).alias("pair_id")
-    return ids.groupBy(pair).agg(F.min(F.when(even, F.col("conv_id"))).alias("chosen_id"), F.min(F.when(~even, F.col("conv_id"))).alias("rejected_id"))
+def with_rejected(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Pairs, and the conversations of both their sides, for a table without judgements.
+
+    Conversation c is chosen as it is; rejected is the same one with its last assistant turn (by order) taken from that of
+    conversation c + 1, or without that turn if there is none. Sides are numbered 2c and 2c + 1.
+    """
+    turns = numbered(conversations)
+    last = turns.where(F.col("role") == TRAINED_ROLE).groupBy("conv_id").agg(F.max(F.struct("place", F.coalesce("text", F.lit("")).alias("text"))).alias("last"))
+    other = last.select((F.col("conv_id") - 1).alias("conv_id"), F.col("last.text").alias("instead"))
+    facts = last.select("conv_id", F.col("last.place").alias("at")).join(other, "conv_id", "left")
+    both = turns.join(facts, "conv_id", "left")
+    chosen = both.select((F.col("conv_id") * 2).alias("conv_id"), F.col("place").alias("turn"), "role", "text")
+    swapped = F.coalesce(F.col("place") == F.col("at"), F.lit(False))
+    rejected = both.where(~swapped | F.col("instead").isNotNull()).select((F.col("conv_id") * 2 + 1).alias("conv_id"), F.col("place").alias("turn"), "role", F.when(swapped, F.col("instead")).otherwise(F.col("text")).alias("text"))
+    pairs = turns.select("conv_id").distinct().select(F.col("conv_id").alias("pair_id"), (F.col("conv_id") * 2).alias("chosen_id"), (F.col("conv_id") * 2 + 1).alias("rejected_id"))
+    return pairs, chosen.unionByName(rejected)
 
 
 def op7_chat(spark, sf_dir: str) -> DataFrame:
-    turns = load(spark, sf_dir, "conversations")
-    return preferences(neighbours(turns), turns)
+    return preferences(*with_rejected(load(spark, sf_dir, "conversations")))
 
 
 OP7_SQL = """
-WITH t AS (
-  SELECT floor(conv_id / 2.0)::BIGINT AS pair_id, CASE WHEN conv_id % 2 = 0 THEN 'chosen' ELSE 'rejected' END AS side, conv_id, role, text,
-         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS LAST, role NULLS FIRST, text NULLS FIRST) - 1 AS place
+WITH o AS (
+  SELECT conv_id AS pair_id, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS LAST, role NULLS FIRST, text NULLS FIRST) - 1 AS place
   FROM conversations WHERE conv_id IS NOT NULL),
+l AS (SELECT pair_id, max(place) AS at, arg_max(coalesce(text, ''), place) AS said FROM o WHERE role = 'assistant' GROUP BY pair_id),
+t AS (
+  SELECT pair_id, 'chosen' AS side, role, text, place FROM o
+  UNION ALL
+  SELECT o.pair_id, 'rejected', o.role, CASE WHEN o.place = l.at THEN n.said ELSE o.text END,
+         row_number() OVER (PARTITION BY o.pair_id ORDER BY o.place) - 1
+  FROM o LEFT JOIN l ON o.pair_id = l.pair_id LEFT JOIN l n ON n.pair_id = o.pair_id + 1
+  WHERE l.at IS NULL OR o.place <> l.at OR n.said IS NOT NULL),
 p AS (
   SELECT pair_id, place, count(*) AS n, count(DISTINCT coalesce('r' || role, 'n') || chr(1) || coalesce('t' || text, 'n')) AS kinds FROM t GROUP BY pair_id, place),
 x AS (

@@ -3,8 +3,9 @@
 Equal vectors are one class, so thousands of copies are one node. Classes are dealt to shards of bounded size by a hash;
 each shard is built by one task as a hierarchy of layers, and stored as one row of flat arrays: vectors, and for each
 layer its nodes and their neighbours (width M, or 2M in the bottom layer, padded by -1). Inner products become
-neighbourhood on a sphere: one more component makes all vectors as long as the longest. Queries, in blocks, visit every
-shard; a shard's beam search gives its nearest classes, and the shards' results are merged by exact double-precision
+neighbourhood on a sphere: one more component makes all vectors as long as the longest. Shards grow with the table up to
+SHARD_BYTES of memory, then their number grows. Queries, in blocks, visit every shard; pairs of block and shard are dealt
+over many tasks; a shard's beam search gives its nearest classes, and the shards' results are merged by exact double-precision
 products. Insertion goes in batches that double with the graph; a batch sees the graph before it and itself.
 
 Defined cases: vectors that are null, zero, or hold null or non-finite components take no part; vectors of another
@@ -24,8 +25,10 @@ from .common import load, settled
 
 #: Neighbours asked for; neighbours of a node in upper layers (twice that below); beam widths; nodes expanded at once.
 NEAREST, M, EF_BUILD, EF_SEARCH, EXPAND = 20, 16, 64, 96, 4
-#: Classes of a shard, and queries of a block.
-SHARD_ROWS, BLOCK = 8192, 512
+#: Classes of a shard at least, shards up to which shards grow, memory of a shard at most, and queries of a block.
+SHARD_ROWS, FEW_SHARDS, SHARD_BYTES, BLOCK = 8192, 64, 256 << 20, 512
+#: Tasks that the pairs of shards and blocks should make at least.
+SEARCH_TASKS = 64
 SEED = 17
 
 
@@ -205,16 +208,29 @@ def found_in(graphs: DataFrame, queries: DataFrame, k: int) -> DataFrame:
                 some = found >= 0
                 yield pd.DataFrame({"query": np.repeat(ids, some.sum(axis=1)), "node": found[some], "score": exact[some]})
 
+    # A block meets each shard once; shards are copied to as many salts as make enough tasks.
+    shards = graphs.groupBy("dim").agg(F.collect_set("shard").alias("shards"))
+    most = graphs.count()
+    salts = max(1, min(n, -(-SEARCH_TASKS // max(1, most))))
+    pairs = blocks.join(F.broadcast(shards), "dim").select("dim", "own", F.explode("shards").alias("shard"), F.pmod(F.xxhash64("block"), F.lit(salts)).alias("salt"))
+    copies = graphs.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
+    met = pairs.join(copies.hint("merge"), ["dim", "shard", "salt"])
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     before = spark.conf.get(key)
     spark.conf.set(key, "1")  # a row holds a shard and a block of queries
     try:
-        return settled(blocks.join(graphs, "dim").mapInPandas(search, "query long, node long, score double"), "found")
+        return settled(met.mapInPandas(search, "query long, node long, score double"), "found")
     finally:
         spark.conf.set(key, before)
 
 
-def neighbours(vectors: DataFrame, is_query, k: int = NEAREST, shard_rows: int = SHARD_ROWS) -> DataFrame:
+def shard_size(rows: int, dim: int) -> int:
+    """Classes of a shard: FEW_SHARDS shards or fewer as long as a shard fits its memory (vectors, their copies, neighbours)."""
+    fits = max(1, SHARD_BYTES // (3 * 8 * max(1, dim) + 3 * 8 * M))
+    return min(fits, max(SHARD_ROWS, -(-rows // FEW_SHARDS)))
+
+
+def neighbours(vectors: DataFrame, is_query, k: int = NEAREST, shard_rows: int | None = None) -> DataFrame:
     """(query_id, rank, vec_id, score) for the rows of vectors (vec_id, embedding) where is_query holds."""
     vec = F.col("embedding").cast("array<double>")
     fit = F.col("embedding").isNotNull() & F.coalesce(F.forall(vec, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))), F.lit(False)) & F.exists(vec, lambda x: x != 0)
@@ -222,7 +238,8 @@ def neighbours(vectors: DataFrame, is_query, k: int = NEAREST, shard_rows: int =
     rows = settled(rows.withColumn("row", F.monotonically_increasing_id()), "vectors")
     classes = rows.groupBy("vec").agg(F.min("row").alias("node"), F.max("asks").alias("asks"), F.min("vec_id").alias("low"))
     classes = settled(classes.withColumn("dim", F.size("vec")), "vector-classes")
-    size = classes.agg(F.count(F.lit(1)).alias("n"), F.max(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x * x)).alias("most")).first()
+    size = classes.agg(F.count(F.lit(1)).alias("n"), F.max(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x * x)).alias("most"), F.max("dim").alias("dim")).first()
+    shard_rows = shard_rows or shard_size(size["n"], size["dim"] or 1)
     shards = max(1, -(-size["n"] // shard_rows))
     dealt = classes.withColumn("shard", F.pmod(F.xxhash64("node"), F.lit(shards)).cast("int"))
     graphs = index(dealt, float(size["most"] or 0.0) ** 0.5)

@@ -145,6 +145,20 @@ def test_nearest_neighbours(spark, sf_dir):
     assert hits >= 0.9 * 20 * (ids % 20 == 0).sum()
 
 
+def test_shards_are_merged(spark, sf_dir):
+    """Many small shards: recall against brute force after merging, and pairs over many tasks."""
+    table = pd.read_parquet(f"{sf_dir}/embeddings.parquet")
+    found = hnsw.neighbours(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 20 == 0, shard_rows=60).toPandas()
+    vectors, ids = np.stack(table.embedding).astype(float), table.vec_id.to_numpy()
+    hits = 0
+    for q, own in found.groupby("query_id"):
+        score = vectors @ vectors[np.flatnonzero(ids == q)[0]]
+        score[ids == q] = -np.inf
+        hits += len(set(ids[np.lexsort((ids, -score))[:20]]) & set(own.vec_id))
+    assert hits >= 0.95 * 20 * (ids % 20 == 0).sum()
+    assert hnsw.shard_size(1000, 64) == 8192 and hnsw.shard_size(10**7, 64) < hnsw.shard_size(10**7, 8) and hnsw.shard_size(10**12, 64) == hnsw.shard_size(10**10, 64)
+
+
 def test_neighbours_of_odd_vectors(spark):
     same = [1.0, 2.0]
     rows = [(i, same) for i in range(0, 60)] + [(60, [0.0, 0.0]), (61, None), (62, [1.0, None]), (63, [float("nan"), 1.0]), (64, [9.0, 9.0]), (None, [5.0, 5.0]), (40, same), (80, [1.0, 2.0, 3.0])]
@@ -326,6 +340,9 @@ def test_chat(spark):
     assert (r["prefix_turns"], r["prompt"]) == (1, "<|im_start|>user\na<|im_end|>\n")
     a, b = map(int, r["chosen_mask"].split("-"))
     assert r["chosen"][a:b] == "b<|im_end|>" and r["rejected"].startswith("<|im_start|>assistant\nB")
+    own = {r["pair_id"]: r for r in chat.preferences(*chat.with_rejected(table)).collect()}
+    assert own[1]["prefix_turns"] == 1 and "<|im_start|>assistant\nB<" in own[1]["rejected"] and own[1]["chosen"].startswith("<|im_start|>assistant\nb")
+    assert (own[2]["prefix_turns"], own[2]["rejected"]) == (1, "") and own[3]["prefix_turns"] == 1 and own[3]["chosen"] == ""
     assert found[11]["prefix_turns"] == 3 and found[11]["chosen"] == found[11]["rejected"] == ""
     assert found[12]["chosen"] == "<|im_start|>unknown\n<|im_end|>\n" and found[12]["rejected"] == ""
     assert chat.preferences(pairs.limit(0), table).count() == 0
@@ -522,7 +539,7 @@ def test_leaks_by_force(spark, sf_dir, documents):
 
 def test_archives_of_odd_pages(spark, tmp_path):
     long = "é\r\n\r\nWARC/1.1\r\n" * 20
-    rows = [(1, "http://a", long), (2, "http://b", long), (2, "http://b", long), (3, None, None), (4, "u\r\nv", ""), (5, "x", "short"), (6, "x", "short"), (None, "n", long)]
+    rows = [(1, "http://a", long), (2, "http://b", long), (2, "http://c", long), (3, None, None), (4, "u\r\nv", ""), (5, "x", "short"), (6, "x", "short"), (None, "n", long)]
     pages = spark.createDataFrame([(*r, "t") for r in rows], "page_id long, url string, html string, record_type string")
     path = f"file://{tmp_path}/w"
     warc.write(pages, path)
@@ -533,10 +550,27 @@ def test_archives_of_odd_pages(spark, tmp_path):
         [("1", "response", None), ("2", "revisit", "1"), ("2", "revisit", "1"), ("3", "response", None), ("4", "response", None), ("5", "response", None), ("6", "response", None), ("", "revisit", "1")], key=lambda x: x[:2]
     )
     assert next(r for r in found if r["page_id"] == "1")["payload"].decode() == long
+    assert sorted(r["url"] for r in found if r["page_id"] == "2") == ["http://b", "http://c"]
     assert all(r["found_digest"] in (None, r["payload_digest"]) for r in found)
     assert warc.round_trip(pages.limit(0)).count() == 0
 
 
+def test_archives_are_gzip(spark, tmp_path, monkeypatch):
+    """Archives are plain gzip files, whole records of any size come back, also where only Spark can open them."""
+    import glob
+    import gzip
+
+    pages = spark.createDataFrame([(1, "a", "x" * (17 << 20)), (2, "b", "y" * 200), (3, "c", "y" * 200), (3, "c", "y" * 200)], "page_id long, url string, html string")
+    path = f"file://{tmp_path}/g"
+    warc.write(pages, path)
+    text = b"".join(gzip.open(p).read() for p in glob.glob(f"{tmp_path}/g/*.txt"))
+    assert text.count(b"WARC/1.1") == 4 and text.count(b"y" * 200) == 1
+    once = sorted((r["page_id"], r["record_type"], r["payload"] and len(r["payload"]), r["refers_to"]) for r in warc.read(warc.index(spark, path)).collect())
+    assert [x[:3] for x in once] == [("1", "response", 17 << 20), ("2", "response", 200), ("3", "revisit", None), ("3", "revisit", None)]
+    monkeypatch.setattr(warc, "opened", lambda path: None)
+    assert sorted((r["page_id"], r["record_type"], r["payload"] and len(r["payload"]), r["refers_to"]) for r in warc.read(warc.index(spark, path)).collect()) == once
+
+
 def test_ranges_join_neighbours():
     rows = [(0, 10), (10, 10), (20 + warc.MOST_GAP + 1, 5), (10**9, warc.MOST_SPAN), (10**9 + warc.MOST_SPAN, 5)]
     assert list(warc._ranges(rows)) == [(0, 2), (2, 3), (3, 4), (4, 5)]
