@@ -248,8 +248,10 @@ def train(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> Model:
     held = crc_of_id(F.col("doc_id"), FOLDS) == HELD_OUT
     known = labels.where("toxic is not null and doc_id is not null").where(~held).groupBy("doc_id").agg(F.when(F.avg("toxic") >= 0.5, 1).otherwise(0).alias("toxic"))
     known = settled(known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most), "known")
-    # At most `most` ids of bounded size are broadcast; a document's repeated rows with them are cut at the same bound.
-    labelled = settled(docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").select("text", "toxic").limit(most), "labelled")
+    # At most `most` ids of bounded size are broadcast; each has one text, of those under an id the one of smallest hash.
+    found = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id")
+    one = found.groupBy("doc_id").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text", "toxic")).alias("x"))
+    labelled = settled(one.select("x.text", "x.toxic"), "labelled")
     weights = learn_words(labelled)
     scan = scanner(weights)
 
