@@ -54,7 +54,7 @@ BUCKETS, REFINE_PULL = 17, 60.0
 #: on at once, in rows of at most STEP_ROWS besides a block.
 BLOCK, MOST_BLOCK, CHUNK, STEP_ROWS = 256, 4096, 3_000_000, 8192
 #: Slots of a block of counts that is summed as one, and text that one learning task should take.
-SLOTS, TASK_BYTES = 4096, 96 << 20
+SLOTS, TASK_BYTES = 4096, 32 << 20
 #: Share of the word model in a token's probability.
 WORD_SHARE = 0.1
 #: Words whose counts stand in each task (the rest is joined), and words that a task holds before it passes counts on.
