@@ -55,7 +55,8 @@ def without_roman_suffix(text: Column) -> Column:
 
 
 def slug(text: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(strip_accents(text), "[^a-z0-9]+", "-"), "^-|-$", "")
+    """Trimmed and lower-cased, white space as hyphens; everything but a-z, 0-9 and hyphens goes, accented letters too."""
+    return F.regexp_replace(F.regexp_replace(F.lower(F.trim(F.coalesce(text, F.lit("")))), r"\s+", "-"), "[^a-z0-9-]", "")
 
 
 def title(text: Column) -> Column:

@@ -36,9 +36,20 @@ def range_join(rows: DataFrame, ranges: DataFrame, keys: list[str], value: str,
 
 
 def nearest(rows: DataFrame, others: DataFrame, keys: list[str], row_id: str, at: str, other_at: str, other_id: str) -> DataFrame:
-    """Each row with the nearest of the others' values within its keys, ties to the smaller id."""
-    found = rows.join(others, keys).withColumn("distance", F.abs(F.col(at) - F.col(other_at)))
-    return first_by(found, [row_id], F.col("distance"), F.col(other_id))
+    """Each row with the nearest of the others' values within its keys, ties to the smaller id.
+
+    Both sides are sorted together by value; the last of the others up to a row and the first from it on are its only
+    candidates, so no pairs are made.
+    """
+    own = [c for c in others.columns if c not in keys]
+    least = others.groupBy(*keys, other_at).agg(F.min(F.struct(F.col(other_id).alias("_id"), *[F.col(c).alias(c) for c in own])).alias("_o"))
+    both = rows.select(*keys, F.col(at).alias("_at"), F.struct(*rows.columns).alias("_r"), F.lit(None).cast(least.schema["_o"].dataType).alias("_o"))
+    both = both.unionByName(least.select(*keys, F.col(other_at).alias("_at"), F.lit(None).cast(both.schema["_r"].dataType).alias("_r"), "_o"))
+    order = Window.partitionBy(*keys).orderBy("_at").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    after = Window.partitionBy(*keys).orderBy("_at").rangeBetween(Window.currentRow, Window.unboundedFollowing)
+    found = both.withColumns({"_low": F.last("_o", ignorenulls=True).over(order), "_high": F.first("_o", ignorenulls=True).over(after)}).where("_r is not null")
+    near = F.array_min(F.filter(F.array(*[F.struct(F.abs(F.col("_at") - F.col(f"{x}.{other_at}")).alias("distance"), F.col(f"{x}._id").alias("_id"), F.col(x).alias("_o")) for x in ("_low", "_high")]), lambda s: s["_o"].isNotNull()))
+    return found.withColumn("_best", near).where("_best is not null").select("_r.*", *[F.col(f"_best._o.{c}").alias(c) for c in own if c not in rows.columns], F.col("_best.distance").alias("distance"))
 
 
 def attach_in_order(left: DataFrame, right: DataFrame, keys: list[str], left_id: str, right_id: str) -> DataFrame:

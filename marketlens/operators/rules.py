@@ -5,35 +5,88 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.numbers import DEFAULT_KM_A_YEAR
+from ..functions.numbers import DEFAULT_KM_A_YEAR, KM_A_YEAR, uid_is_valid
 
 # Weight of each filter in the score.
-WEIGHTS = {"L1": 2.0, "L3": 1.5, "L4": 2.0, "L6": 1.0, "L9": 0.8, "L10": 1.0}
+WEIGHTS = {"L1": 1.0, "L2": 2.0, "L3": 1.5, "L4": 2.0, "L5": 1.5, "L6": 0.5, "L7": 1.0, "L8": 1.0, "L9": 1.5, "L10": 1.0, "L11": 1.0}
 
 
 def result(status: Column, score: Column, detail: Column) -> Column:
-    return F.struct(status.alias("status"), F.round(score.cast("double"), 4).alias("score"), detail.cast("string").alias("detail"))
+    return F.struct(status.alias("status"), F.round(score.cast("double"), 2).alias("score"), detail.cast("string").alias("detail"))
 
 
-def completeness(critical: list[str], secondary: list[str]) -> Column:
-    """Share of fields present; three critical ones missing fail, one warns, a secondary one warns."""
-    missing = lambda names: sum((F.col(c).isNull().cast("int") for c in names), F.lit(0))
-    a, b = missing(critical), missing(secondary)
+def _count(flags: list[Column]) -> Column:
+    return sum((F.coalesce(x, F.lit(False)).cast("int") for x in flags), F.lit(0))
+
+
+def completeness(critical: list[Column], secondary: list[Column]) -> Column:
+    """Share of values present; three critical ones missing fail, one warns, a secondary one warns."""
+    a, b = _count([c.isNull() for c in critical]), _count([c.isNull() for c in secondary])
     n = len(critical) + len(secondary)
     status = F.when(a >= 3, "fail").when((a >= 1) | (b >= 1), "warning").otherwise("pass")
     return result(status, (n - a - b) / F.lit(float(n)), a + b)
 
 
-def mileage(km: Column, year: Column, now_year: Column) -> Column:
-    """Mileage against what is expected of the age; a future year fails."""
-    age = now_year - year
-    expected = age * DEFAULT_KM_A_YEAR
-    ratio = F.when(age == 0, F.when(km < 20000, 1.0).otherwise(2.0)).otherwise(km / F.nullif(expected, F.lit(0)))
-    status = F.when(km.isNull() | year.isNull(), "skip").when(age < 0, "fail").when((ratio < 0.5) | (ratio > 1.5), "warning").otherwise("pass")
-    score = F.when(status == "pass", 1.0).when(status == "warning", F.when(ratio < 0.5, 0.7).otherwise(0.5)).otherwise(0.0)
+def known_model(make: Column, model: Column, generic: Column, known: Column) -> Column:
+    """Without make or model, or with a generic model, nothing is said; a model that is not known warns."""
+    status = F.when(make.isNull() | model.isNull() | generic, "skip").when(known, "pass").otherwise("warning")
+    return result(status, F.when(status == "pass", 1.0).when(status == "warning", 0.3).otherwise(0.0), model)
+
+
+def km_a_year(category: Column) -> Column:
+    """Kilometres a year that a category of vehicle is expected to do."""
+    pairs = F.create_map(*[F.lit(x) for item in KM_A_YEAR.items() for x in item])
+    return F.coalesce(F.try_element_at(pairs, category), F.lit(DEFAULT_KM_A_YEAR))
+
+
+def mileage(km: Column, year: Column, now_year: Column, price: Column, category: Column, is_pro: Column) -> Column:
+    """Mileage against what age and category let expect, and bounds of the price: one oddity warns, two fail, a future
+    year fails. Sports cars with few kilometres, nearly new cars and professional sellers weigh less."""
+    age, pro, sporty = now_year - year, F.coalesce(is_pro, F.lit(False)), F.coalesce(category == "sportive", F.lit(False))
+    expected = age * km_a_year(category)
+    ratio = F.when(expected > 0, km / F.nullif(expected, F.lit(0))).otherwise(F.when(km < 20000, 1.0).otherwise(2.0))
+    low, high, fresh = ratio < 0.5, ratio > 1.5, (age <= 1) & (km < 1000)
+    odd_price = (price < 500) | (price > 100000)
+    odd = _count([low, high, odd_price])
+    mild = F.when(sporty & low, 0.85).when(fresh & pro, 0.7).when(fresh, 0.65).when(pro & high & (ratio < 2.5), 0.6)
+    # A seller's own low mileage on a nearly new car names the professional as well, which the cases above have covered.
+    status = F.when(km.isNull() | year.isNull(), "skip").when((age < 0) | (odd >= 2), "fail").when(odd == 1, "warning").otherwise("pass")
+    score = F.when(km.isNull() | year.isNull() | (age < 0), 0.0).when(odd == 0, 1.0).when(odd == 1, F.coalesce(mild, F.lit(0.5))).otherwise(0.2)
     return result(status, score, F.round(ratio, 2))
 
 
+def registered(owner: Column, number: Column, country: Column, verified: Column, rating: Column, reviews: Column, state: Column | None) -> Column:
+    """A seller's entry in the company registry. state is A for active, another text for closed, null for not found;
+    without a registry (state is None) French numbers say nothing, and Swiss ones pass by their checksum."""
+    no_id = number.isNull()
+    pro = F.coalesce(owner.isin("pro", "professional"), F.lit(False))
+    rated = F.coalesce((rating >= 4.0) & (reviews >= 20), F.lit(False))
+    digits = F.regexp_replace(number, "[^0-9]", "")
+    swiss = F.coalesce(country == "CH", F.lit(False))
+    valid = F.when(swiss, uid_is_valid(digits)).otherwise(F.regexp_replace(number, r"[\s.-]", "").rlike("^([0-9]{9}|[0-9]{14})$"))
+    cases = [
+        (F.coalesce(owner.isin("private", "particulier"), F.lit(False)), "neutral", 0.0),
+        (no_id & pro & verified, "pass", 1.0),
+        (no_id & pro & rated, "pass", 0.7),
+        (no_id & pro, "warning", 0.3),
+        (no_id, "skip", 0.0),
+        (~valid, "fail", 0.1),
+    ]
+    if state is None:
+        cases += [(swiss, "pass", 0.7), (F.lit(True), "skip", 0.0)]
+    else:
+        cases += [(state.isNull(), "fail", 0.1), (state == "A", "pass", 0.9), (F.lit(True), "warning", 0.4)]
+    status, score = (F.coalesce(*[F.when(c, F.lit(x[k])) for c, *x in cases]) for k in (0, 1))
+    return result(status, score, number)
+
+
+def imported(strong: list[Column], weak: list[Column]) -> Column:
+    """Signs of an import: a strong one weighs 1, a weak one a half; from 1 on they warn, from 2 on they fail."""
+    weight = _count(strong) + 0.5 * _count(weak)
+    status = F.when(weight < 1, "pass").when(weight < 2, "warning").otherwise("fail")
+    return result(status, F.when(weight < 1, 1.0).when(weight < 2, 0.4).otherwise(0.1), weight)
+
+
 def price_gap(price: Column, reference: Column) -> Column:
     """Distance from the reference price in percent: up to 10 passes, up to 25 warns."""
     gap = F.abs(100.0 * (price - reference) / reference)
@@ -48,19 +101,30 @@ def phone(country: Column, home: Column, present: Column) -> Column:
     return result(status, F.when(status == "pass", 1.0).when(status == "warning", 0.3).otherwise(0.0), country)
 
 
-def strengths(*flags: Column) -> Column:
-    """Share of the flags that hold: none against passes, one warns, more fail."""
-    weak = sum(((~x).cast("int") for x in flags), F.lit(0))
+def strengths(good: list[Column], bad: list[Column]) -> Column:
+    """Share of good signs among good and bad ones, a half without any; no bad one passes, one warns, more fail. Signs
+    that are neither are left out of both lists."""
+    strong, weak = _count(good), _count(bad)
     status = F.when(weak == 0, "pass").when(weak == 1, "warning").otherwise("fail")
-    return result(status, (len(flags) - weak) / F.lit(float(len(flags))), weak)
+    return result(status, F.coalesce(strong / F.nullif(strong + weak, F.lit(0)), F.lit(0.5)), weak)
+
 
+def presentation(description: Column, owner: Column, images: Column, paid: list[Column], phone: Column, city: Column, area: Column) -> Column:
+    """How well an ad presents itself: text, seller, photos, paid options, phone and place."""
+    length, photos = F.length(F.trim(F.coalesce(description, F.lit("")))), F.coalesce(images, F.lit(0))
+    some_option = F.greatest(*[F.coalesce(x, F.lit(False)) for x in paid]) if len(paid) > 1 else paid[0]
+    good = [length >= 200, owner == "pro", photos > 3, some_option, phone.isNotNull() & (phone != ""), city.isNotNull() & (city != "")]
+    return strengths(good, [length < 50, photos == 0, city.isNull() & area.isNull()])
 
-def listing_age(days: Column, price: Column, median_days: Column | None = None) -> Column:
-    """Days online against the market's median, or against bands of the price."""
+
+def listing_age(days: Column, price: Column, median_days: Column | None = None, republished: Column | None = None) -> Column:
+    """Days online against the market's median, or against bands of the price; republished ads that are late weigh more."""
     bands = F.when(price.isNull(), 35).when(price < 10000, 21).when(price < 25000, 35).when(price < 50000, 50).otherwise(75)
-    ratio = days / (bands if median_days is None else F.coalesce(median_days, bands))
-    status = F.when(days.isNull(), "skip").when(ratio <= 1, "pass").otherwise("warning")
-    return result(status, F.when(ratio <= 0.3, 1.0).when(ratio <= 1, 0.8).when(ratio <= 2, 0.5).when(ratio > 2, 0.3).otherwise(0.0), F.round(ratio, 2))
+    ratio = days / (bands if median_days is None else F.when(median_days > 0, median_days).otherwise(bands))
+    again = F.lit(False) if republished is None else F.coalesce(republished, F.lit(False))
+    status = F.when(days.isNull(), "skip").when(ratio <= 1, "pass").when(again & (ratio > 2), "fail").otherwise("warning")
+    late = F.when(ratio <= 2, F.when(again, 0.4).otherwise(0.5)).otherwise(F.when(again, 0.2).otherwise(0.3))
+    return result(status, F.when(days.isNull(), 0.0).when(ratio <= 0.3, 1.0).when(ratio <= 1, 0.8).otherwise(late), F.round(ratio, 2))
 
 
 def recalled(ads: DataFrame, recalls: DataFrame, keys: list[str], ad_id: str) -> DataFrame:
@@ -70,7 +134,12 @@ def recalled(ads: DataFrame, recalls: DataFrame, keys: list[str], ad_id: str) ->
     return out.select(ad_id, "n_recalls", F.when(F.col("year").isNull(), "neutral").when(F.col("n_recalls") > 0, "fail").otherwise("pass").alias("status"))
 
 
+def side_by_side(**filters: Column) -> Column:
+    """All filters' results within the row: an array of (filter_id, status, score, detail, weight), by filter."""
+    number = lambda name: int(name[1:])
+    return F.array(*[F.struct(F.lit(name).alias("filter_id"), *[c[x].alias(x) for x in ("status", "score", "detail")], F.lit(WEIGHTS.get(name, 1.0)).alias("weight")) for name, c in sorted(filters.items(), key=lambda x: number(x[0]))])
+
+
 def run_all(ads: DataFrame, ad_id: str, **filters: Column) -> DataFrame:
     """Long results (ad, filter_id, status, score, detail, weight) of all filters, evaluated side by side."""
-    each = F.array(*[F.struct(F.lit(name).alias("filter_id"), column.alias("r"), F.lit(WEIGHTS.get(name, 1.0)).alias("weight")) for name, column in sorted(filters.items())])
-    return ads.select(ad_id, F.explode(each).alias("x")).select(ad_id, "x.filter_id", "x.r.*", "x.weight")
+    return ads.select(ad_id, F.explode(side_by_side(**filters)).alias("x")).select(ad_id, "x.*")

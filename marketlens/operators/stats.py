@@ -58,13 +58,28 @@ def status_pivot(rows: DataFrame, key: str, status: str, statuses: list[str]) ->
 
 
 def weighted_score(results: DataFrame, key: str) -> DataFrame:
-    """Score of 0 to 100 from results (status, score, weight): neutral ones don't count, skipped ones count as 0."""
+    """Score of 0 to 100 from results (status, score, weight): neutral ones don't count, skipped ones count as 0; either
+    kind makes it partial."""
     counts = F.col("status") != "neutral"
     total, gained = F.sum(F.when(counts, F.col("weight"))), F.sum(F.when(counts & (F.col("status") != "skip"), F.col("weight") * F.col("score")))
-    raw = F.coalesce(100.0 * F.coalesce(gained, F.lit(0.0)) / F.nullif(total, F.lit(0)), F.lit(0.0))
-    out = results.groupBy(key).agg(raw.alias("raw"), F.max((F.col("status") == "skip").cast("int")).alias("skipped"), F.count_if(counts).alias("counted"))
-    score = F.bround(F.greatest(F.least("raw", F.lit(100.0)), F.lit(0.0)), 0).cast("long")
-    return out.select(key, score.alias("score"), ((F.col("skipped") == 1) | (F.col("counted") == 0)).alias("is_partial"))
+    raw = F.coalesce(F.coalesce(gained, F.lit(0.0)) / F.nullif(total, F.lit(0)), F.lit(0.0)) * 100
+    out = results.groupBy(key).agg(raw.alias("raw"), F.max(F.col("status").isin("skip", "neutral")).alias("partial"))
+    return out.select(key, F.bround(F.greatest(F.least("raw", F.lit(100.0)), F.lit(0.0)), 0).cast("long").alias("score"), F.col("partial").alias("is_partial"))
+
+
+def weighted_score_of(results: Column) -> Column:
+    """The same score as a struct (score, is_partial), of an array of results within the row; an empty one is 0 and partial."""
+    zero = F.struct(F.lit(0.0).alias("total"), F.lit(0.0).alias("gained"), (F.size(results) == 0).alias("partial"))
+
+    def add(acc, r):
+        counts, has = r["status"] != "neutral", ~r["status"].isin("neutral", "skip")
+        return F.struct((acc["total"] + F.when(counts, r["weight"]).otherwise(0.0)).alias("total"), (acc["gained"] + F.when(has, r["weight"] * r["score"]).otherwise(0.0)).alias("gained"), (acc["partial"] | ~has).alias("partial"))
+
+    def finish(acc):
+        raw = F.coalesce(acc["gained"] / F.nullif(acc["total"], F.lit(0.0)), F.lit(0.0)) * 100
+        return F.struct(F.bround(F.greatest(F.least(raw, F.lit(100.0)), F.lit(0.0)), 0).cast("long").alias("score"), acc["partial"].alias("is_partial"))
+
+    return F.aggregate(results, zero, add, finish)
 
 
 def unpivoted(rows: DataFrame, key: str, columns: list[str]) -> DataFrame:

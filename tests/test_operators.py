@@ -29,6 +29,17 @@ def one(spark, column):
         (lambda: text.country_of(F.lit("https://x.de/ad/voitures/1")), "DE"),
         (lambda: text.category_of(F.lit("https://x.fr/ad/voitures/1")), "voitures"),
         (lambda: text.alike(F.lit("VW"), F.lit(None).cast("string")), True),
+        (lambda: numbers.to_eur(F.lit(35000.7), F.lit("eur")), 35000),
+        (lambda: numbers.to_eur(F.lit(99.9), F.lit(None).cast("string")), 99),
+        (lambda: numbers.to_eur(F.lit(1111.0), F.lit("chf")), 1044),
+        (lambda: numbers.power_band(F.lit(75)), "min-90"),
+        (lambda: numbers.power_band(F.lit(80)), "70-120"),
+        (lambda: numbers.power_band(F.lit(300)), "240-360"),
+        (lambda: numbers.power_band(F.lit(0)), None),
+        (lambda: numbers.least_samples(F.lit(420)), 10),
+        (lambda: numbers.least_samples(F.lit(421), small_market=F.lit(True)), 5),
+        (lambda: numbers.least_samples(F.lit(100), small_market=F.lit(True)), 10),
+        (lambda: text.slug(F.lit(" Citroën  C4 (2) ")), "citron-c4-2"),
         (lambda: numbers.to_eur(F.lit(100.0), F.lit("CHF")), 94),
         (lambda: numbers.to_eur(F.lit(100.0), F.lit("PLN")), 100),
         (lambda: numbers.uid_is_valid(F.lit("109322551")), True),
@@ -61,12 +72,17 @@ def test_outliers(spark):
         ([("pass", 1.0, 1.0), ("pass", 0.5, 1.0)], 75, False),
         ([("pass", 1.0, 1.0), ("skip", 0.0, 1.0)], 50, True),
         ([("neutral", 0.0, 1.0)], 0, True),
+        ([("pass", 1.0, 1.0), ("neutral", 0.0, 2.0)], 100, True),
+        ([("pass", 0.8, 1.5), ("warning", 0.5, 2.0)], 63, False),
         ([("fail", 0.0, 1.0)], 0, False),
     ],
 )
 def test_score(spark, results, score, partial):
-    row = stats.weighted_score(spark.createDataFrame([("a", *r) for r in results], "k string, status string, score double, weight double"), "k").first()
+    long = spark.createDataFrame([("a", *r) for r in results], "k string, status string, score double, weight double")
+    row = stats.weighted_score(long, "k").first()
     assert (row["score"], row["is_partial"]) == (score, partial)
+    within = long.groupBy("k").agg(F.collect_list(F.struct("status", "score", "weight")).alias("r")).select(stats.weighted_score_of(F.col("r")).alias("s")).first()["s"]
+    assert (within["score"], within["is_partial"]) == (score, partial)
 
 
 def test_waterfall_tiers(spark):
@@ -82,9 +98,35 @@ def test_islands(spark):
 
 
 def test_mileage(spark):
-    row = one(spark, rules.mileage(F.lit(150000), F.lit(2022), F.lit(2026)))
-    assert (row["status"], row["score"]) == ("warning", 0.5)
-    assert one(spark, rules.mileage(F.lit(1), F.lit(2030), F.lit(2026)))["status"] == "fail"
+    def found(km, year, price=12000, category="suv_compact", pro=False):
+        row = one(spark, rules.mileage(F.lit(km), F.lit(year), F.lit(2026), F.lit(price), F.lit(category), F.lit(pro)))
+        return row["status"], row["score"]
+
+    assert found(150000, 2022) == ("warning", 0.5) and found(1, 2030) == ("fail", 0.0) and found(None, 2022) == ("skip", 0.0)
+    assert found(60000, 2022) == ("pass", 1.0) and found(60000, 2022, 300) == ("warning", 0.5) and found(200000, 2022, 300) == ("fail", 0.2)
+    assert found(2000, 2022, 60000, "sportive") == ("warning", 0.85) and found(120000, 2022, pro=True) == ("warning", 0.6)
+    assert found(500, 2025) == ("warning", 0.65) and found(500, 2025, pro=True) == ("warning", 0.7)
+
+
+def test_filters(spark):
+    lit = F.lit
+    none = lit(None).cast("string")
+
+    def found(column):
+        row = one(spark, column)
+        return row["status"], row["score"]
+
+    assert found(rules.listing_age(lit(30), lit(20000), republished=lit(True))) == ("pass", 0.8)
+    assert found(rules.listing_age(lit(60), lit(20000), republished=lit(True))) == ("warning", 0.4)
+    assert found(rules.listing_age(lit(90), lit(20000), republished=lit(True))) == ("fail", 0.2)
+    assert found(rules.listing_age(lit(90), lit(20000), median_days=lit(300))) == ("pass", 1.0)
+    seller = lambda owner, number, country="FR", state="A", rating=None: found(rules.registered(lit(owner), lit(number), lit(country), lit(False), lit(rating), lit(30), None if state is False else lit(state)))
+    assert seller("private", None) == ("neutral", 0.0) and seller("pro", None) == ("warning", 0.3) and seller("pro", None, rating=4.5) == ("pass", 0.7)
+    assert seller("pro", "123") == ("fail", 0.1) and seller("pro", "123456789") == ("pass", 0.9) and seller("pro", "123456789", state="C") == ("warning", 0.4)
+    assert seller("pro", "123456789", state=False) == ("skip", 0.0) and seller("pro", "CHE-109.322.551", "CH", False) == ("pass", 0.7)
+    assert found(rules.imported([lit(True)], [lit(True), lit(None).cast("boolean")])) == ("warning", 0.4)
+    assert found(rules.presentation(none, lit("private"), lit(0), [lit(False)], none, none, none)) == ("fail", 0.0)
+    assert found(rules.presentation(lit("x" * 60), none, lit(2), [lit(False)], none, none, lit("69"))) == ("pass", 0.5)
 
 
 def test_payloads(spark):
