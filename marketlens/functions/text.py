@@ -103,3 +103,42 @@ def country_of(url: Column) -> Column:
     for ending, country in reversed([(".fr", "FR"), (".de", "DE"), (".ch", "CH"), (".it", "IT"), (".es", "ES"), (".be", "BE")]):
         out = F.when(F.contains(url, F.lit(ending)), F.lit(country)).otherwise(out)
     return out
+
+
+# Regions as they were named before 2016, and their names since.
+NEW_REGIONS = {
+    "Nouvelle-Aquitaine": ["aquitaine", "limousin", "poitou-charentes"],
+    "Grand Est": ["alsace", "lorraine", "champagne-ardenne"],
+    "Hauts-de-France": ["nord-pas-de-calais", "picardie"],
+    "Occitanie": ["languedoc-roussillon", "midi-pyrenees", "midi-pyrénées"],
+    "Bourgogne-Franche-Comte": ["bourgogne", "franche-comte", "franche-comté"],
+    "Normandie": ["haute-normandie", "basse-normandie"],
+    "Auvergne-Rhone-Alpes": ["auvergne", "rhone-alpes", "rhône-alpes"],
+    "Provence-Alpes-Cote d'Azur": ["provence-alpes-cote d'azur", "paca"],
+}
+
+
+def current_region(region: Column) -> Column:
+    """The region's present name; empty is null, names that are not old stay as they are."""
+    out = F.when(region.isNull() | (region == ""), F.lit(None).cast("string"))
+    for name, old in NEW_REGIONS.items():
+        out = out.when(F.lower(F.trim(region)).isin(old), name)
+    return out.otherwise(region)
+
+
+def first_filled(*values: Column) -> Column:
+    """The first value that is neither null nor blank."""
+    return F.coalesce(*[F.nullif(F.trim(v), F.lit("")) for v in values])
+
+
+def keywords_in(text: Column, keywords: list[str], local: list[str] = ()) -> Column:
+    """The keywords that a lower-cased text holds, in their order; short ones (3 letters) as whole words only; local ones never."""
+    wanted = F.array_except(F.array(*map(F.lit, keywords)), F.array(*map(F.lit, local)).cast("array<string>"))
+    whole = F.concat(F.lit(" "), F.regexp_replace(text, "[^\\p{L}\\p{N}_]+", " "), F.lit(" "))
+    return F.filter(wanted, lambda k: F.when(F.length(k) <= 3, F.contains(whole, F.concat(F.lit(" "), k, F.lit(" ")))).otherwise(F.contains(text, k)))
+
+
+def register(spark) -> None:
+    """SQL names of the keys, as temporary SQL functions that Catalyst inlines."""
+    spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION strip_accents(value STRING) RETURNS STRING RETURN translate(lower(value), '{ACCENTED}', '{PLAIN}')")
+    spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION vehicle_lookup_key(value STRING) RETURNS STRING RETURN regexp_replace(replace(strip_accents(value), 'ß', 'ss'), '[^a-z0-9]+', '')")

@@ -1,6 +1,6 @@
 import pytest
 
-from marketlens.plans import queries
+from marketlens.plans import more, queries  # noqa: F401
 
 from .conftest import rows_of
 
