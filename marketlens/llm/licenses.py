@@ -1,9 +1,10 @@
 """Licence scans by a positional index of rare words, with DataFrame functions only.
 
-Templates are short licence statements and phrases; a word's weight is its inverse document frequency, counted over all
-texts. Each text is cut into words once, and only the places of licence words are kept. A text's highest-IDF licence
-words look up the templates' postings: a posting at place t and a word at place d vote for a template that starts at
-d - t. A start counts if its template's rarest word is there; the votes of the template's other words at the same start
+Templates are licence notices, statements and phrases; a word's weight is its inverse document frequency, counted over
+all texts. Each text is cut into words once, and only the places of licence words are kept. A text's highest-IDF licence
+words, those down to the least of any template's rarest word, look up the templates that it may hold; their postings
+alone are intersected with the text's places: a posting at place t and a word at place d vote for a template that starts
+at d - t. A start counts if its template's rarest word is there; the votes of the template's other words at the same start
 are its coverage. A template matches where all words of its mandatory key phrase stand, that is, consecutively, and
 its coverage is at least LEAST_COVERAGE. The base phrases are templates that are their own key phrase, so every place
 where one stands is found.
@@ -43,6 +44,14 @@ TEMPLATES = [
     ("bsd", "redistribution and use in source and binary forms", "source and binary forms"),
     ("isc", "permission to use copy modify and or distribute this software", "distribute this software"),
     ("proprietary", "copyright all rights reserved", "all rights reserved"),
+    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction", "permission is hereby granted free of charge"),
+    ("bsd-3-clause", "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission", "endorse or promote products derived from this software"),
+    ("apache-2.0", "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied", "distributed on an as is basis"),
+    ("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation", "this program is free software you can redistribute it"),
+    ("lgpl", "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation", "this library is free software you can redistribute it"),
+    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies", "with or without fee is hereby granted"),
+    ("mpl-2.0", "this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file you can obtain one at", "this source code form is subject to the terms of the mozilla public license"),
+    ("unlicense", "this is free and unencumbered software released into the public domain", "free and unencumbered software"),
 ]
 #: Share of a template's weight that must stand at one start.
 LEAST_COVERAGE = 0.5
@@ -93,10 +102,18 @@ def matches(hits: DataFrame, idf: dict[str, float]) -> DataFrame:
     spark = hits.sparkSession
     rows = postings(idf)
     index = F.broadcast(spark.createDataFrame(rows, "word string, template int, place long, share double, key boolean, rarest boolean"))
-    anchors = sorted({r[0] for r in rows if r[5]})
-    # Texts without any of the templates' rarest words match nothing.
-    asked = hits.where(F.exists("hits", lambda s: s["word"].isin(anchors)))
-    votes = asked.select("row", F.explode("hits").alias("hit")).select("row", F.col("hit.word").alias("word"), F.col("hit.at").alias("at")).join(index, "word")
+    # The text's highest-IDF words: down to the least of the templates' rarest words, so no template that it holds is missed.
+    anchors: dict[str, list[int]] = {}
+    for word, template, _, _, _, rarest in rows:
+        if rarest:
+            anchors.setdefault(word, []).append(template)
+    high = F.array(*[F.lit(w) for w in vocabulary() if idf[w] >= min(idf[x] for x in anchors)])
+    of_word = F.create_map(*[x for w, ts in sorted(anchors.items()) for x in (F.lit(w), F.array(*map(F.lit, ts)))])
+    rare = F.array_intersect(F.transform("hits", lambda s: s["word"]), high)
+    looked_up = F.flatten(F.transform(rare, lambda w: F.coalesce(F.try_element_at(of_word, w), F.array().cast("array<int>"))))
+    asked = hits.withColumn("may_hold", looked_up).where(F.size("may_hold") > 0)
+    places = asked.select("row", "may_hold", F.explode("hits").alias("hit")).select("row", "may_hold", F.col("hit.word").alias("word"), F.col("hit.at").alias("at"))
+    votes = places.join(index, "word").where(F.array_contains("may_hold", F.col("template"))).drop("may_hold")
     tally = votes.groupBy("row", "template", (F.col("at") - F.col("place")).alias("begin")).agg(F.max("rarest").alias("rarest"), F.sum(F.col("key").cast("int")).alias("keys"), F.sum("share").alias("coverage"))
     facts = F.broadcast(spark.createDataFrame([(t["template"], t["label"], t["base"], len(t["key"]), t["key"][0]) for t in templates()], "template int, label string, base boolean, size int, first long"))
     whole = tally.where("rarest").join(facts, "template").where((F.col("keys") == F.col("size")) & (F.col("base") | (F.col("coverage") >= LEAST_COVERAGE)))

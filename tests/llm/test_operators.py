@@ -129,6 +129,15 @@ def test_licence_needs_its_words_in_a_row(spark):
     assert found == {1: (1, "apache"), 2: (0, ""), 3: (1, "apache,apache-2.0"), 4: (1, "mit")}
 
 
+def test_licence_notices(spark):
+    """Notices match by most of their words around the key phrase, wherever they stand; a key phrase alone does not."""
+    notice = next(t[1] for t in licenses.TEMPLATES if t[0] == "isc" and "fee" in t[1])
+    worn = " ".join(w for i, w in enumerate(notice.split()) if w != "purpose" or i < 3)
+    docs = spark.createDataFrame([(1, f"# x\n{notice.upper()}."), (2, "with or without fee is hereby granted"), (3, worn.replace("copy modify", "COPY, modify"))], "doc_id long, text string")
+    found = {r["doc_id"]: (r["labels"], r["n_base"]) for r in licenses.scan(docs).collect()}
+    assert found[1] == ("isc", 0) and found[2][1] == 0 and "isc" in found[3][0]
+
+
 def test_nearest_neighbours(spark, sf_dir):
     table = pd.read_parquet(f"{sf_dir}/embeddings.parquet")
     found = hnsw.op3_hnsw(spark, sf_dir).toPandas()
