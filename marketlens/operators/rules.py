@@ -127,11 +127,25 @@ def listing_age(days: Column, price: Column, median_days: Column | None = None,
     return result(status, F.when(days.isNull(), 0.0).when(ratio <= 0.3, 1.0).when(ratio <= 1, 0.8).otherwise(late), F.round(ratio, 2))
 
 
-def recalled(ads: DataFrame, recalls: DataFrame, keys: list[str], ad_id: str) -> DataFrame:
-    """(ad, n_recalls, status): recalls (keys, year_start, year_end) that hold in the ad's year; a missing year is neutral."""
-    hit = ads.join(recalls, keys).where(F.col("year").between(F.col("year_start"), F.col("year_end"))).groupBy(ad_id).agg(F.count(F.lit(1)).alias("n_recalls"))
-    out = ads.select(ad_id, "year").join(hit, ad_id, "left").withColumn("n_recalls", F.coalesce("n_recalls", F.lit(0)))
-    return out.select(ad_id, "n_recalls", F.when(F.col("year").isNull(), "neutral").when(F.col("n_recalls") > 0, "fail").otherwise("pass").alias("status"))
+def recalled(ads: DataFrame, recalls: DataFrame, keys: list[str], ad_id: str, label: str | None = None) -> DataFrame:
+    """(ad, n_recalls, first_recall, status, score): recalls (keys, year_start, year_end) that hold in the ad's year, the
+    smallest label of them; a missing year is neutral. Recalls are counted once for each key and year, not for each ad."""
+    name = F.col(label) if label else F.concat_ws("-", "year_start", "year_end")
+    held = ads.select(*keys, "year").distinct().join(recalls, keys).where(F.col("year").between(F.col("year_start"), F.col("year_end")))
+    hit = held.groupBy(*keys, "year").agg(F.count(F.lit(1)).alias("n_recalls"), F.min(name).alias("first_recall"))
+    out = ads.select(ad_id, *keys, "year").join(hit, [*keys, "year"], "left").withColumn("n_recalls", F.coalesce("n_recalls", F.lit(0)))
+    status = F.when(F.col("year").isNull(), "neutral").when(F.col("n_recalls") > 0, "fail").otherwise("pass")
+    return out.select(ad_id, "n_recalls", "first_recall", status.alias("status"), (status == "pass").cast("double").alias("score"))
+
+
+def price_spread(price: Column, mean: Column, deviation: Column, n: Column, diesel: Column, urban: Column, km: Column) -> Column:
+    """Distance of a price from its references in deviations: beyond 2 warns, beyond 3 fails; a diesel of an urban region
+    with some kilometres warns too. Without price or with fewer than three references nothing is said."""
+    z = F.abs((price - mean) / F.nullif(deviation, F.lit(0.0)))
+    far, worn = F.coalesce(z > 2, F.lit(False)), F.coalesce(diesel & urban & (km > 30000), F.lit(False))
+    status = F.when(price.isNull() | (F.coalesce(n, F.lit(0)) < 3), "skip").when(F.coalesce(z > 3, F.lit(False)), "fail").when(far | worn, "warning").otherwise("pass")
+    score = F.when(status == "pass", 1.0).when(status == "warning", 0.5).when(status == "fail", 0.2).otherwise(0.0)
+    return result(status, score, F.round(z, 2))
 
 
 def side_by_side(**filters: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -20,8 +20,9 @@ def first_reaching(steps: DataFrame, keys: list[str], order: str, amount: str, e
     return summed.groupBy(*keys).agg(F.min(F.when(F.col("_sum") >= enough, F.col(order))).alias("reached_at"), F.sum(amount).alias("total"))
 
 
-def occurrences(rows: DataFrame, keys: list[str], *order) -> DataFrame:
-    """occurrence: the how-manieth row of its key this one is; severity by it."""
+def occurrences(rows: DataFrame, keys: list[str], *order, fallback: Column | None = None) -> DataFrame:
+    """occurrence: the how-manieth row of its key this one is; severity by it, high at least where fallback holds."""
     n = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
-    level = F.when(F.col("occurrence") >= 5, "critical").when(F.col("occurrence") >= 3, "high").when(F.col("occurrence") >= 2, "medium").otherwise("low")
+    sure = F.lit(False) if fallback is None else F.coalesce(fallback, F.lit(False))
+    level = F.when(F.col("occurrence") >= 5, "critical").when((F.col("occurrence") >= 3) | sure, "high").when(F.col("occurrence") >= 2, "medium").otherwise("low")
     return rows.withColumn("occurrence", n).withColumn("severity", level)

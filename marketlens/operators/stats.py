@@ -28,18 +28,23 @@ def outlier_free(prices: DataFrame, keys: list[str], price: str = "price", least
 
 
 def price_summary(prices: DataFrame, keys: list[str], price: str = "price") -> DataFrame:
-    """Count, extremes, truncated median and mean, population deviation."""
+    """Count, extremes, truncated median and mean, rounded quartiles, population deviation."""
     p = F.col(price)
     return prices.groupBy(*keys).agg(
-        F.count(p).alias("sample_count"), F.min(p).alias("price_min"), F.floor(F.median(p)).cast("long").alias("price_median"), F.floor(F.avg(p)).cast("long").alias("price_mean"), F.max(p).alias("price_max"), F.round(F.stddev_pop(p), 2).alias("price_std")
+        F.count(p).alias("sample_count"), F.min(p).alias("price_min"), F.floor(F.median(p)).cast("long").alias("price_median"), F.floor(F.avg(p)).cast("long").alias("price_mean"), F.max(p).alias("price_max"), F.round(F.stddev_pop(p), 2).alias("price_std"),
+        *[F.bround(F.percentile(p, F.lit(q)), 0).cast("long").alias(name) for name, q in (("price_p25", 0.25), ("price_p75", 0.75))],
     )
 
 
+def spread(references: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, mean, deviation, n) of the minima, medians and maxima of price summaries."""
+    each = references.select(*keys, F.explode(F.array(*[F.col(c).cast("double") for c in ("price_min", "price_median", "price_max")])).alias("x"))
+    return each.groupBy(*keys).agg(F.avg("x").alias("mean"), F.stddev_pop("x").alias("deviation"), F.count(F.lit(1)).alias("n"))
+
+
 def z_scores(ads: DataFrame, references: DataFrame, keys: list[str]) -> DataFrame:
     """Each ad's distance, in deviations, from the spread of its references' minima, medians and maxima."""
-    spread = references.select(*keys, F.explode(F.array(*[F.col(c).cast("double") for c in ("price_min", "price_median", "price_max")])).alias("x"))
-    spread = spread.groupBy(*keys).agg(F.avg("x").alias("mean"), F.stddev_pop("x").alias("deviation"), F.count(F.lit(1)).alias("n"))
-    return ads.join(spread.where("n >= 3 and deviation > 0"), keys).withColumn("z", (F.col("price") - F.col("mean")) / F.col("deviation"))
+    return ads.join(spread(references, keys).where("n >= 3 and deviation > 0"), keys).withColumn("z", (F.col("price") - F.col("mean")) / F.col("deviation"))
 
 
 def trend(rows: DataFrame, key: str, ts: str, now: Column, days: int = 7) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import dates, numbers, text
-from ..operators import catalogue
+from ..operators import catalogue, rules, stats
 from ..session import table
 from .queries import query
 from .roles import ADS, ads
@@ -140,3 +140,47 @@ def join_lookup(spark, sf_dir):  # JN9 JN10
     asks = table(spark, sf_dir, "customer").join(p, F.col("c_custkey") == F.col("p_partkey")).select("c_custkey", key(F.concat("p_brand", F.lit("."))).alias("k"), key(F.regexp_replace("p_type", " ", "_")).alias("t"))
     refs = p.where("p_size > 20").select(F.col("p_partkey").alias("vehicle"), F.col("p_size").alias("ref"))
     return asks.join(vehicles, ["k", "t"], "left").join(refs, "vehicle", "left").select("c_custkey", "vehicle", "ref")
+
+
+@query("WITH " + ADS + """, s AS (SELECT make, year, min(price) AS lo, floor(median(price)) AS mid, max(price) AS hi FROM ads WHERE hp > 45 GROUP BY make, year), x AS (SELECT make, unnest([lo, mid, hi])::DOUBLE AS x FROM s WHERE year > 1996),
+d AS (SELECT make, avg(x) AS m, stddev_pop(x) AS d, count(*) AS n FROM x WHERE make <> 'Brand#11' GROUP BY make),
+r AS (SELECT CASE WHEN coalesce(n, 0) < 3 THEN 'skip' WHEN abs((price - m) / nullif(d, 0)) > 3 THEN 'fail' WHEN abs((price - m) / nullif(d, 0)) > 2 OR (fuel = 'R' AND region = 'EUROPE' AND km > 30000) THEN 'warning' ELSE 'pass' END AS status, region FROM ads LEFT JOIN d ON ads.make = d.make)
+SELECT region, status, count(*) AS n FROM r GROUP BY region, status""")
+def rule_spread(spark, sf_dir):  # L5 JN15
+    a = ads(spark, sf_dir)
+    summary = stats.price_summary(a.where("hp > 45"), ["make", "year"]).where("year > 1996 and make <> 'Brand#11'")
+    found = a.join(F.broadcast(stats.spread(summary, ["make"])), "make", "left")
+    c = F.col
+    r = rules.price_spread(c("price"), c("mean"), c("deviation"), c("n"), c("fuel") == "R", c("region") == "EUROPE", c("km"))
+    return found.select("region", r["status"].alias("status")).groupBy("region", "status").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""WITH o AS (SELECT o_custkey, max(o_orderdate) AS seen FROM orders GROUP BY o_custkey) SELECT c_custkey, CAST(CAST(seen AS DATE) AS VARCHAR) AS seen FROM customer LEFT JOIN o ON c_custkey = o_custkey WHERE c_nationkey <> 3 ORDER BY seen IS NOT NULL, c_acctbal > 0, seen, c_custkey LIMIT 5""")
+def join_next_stale(spark, sf_dir):  # JN6 JN7 TK8
+    seen = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.max("o_orderdate").alias("seen"))
+    c = table(spark, sf_dir, "customer").where("c_nationkey <> 3").join(seen, F.col("c_custkey") == F.col("o_custkey"), "left")
+    first = c.orderBy(F.col("seen").isNotNull(), F.col("c_acctbal") > 0, "seen", "c_custkey").limit(5)
+    return first.select("c_custkey", F.to_date("seen").cast("string").alias("seen"))
+
+
+@query("""SELECT c_mktsegment, string_agg(DISTINCT n_name, ',' ORDER BY n_name) AS countries, max(CASE WHEN c_acctbal < 0 THEN 3 WHEN c_acctbal < 1000 THEN 2 ELSE 1 END) AS worst, count(*) AS n
+FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY c_mktsegment HAVING bool_or(n_name = 'FRANCE')""")
+def agg_having_contains(spark, sf_dir):  # AG9
+    rows = table(spark, sf_dir, "customer").join(F.broadcast(table(spark, sf_dir, "nation")), F.col("c_nationkey") == F.col("n_nationkey"))
+    worst = F.when(F.col("c_acctbal") < 0, 3).when(F.col("c_acctbal") < 1000, 2).otherwise(1)
+    out = rows.groupBy("c_mktsegment").agg(F.array_sort(F.collect_set("n_name")).alias("names"), F.max(worst).alias("worst"), F.count(F.lit(1)).alias("n"))
+    return out.where(F.array_contains("names", "FRANCE")).select("c_mktsegment", F.array_join("names", ",").alias("countries"), "worst", "n")
+
+
+@query("""WITH d(event_type, place) AS (VALUES ('view', 1), ('click', 2), ('purchase', 3), ('refund', 4)), e AS (SELECT event_type, count(*) AS n FROM events GROUP BY event_type) SELECT d.event_type, d.place, coalesce(n, 0) AS n FROM d LEFT JOIN e ON d.event_type = e.event_type""")
+def agg_fixed_order(spark, sf_dir):  # AG23
+    kinds = F.broadcast(spark.createDataFrame([("view", 1), ("click", 2), ("purchase", 3), ("refund", 4)], "event_type string, place int"))
+    counts = table(spark, sf_dir, "events").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
+    return kinds.join(counts, "event_type", "left").select("event_type", "place", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+@query("""SELECT o_orderstatus AS status, o_orderpriority AS priority, count(*) AS n, CAST(sum(l) AS BIGINT) AS results FROM orders JOIN (SELECT l_orderkey, count(*) AS l FROM lineitem GROUP BY l_orderkey) ON l_orderkey = o_orderkey GROUP BY o_orderstatus, o_orderpriority""")
+def join_one_to_many(spark, sf_dir):  # JN1 JN3
+    o = table(spark, sf_dir, "orders")
+    joined = o.join(table(spark, sf_dir, "lineitem"), F.col("l_orderkey") == F.col("o_orderkey"))
+    return joined.groupBy(F.col("o_orderstatus").alias("status"), F.col("o_orderpriority").alias("priority")).agg(F.count_distinct("o_orderkey").alias("n"), F.count(F.lit(1)).alias("results"))

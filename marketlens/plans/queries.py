@@ -66,12 +66,19 @@ def str_captions(spark, sf_dir):  # STR21
     return table(spark, sf_dir, "pages").select("page_id", F.md5(text.caption_text(F.col("html")).cast("binary")).alias("caption_md5"))
 
 
+def _refreshed():
+    """When an order was shown again: some half days later."""
+    return F.timestamp_seconds(F.unix_timestamp(F.col("o_orderdate").cast("timestamp")) + (F.col("o_custkey") % 7) * 43200)
+
+
 @query("""SELECT o_orderkey, CASE o_custkey % 4 WHEN 0 THEN CAST(round_even(o_totalprice * 0.94::DOUBLE, 0) AS BIGINT) ELSE CAST(trunc(o_totalprice) AS BIGINT) END AS eur,
        CASE WHEN o_totalprice / 5000 >= 80 THEN 'good' WHEN o_totalprice / 5000 >= 60 THEN 'fair' WHEN o_totalprice / 5000 >= 40 THEN 'doubtful' ELSE 'poor' END AS verdict,
-       CAST(greatest(floor((epoch(TIMESTAMP '2001-12-31') - epoch(o_orderdate)) / 86400), 0) AS BIGINT) AS days_online FROM orders""")
+       CAST(greatest(floor((epoch(TIMESTAMP '2001-12-31') - epoch(o_orderdate)) / 86400), 0) AS BIGINT) AS days_online,
+       CAST(greatest(floor((epoch(TIMESTAMP '2001-12-31') - epoch(o_orderdate) - (o_custkey % 7) * 43200) / 86400), 0) AS BIGINT) AS days_since_refresh, (o_custkey % 7) * 43200 >= 2 * 86400 AS republished FROM orders""")
 def num_money_and_days(spark, sf_dir):  # NUM1 STR27 DAT1
     currency = F.element_at(F.array(F.lit("chf"), F.lit("EUR"), F.lit("USD"), F.lit(None).cast("string")), (F.col("o_custkey") % 4 + 1).cast("int"))
-    return table(spark, sf_dir, "orders").select("o_orderkey", numbers.to_eur(F.col("o_totalprice"), currency).alias("eur"), numbers.verdict(F.col("o_totalprice") / 5000).alias("verdict"), numbers.whole_days(F.col("o_orderdate").cast("timestamp"), F.lit(NOW).cast("timestamp")).cast("long").alias("days_online"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", numbers.to_eur(F.col("o_totalprice"), currency).alias("eur"), numbers.verdict(F.col("o_totalprice") / 5000).alias("verdict"), numbers.whole_days(F.col("o_orderdate").cast("timestamp"), F.lit(NOW).cast("timestamp")).cast("long").alias("days_online"),
+        numbers.whole_days(_refreshed(), F.lit(NOW).cast("timestamp")).cast("long").alias("days_since_refresh"), (numbers.whole_days(F.col("o_orderdate").cast("timestamp"), _refreshed()) > 1).alias("republished"))
 
 
 @query("""SELECT p_partkey, CASE WHEN hp <= 0 THEN NULL WHEN hp < 80 THEN 'min-90' WHEN hp < 110 THEN '70-120' WHEN hp < 140 THEN '100-150' WHEN hp < 180 THEN '130-190' WHEN hp < 250 THEN '170-260' WHEN hp < 350 THEN '240-360' ELSE '340-max' END AS band,
@@ -95,7 +102,7 @@ def agg_outlier_free(spark, sf_dir):  # AG12 UDAF
     return out.withColumns({c: F.round(c, 2) for c in ("fence_low", "fence_high", "p25", "p75", "iqr_mean")})
 
 
-@query("WITH " + ADS + """ SELECT make, model, region, count(price) AS sample_count, min(price) AS price_min, CAST(floor(median(price)) AS BIGINT) AS price_median, CAST(floor(avg(price)) AS BIGINT) AS price_mean, max(price) AS price_max, round(stddev_pop(price), 2) AS price_std FROM ads GROUP BY make, model, region""")
+@query("WITH " + ADS + """ SELECT make, model, region, count(price) AS sample_count, min(price) AS price_min, CAST(floor(median(price)) AS BIGINT) AS price_median, CAST(floor(avg(price)) AS BIGINT) AS price_mean, max(price) AS price_max, round(stddev_pop(price), 2) AS price_std, CAST(round_even(quantile_cont(price::DOUBLE, 0.25), 0) AS BIGINT) AS price_p25, CAST(round_even(quantile_cont(price::DOUBLE, 0.75), 0) AS BIGINT) AS price_p75 FROM ads GROUP BY make, model, region""")
 def agg_price_summary(spark, sf_dir):  # AG13 ENR1
     return stats.price_summary(ads(spark, sf_dir), ["make", "model", "region"])
 
@@ -188,7 +195,7 @@ def join_open_range(spark, sf_dir):  # JN11 JN12 PRD5 PRD6
     return found.groupBy("ad_id").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("WITH " + ADS + ", " + RECALLS + ", h AS (SELECT ad_id, count(*) AS n FROM ads JOIN recalls ON ads.make = recalls.make AND year BETWEEN year_start AND year_end GROUP BY ad_id) SELECT ads.ad_id, coalesce(n, 0) AS n_recalls, CASE WHEN year IS NULL THEN 'neutral' WHEN n > 0 THEN 'fail' ELSE 'pass' END AS status FROM ads LEFT JOIN h ON ads.ad_id = h.ad_id")
+@query("WITH " + ADS + ", " + RECALLS + ", h AS (SELECT ads.make AS make, ads.year AS year, count(*) AS n, min(concat_ws('-', CAST(year_start AS VARCHAR), CAST(year_end AS VARCHAR))) AS first_recall FROM (SELECT DISTINCT make, year FROM ads) ads JOIN recalls ON ads.make = recalls.make AND year BETWEEN year_start AND year_end GROUP BY ads.make, ads.year) SELECT ads.ad_id, coalesce(n, 0) AS n_recalls, first_recall, CASE WHEN ads.year IS NOT NULL AND n IS NULL THEN 1.0 ELSE 0.0 END::DOUBLE AS score, CASE WHEN ads.year IS NULL THEN 'neutral' WHEN n > 0 THEN 'fail' ELSE 'pass' END AS status FROM ads LEFT JOIN h ON ads.make = h.make AND ads.year = h.year")
 def rule_recalls(spark, sf_dir):  # L11
     return rules.recalled(ads(spark, sf_dir), _recalls(spark, sf_dir), ["make"], "ad_id")
 
@@ -259,9 +266,9 @@ def win_first_reaching(spark, sf_dir):  # WN3 COL1 COL2 COL3
     return sequences.first_reaching(o, ["o_custkey"], "o_orderkey", "amount", 20)
 
 
-@query("""SELECT o_orderkey, CAST(n AS INT) AS occurrence, CASE WHEN n >= 5 THEN 'critical' WHEN n >= 3 THEN 'high' WHEN n >= 2 THEN 'medium' ELSE 'low' END AS severity FROM (SELECT o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS n FROM orders)""")
+@query("""SELECT o_orderkey, CAST(n AS INT) AS occurrence, CASE WHEN n >= 5 THEN 'critical' WHEN n >= 3 OR o_orderkey % 7 = 0 THEN 'high' WHEN n >= 2 THEN 'medium' ELSE 'low' END AS severity FROM (SELECT o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS n FROM orders)""")
 def win_occurrences(spark, sf_dir):  # WN5 AG19 Q8
-    return sequences.occurrences(table(spark, sf_dir, "orders"), ["o_custkey"], "o_orderdate", "o_orderkey").select("o_orderkey", "occurrence", "severity")
+    return sequences.occurrences(table(spark, sf_dir, "orders"), ["o_custkey"], "o_orderdate", "o_orderkey", fallback=F.col("o_orderkey") % 7 == 0).select("o_orderkey", "occurrence", "severity")
 
 
 @query("SELECT o_orderkey, o_totalprice FROM orders ORDER BY CASE o_orderstatus WHEN 'P' THEN 0 WHEN 'O' THEN 1 ELSE 2 END, o_totalprice DESC, o_orderkey LIMIT 20 OFFSET 40")
