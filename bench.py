@@ -12,7 +12,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 from marketlens.plans import queries  # noqa: E402
 from marketlens.session import build_session  # noqa: E402
 
-HEADLINE = ["rule_scores", "agg_outlier_free", "agg_price_summary", "join_waterfall", "join_open_range", "queue_expand", "win_islands", "set_upsert", "str_compact_key", "cov_profile"]
+HEADLINE = ["rule_scores", "rule_spread", "join_nearest", "agg_outlier_free", "agg_price_summary", "join_waterfall", "join_open_range", "queue_expand", "win_islands", "set_upsert", "str_compact_key", "cov_profile"]
 
 
 def main() -> None:

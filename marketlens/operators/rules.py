@@ -19,6 +19,11 @@ def _count(flags: list[Column]) -> Column:
     return sum((F.coalesce(x, F.lit(False)).cast("int") for x in flags), F.lit(0))
 
 
+def let(value: Column, use) -> Column:
+    """use(value), with value worked out once for a row however often it is used."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def completeness(critical: list[Column], secondary: list[Column]) -> Column:
     """Share of values present; three critical ones missing fail, one warns, a secondary one warns."""
     a, b = _count([c.isNull() for c in critical]), _count([c.isNull() for c in secondary])
@@ -45,14 +50,21 @@ def mileage(km: Column, year: Column, now_year: Column, price: Column, category:
     age, pro, sporty = now_year - year, F.coalesce(is_pro, F.lit(False)), F.coalesce(category == "sportive", F.lit(False))
     expected = age * km_a_year(category)
     ratio = F.when(expected > 0, km / F.nullif(expected, F.lit(0))).otherwise(F.when(km < 20000, 1.0).otherwise(2.0))
-    low, high, fresh = ratio < 0.5, ratio > 1.5, (age <= 1) & (km < 1000)
-    odd_price = (price < 500) | (price > 100000)
-    odd = _count([low, high, odd_price])
-    mild = F.when(sporty & low, 0.85).when(fresh & pro, 0.7).when(fresh, 0.65).when(pro & high & (ratio < 2.5), 0.6)
-    # A seller's own low mileage on a nearly new car names the professional as well, which the cases above have covered.
-    status = F.when(km.isNull() | year.isNull(), "skip").when((age < 0) | (odd >= 2), "fail").when(odd == 1, "warning").otherwise("pass")
-    score = F.when(km.isNull() | year.isNull() | (age < 0), 0.0).when(odd == 0, 1.0).when(odd == 1, F.coalesce(mild, F.lit(0.5))).otherwise(0.2)
-    return result(status, score, F.round(ratio, 2))
+
+    def judged(x: Column) -> Column:
+        ratio, age, km = x["ratio"], x["age"], x["km"]
+        fresh, odd = (age <= 1) & (km < 1000), _count([ratio < 0.5, ratio > 1.5, x["odd_price"]])
+        # A nearly new car of a professional is named before the professional's high mileage.
+        mild = F.when(x["sporty"] & (ratio < 0.5), 0.85).when(fresh & x["pro"], 0.7).when(fresh, 0.65).when(x["pro"] & (ratio > 1.5) & (ratio < 2.5), 0.6)
+        return let(F.struct(x["known"].alias("known"), age.alias("age"), ratio.alias("ratio"), odd.alias("odd"), F.coalesce(mild, F.lit(0.5)).alias("mild")), verdict)
+
+    def verdict(x: Column) -> Column:
+        status = F.when(~x["known"], "skip").when((x["age"] < 0) | (x["odd"] >= 2), "fail").when(x["odd"] == 1, "warning").otherwise("pass")
+        score = F.when(~x["known"] | (x["age"] < 0), 0.0).when(x["odd"] == 0, 1.0).when(x["odd"] == 1, x["mild"]).otherwise(0.2)
+        return result(status, score, F.round(x["ratio"], 2))
+
+    facts = {"ratio": ratio, "age": age, "km": km, "odd_price": (price < 500) | (price > 100000), "sporty": sporty, "pro": pro, "known": km.isNotNull() & year.isNotNull()}
+    return let(F.struct(*[v.alias(k) for k, v in facts.items()]), judged)
 
 
 def registered(owner: Column, number: Column, country: Column, verified: Column, rating: Column, reviews: Column, state: Column | None) -> Column:
@@ -76,8 +88,8 @@ def registered(owner: Column, number: Column, country: Column, verified: Column,
         cases += [(swiss, "pass", 0.7), (F.lit(True), "skip", 0.0)]
     else:
         cases += [(state.isNull(), "fail", 0.1), (state == "A", "pass", 0.9), (F.lit(True), "warning", 0.4)]
-    status, score = (F.coalesce(*[F.when(c, F.lit(x[k])) for c, *x in cases]) for k in (0, 1))
-    return result(status, score, number)
+    found = F.coalesce(*[F.when(c, F.struct(F.lit(status).alias("status"), F.lit(score).alias("score"))) for c, status, score in cases])
+    return let(found, lambda x: result(x["status"], x["score"], number))
 
 
 def imported(strong: list[Column], weak: list[Column]) -> Column:

@@ -72,19 +72,17 @@ def weighted_score(results: DataFrame, key: str) -> DataFrame:
     return out.select(key, F.bround(F.greatest(F.least("raw", F.lit(100.0)), F.lit(0.0)), 0).cast("long").alias("score"), F.col("partial").alias("is_partial"))
 
 
-def weighted_score_of(results: Column) -> Column:
-    """The same score as a struct (score, is_partial), of an array of results within the row; an empty one is 0 and partial."""
-    zero = F.struct(F.lit(0.0).alias("total"), F.lit(0.0).alias("gained"), (F.size(results) == 0).alias("partial"))
-
-    def add(acc, r):
-        counts, has = r["status"] != "neutral", ~r["status"].isin("neutral", "skip")
-        return F.struct((acc["total"] + F.when(counts, r["weight"]).otherwise(0.0)).alias("total"), (acc["gained"] + F.when(has, r["weight"] * r["score"]).otherwise(0.0)).alias("gained"), (acc["partial"] | ~has).alias("partial"))
-
-    def finish(acc):
-        raw = F.coalesce(acc["gained"] / F.nullif(acc["total"], F.lit(0.0)), F.lit(0.0)) * 100
-        return F.struct(F.bround(F.greatest(F.least(raw, F.lit(100.0)), F.lit(0.0)), 0).cast("long").alias("score"), acc["partial"].alias("is_partial"))
-
-    return F.aggregate(results, zero, add, finish)
+def weighted_score_of(results: list[Column], weights: list[float]) -> Column:
+    """The same score as a struct (score, is_partial), of results within the row: plain sums, which stay in generated code;
+    without results it is 0 and partial."""
+    total, gained, partial = F.lit(0.0), F.lit(0.0), F.lit(not results)
+    for r, weight in zip(results, weights, strict=True):
+        neutral, skipped = r["status"] == "neutral", r["status"] == "skip"
+        total = total + F.when(neutral, 0.0).otherwise(F.lit(float(weight)))
+        gained = gained + F.when(neutral | skipped, 0.0).otherwise(r["score"] * float(weight))
+        partial = partial | neutral | skipped
+    raw = F.coalesce(gained / F.nullif(total, F.lit(0.0)), F.lit(0.0)) * 100
+    return F.struct(F.bround(F.greatest(F.least(raw, F.lit(100.0)), F.lit(0.0)), 0).cast("long").alias("score"), partial.alias("is_partial"))
 
 
 def unpivoted(rows: DataFrame, key: str, columns: list[str]) -> DataFrame:

@@ -81,7 +81,8 @@ def test_score(spark, results, score, partial):
     long = spark.createDataFrame([("a", *r) for r in results], "k string, status string, score double, weight double")
     row = stats.weighted_score(long, "k").first()
     assert (row["score"], row["is_partial"]) == (score, partial)
-    within = long.groupBy("k").agg(F.collect_list(F.struct("status", "score", "weight")).alias("r")).select(stats.weighted_score_of(F.col("r")).alias("s")).first()["s"]
+    each = [F.struct(F.lit(status).alias("status"), F.lit(x).alias("score")) for status, x, _ in results]
+    within = one(spark, stats.weighted_score_of(each, [w for *_, w in results]))
     assert (within["score"], within["is_partial"]) == (score, partial)
 
 
