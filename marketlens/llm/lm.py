@@ -113,10 +113,17 @@ class Strings:
             self.word[first] = 0
 
     def distinct(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """A place of each distinct string, the number of its places, and the string of every place."""
+        """A place of each distinct string, the number of its places, and the string of every place.
+
+        Upper bits of a string's key sort with its place in the lower bits, which is quicker than sorting places by key;
+        should keys share those bits, their strings may stand in several parts, which changes no sum.
+        """
         with np.errstate(over="ignore"):
             key = mixed64((self.before << np.uint64(8) | self.code) + self.word * np.uint64(0xD6E8FEB86659FD93))
-        order = np.argsort(key)
+        low = np.uint64((1 << len(key).bit_length()) - 1)
+        ranked = (key & ~low) | np.arange(len(key), dtype=np.uint64)
+        ranked.sort()
+        order = (ranked & low).astype(np.int64)
         ranked = key[order]
         new = np.r_[True, ranked[1:] != ranked[:-1]]
         which = np.empty(len(key), np.int64)
@@ -165,7 +172,9 @@ def gates_of(seen: np.ndarray) -> np.ndarray:
 
 
 def buckets_of(x: np.ndarray) -> np.ndarray:
-    return np.rint(np.clip(x, -8, 8) + 8).astype(np.int64)
+    at = np.clip(x, -8, 8)
+    at += 8.5
+    return at.astype(np.int64)
 
 
 class Learner:
@@ -184,12 +193,16 @@ class Learner:
         strings = Strings(texts)
         at, times, _ = strings.distinct()
         later = []
+        pairs = self.counts.view(np.complex64)  # a slot's zeros and ones, read at once
         for i in range(0, len(at), STEP_ROWS):
             part, n = at[i : i + STEP_ROWS], times[i : i + STEP_ROWS].astype(np.float32)
             code = strings.code[part]
             slots, one = slots_of(self.bits, code, strings.before[part], strings.word[part]), SIGNS[:, code] > 0
-            self._step(self.counts[2 * slots], self.counts[2 * slots + 1], one, n)
-            later.append(((2 * slots + one).astype(np.int32).reshape(INPUTS * 8, -1), n))
+            both = pairs[slots]
+            self._step(both.real, both.imag, one, n)
+            slots *= 2
+            slots += one
+            later.append((slots.astype(np.int32).reshape(INPUTS * 8, -1), n))
         for slots, n in later:
             for own in slots:
                 np.add.at(self.counts, own, n)
@@ -202,19 +215,23 @@ class Learner:
 
     def _step(self, zeros, ones, one, times) -> None:
         """One online Newton step for each gate, with the counts of what came before."""
-        odds = odds_of(zeros, ones)
         gate = gates_of(seen_of(zeros[:, 0], ones[:, 0]))
-        weights = self.weights.astype(np.float32).T[:, gate]
-        x = sum(odds[p] * weights[p] for p in range(INPUTS))
+        rank = np.argsort(gate, kind="stable")
+        gate, times, one = gate[rank], times[rank], one[:, rank]
+        odds = odds_of(zeros, ones)[:, :, rank]
+        weights = np.ascontiguousarray(self.weights.astype(np.float32).T[:, gate])
+        x = np.einsum("pjn,pn->jn", odds, weights)
         p = 1 / (1 + np.exp(-x.clip(-30, 30)))
-        error, bent = (one - p) * times, p * (1 - p) * times
+        error = (one - p) * times
+        bent = p * (1 - p) * times
         b = buckets_of(x).ravel()
         self.refined += np.stack([np.bincount(b, v.ravel(), BUCKETS) for v in (error, bent)])
-        for g in np.unique(gate):
-            own = gate == g
-            rows = odds[:, :, own].reshape(INPUTS, -1)
-            self.curvature[g] += (rows * bent[:, own].ravel()) @ rows.T
-            self.weights[g] += np.linalg.solve(self.curvature[g] + PULL * np.eye(INPUTS), rows @ error[:, own].ravel()).clip(-0.2, 0.2)
+        ends = np.cumsum(np.bincount(gate, minlength=GATES))
+        for g, (first, end) in enumerate(zip([0, *ends[:-1]], ends, strict=True)):
+            if first < end:
+                rows = odds[:, :, first:end].reshape(INPUTS, -1)
+                self.curvature[g] += (rows * bent[:, first:end].ravel()) @ rows.T
+                self.weights[g] += np.linalg.solve(self.curvature[g] + PULL * np.eye(INPUTS), rows @ error[:, first:end].ravel()).clip(-0.2, 0.2)
 
     def out(self):
         """(block, numbers) rows that add up: counts by block of slots, and as block -1 the weights by their curvature."""
@@ -273,7 +290,7 @@ class Mixer:
         """Bits of each byte and end mark of the texts, each text coded from the learned weights on, block by block."""
         strings = Strings(texts)
         at, _, which = strings.distinct()
-        odds = np.empty((len(at), INPUTS * 8), np.float16)
+        odds = np.empty((len(at), INPUTS * 8), np.float32)
         gate = np.empty(len(at), np.int64)
         for i in range(0, len(at), STEP_ROWS):
             part = at[i : i + STEP_ROWS]
@@ -293,22 +310,28 @@ class Mixer:
             string, text = which[places], owner[places]
             low, texts_here = text[0], text[-1] - text[0] + 1
             text = text - low
-            own = odds[string].T.astype(np.float32, order="C").reshape(INPUTS, 8, -1)
+            own = np.ascontiguousarray(odds[string].T).reshape(INPUTS, 8, -1)
             s, cell = SIGNS[:, strings.code[places]], text * GATES + gate[string]
             w, h = (v[low : low + texts_here].reshape(-1, INPUTS) for v in (weights, curved))
             here = np.ascontiguousarray(w[cell].T)
-            x = own[0] * here[0]
-            for p in range(1, INPUTS):
-                x += own[p] * here[p]
+            x = np.einsum("pjn,pn->jn", own, here)
             bucket = (buckets_of(x) + text * BUCKETS).ravel()
             r, t = (v[low : low + texts_here].reshape(-1) for v in (refined, swayed))
-            e = np.exp(-(s * (x + r[bucket].reshape(x.shape))).clip(-20, 20))
-            cost[places] = np.log(1 + e).sum(axis=0)
-            wrong = e / (1 + e)
-            error, bent = s * wrong, wrong * (1 - wrong)
+            x += r[bucket].reshape(x.shape)
+            x *= s
+            np.clip(x, -20, 20, out=x)
+            e = np.exp(-x)
+            more = 1 + e
+            # Products of four stay within single precision, and need a quarter of the logarithms.
+            cost[places] = np.log(more[0] * more[1] * more[2] * more[3]) + np.log(more[4] * more[5] * more[6] * more[7])
+            wrong = e / more
+            error, bent = s * wrong, wrong / more
+            steps = np.einsum("pjn,jn->pn", own, error)
+            own *= own
+            bends = np.einsum("pjn,jn->pn", own, bent)
             for p in range(INPUTS):
-                h[:, p] += np.bincount(cell, (own[p] * own[p] * bent).sum(axis=0), len(w))
-                w[:, p] += np.bincount(cell, (own[p] * error).sum(axis=0), len(w)) / (OWN_PULL + INPUTS * h[:, p])
+                h[:, p] += np.bincount(cell, bends[p], len(w))
+                w[:, p] += np.bincount(cell, steps[p], len(w)) / (OWN_PULL + INPUTS * h[:, p])
             t += np.bincount(bucket, bent.ravel(), len(t))
             r += np.bincount(bucket, error.ravel(), len(t)) / (REFINE_PULL + 2 * t)
         return cost.astype(np.float64) / np.log(2), strings
