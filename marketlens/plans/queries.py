@@ -379,10 +379,11 @@ def rule_results(spark, sf_dir):  # L1 L2 L3 L7 L8 L9 L10 ENG UDF2
 
 @query("WITH " + ADS + ", " + RULES + """ SELECT split_part(ad_id, '#', 1) AS ad_id, CAST(round_even(coalesce(sum(weight * score ORDER BY CAST(substr(filter_id, 2) AS INT)) FILTER (WHERE status NOT IN ('neutral', 'skip')) / nullif(sum(weight) FILTER (WHERE status <> 'neutral'), 0), 0) * 100, 0) AS BIGINT) AS score, bool_or(status IN ('neutral', 'skip')) AS is_partial FROM f GROUP BY ad_id""")
 def rule_scores(spark, sf_dir):  # ENG SCO: the flagship, ads to scores within the row
-    filters = _filters()
-    # Rows pass through explode with the results in hand, so that each filter is evaluated once and not for each use of it.
-    held = ads(spark, sf_dir).select("ad_id", F.explode(F.array(F.struct(*[c.alias(name) for name, c in filters.items()]))).alias("r"))
-    return held.select("ad_id", stats.weighted_score_of([F.col(f"r.{x}") for x in filters], [rules.WEIGHTS[x] for x in filters]).alias("s")).select("ad_id", "s.*")
+    filters, results = _filters(), ads(spark, sf_dir)
+    # One projection holds all results: the score reads each of them three times, so Catalyst keeps it apart and evaluates
+    # each filter once, and neither projection's generated code grows with the product of both.
+    results = results.withColumns(filters)
+    return results.select("ad_id", stats.weighted_score_of([F.col(x) for x in filters], [rules.WEIGHTS[x] for x in filters]).alias("s")).select("ad_id", "s.*")
 
 
 @query("""SELECT page_id, trim(regexp_extract(html, '<title>([^<]*)</title>', 1)) AS page_title, regexp_extract(html, '<html lang="([a-z]+)"', 1) AS page_lang, CAST(len(regexp_extract_all(html, '<a href="')) AS BIGINT) AS n_links, CAST(len(regexp_extract_all(html, '<p>')) AS BIGINT) AS n_paragraphs FROM pages""")
