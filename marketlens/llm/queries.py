@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontam, hnsw, langid, licenses, lm, minhash, mixing, spelling, toxicity, warc
+from . import chat, decontam, fingerprint, hnsw, langid, licenses, lm, minhash, mixing, ranking, spelling, toxicity, warc
 
 QUERIES = {
     "op1_minhash": minhash.op1_minhash,
@@ -15,6 +15,8 @@ QUERIES = {
     "op8_lm": lm.op8_lm,
     "op9_decontamination": decontam.op9_decontamination,
     "op10_warc": warc.op10_warc,
+    "op11_ranking": ranking.op11_ranking,
+    "op12_fingerprint": fingerprint.op12_fingerprint,
     "op13_spelling": spelling.op13_spelling,
 }
-SQL = {"op2_licenses": licenses.OP2_SQL, "op6_mixing": mixing.OP6_SQL, "op7_chat": chat.OP7_SQL, "op10_warc": warc.OP10_SQL, "op13_spelling": spelling.OP13_SQL}
+SQL = {"op2_licenses": licenses.OP2_SQL, "op6_mixing": mixing.OP6_SQL, "op7_chat": chat.OP7_SQL, "op10_warc": warc.OP10_SQL, "op11_ranking": ranking.OP11_SQL, "op13_spelling": spelling.OP13_SQL}
