@@ -1,6 +1,6 @@
 import pytest
 
-from marketlens.plans import more, queries  # noqa: F401
+from marketlens.plans import more, pages, queries  # noqa: F401
 
 from .conftest import rows_of
 
@@ -8,6 +8,7 @@ from .conftest import rows_of
 @pytest.mark.parametrize("name", sorted(queries.QUERIES))
 def test_same_rows_as_sql(spark, duck, sf_dir, name):
     found = queries.QUERIES[name](spark, sf_dir).toPandas()
+    assert len(found) > 0
     assert rows_of(found) == rows_of(duck.sql(queries.SQL[name]).df())
 
 
