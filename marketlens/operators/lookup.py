@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .cascade import with_best_offer
+
 
 def first_by(rows: DataFrame, keys: list[str], *order: Column) -> DataFrame:
     """One row per key, the first in order; end the order with something unique."""
@@ -12,21 +14,14 @@ def first_by(rows: DataFrame, keys: list[str], *order: Column) -> DataFrame:
     return rows.withColumn("_place", F.row_number().over(place)).where("_place = 1").drop("_place")
 
 
-def waterfall(asks: DataFrame, offers: DataFrame, keys: list[str], ask_id: str, years: int = 3) -> DataFrame:
-    """For each ask (year, fuel) the offer (year, fuel, offer_id) of the first tier that has one.
+def waterfall(asks: DataFrame, offers: DataFrame, keys: list[str], years: int = 3) -> DataFrame:
+    """Each ask (year, fuel) with tier, gap and the columns of the best offer (year, fuel, offer_id, ...) of its keys.
 
-    Tiers: same year and fuel; same year without fuel; within years, same fuel; within years, without fuel. An ask
-    without fuel takes any fuel. Nearer years come first, then smaller ids. One equi-join on the coarse keys; asks
-    without an offer stay, with nulls.
+    See cascade.best_offer for the tiers; asks without an offer stay, with nulls.
     """
-    o = offers.select(*keys, F.col("year").alias("o_year"), F.col("fuel").alias("o_fuel"), "offer_id", *[c for c in offers.columns if c not in {*keys, "year", "fuel", "offer_id"}])
-    gap = F.abs(F.col("o_year") - F.col("year"))
-    fuel = F.col("fuel").isNotNull() & (F.lower("o_fuel") == F.lower("fuel"))
-    loose = F.col("o_fuel").isNull() | F.col("fuel").isNull()
-    tier = F.when((gap == 0) & fuel, 1).when((gap == 0) & loose, 2).when((gap <= years) & fuel, 3).when((gap <= years) & loose, 4)
-    found = asks.join(o, keys).withColumn("tier", tier).where("tier is not null").withColumn("gap", gap)
-    best = first_by(found, [ask_id], F.col("tier"), F.col("gap"), F.col("offer_id"))
-    return asks.join(best.drop(*[c for c in asks.columns if c != ask_id]), ask_id, "left")
+    found = with_best_offer(asks, offers, keys, years=years)
+    more = [c for c in offers.columns if c not in {*keys, "year", "fuel"}]
+    return found.select(*asks.columns, "tier", "gap", F.col("offer.year").alias("o_year"), F.col("offer.fuel").alias("o_fuel"), *[F.col(f"offer.{c}").alias(c) for c in more])
 
 
 def range_join(rows: DataFrame, ranges: DataFrame, keys: list[str], value: str, low: str = "low", high: str = "high") -> DataFrame:

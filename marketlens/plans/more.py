@@ -142,17 +142,19 @@ def join_lookup(spark, sf_dir):  # JN9 JN10
     return asks.join(vehicles, ["k", "t"], "left").join(refs, "vehicle", "left").select("c_custkey", "vehicle", "ref")
 
 
-@query("WITH " + ADS + """, s AS (SELECT make, year, min(price) AS lo, floor(median(price)) AS mid, max(price) AS hi FROM ads WHERE hp > 45 GROUP BY make, year), x AS (SELECT make, unnest([lo, mid, hi])::DOUBLE AS x FROM s WHERE year > 1996),
-d AS (SELECT make, avg(x) AS m, stddev_pop(x) AS d, count(*) AS n FROM x WHERE make <> 'Brand#11' GROUP BY make),
-r AS (SELECT CASE WHEN coalesce(n, 0) < 3 THEN 'skip' WHEN abs((price - m) / nullif(d, 0)) > 3 THEN 'fail' WHEN abs((price - m) / nullif(d, 0)) > 2 OR (fuel = 'R' AND region = 'EUROPE' AND km > 30000) THEN 'warning' ELSE 'pass' END AS status, region FROM ads LEFT JOIN d ON ads.make = d.make)
+@query("WITH " + ADS + """, s AS (SELECT make, year, min(price) AS lo, floor(median(price)) AS mid, max(price) AS hi FROM ads GROUP BY make, year), x AS (SELECT make, unnest([lo, mid, hi])::DOUBLE AS x FROM s),
+d AS (SELECT make, avg(x) AS m, stddev_pop(x) AS d, count(*) AS n FROM x GROUP BY make), a AS (SELECT * REPLACE (CASE WHEN hp % 11 > 0 THEN make END AS make, price * CASE hp % 10 WHEN 0 THEN 4 WHEN 1 THEN 2 ELSE 1 END AS price) FROM ads),
+r AS (SELECT CASE WHEN coalesce(n, 0) < 3 THEN 'skip' WHEN abs((price - m) / nullif(d, 0)) > 3 THEN 'fail' WHEN abs((price - m) / nullif(d, 0)) > 2 THEN 'far' WHEN fuel = 'R' AND region = 'EUROPE' AND km > 30000 THEN 'diesel' ELSE 'pass' END AS status, region FROM a LEFT JOIN d ON a.make = d.make)
 SELECT region, status, count(*) AS n FROM r GROUP BY region, status""")
 def rule_spread(spark, sf_dir):  # L5 JN15
-    a = ads(spark, sf_dir)
-    summary = stats.price_summary(a.where("hp > 45"), ["make", "year"]).where("year > 1996 and make <> 'Brand#11'")
-    found = a.join(F.broadcast(stats.spread(summary, ["make"])), "make", "left")
-    c = F.col
+    a, c, hp = ads(spark, sf_dir), F.col, F.col("hp")
+    spread = stats.spread(stats.price_summary(a, ["make", "year"]), ["make"])
+    # Some ads name no known make, and some ask several times the price.
+    asked = a.withColumns({"make": F.when(hp % 11 > 0, c("make")), "price": c("price") * F.when(hp % 10 == 0, 4).when(hp % 10 == 1, 2).otherwise(1)})
     r = rules.price_spread(c("price"), c("mean"), c("deviation"), c("n"), c("fuel") == "R", c("region") == "EUROPE", c("km"))
-    return found.select("region", r["status"].alias("status")).groupBy("region", "status").agg(F.count(F.lit(1)).alias("n"))
+    far = F.abs((c("price") - c("mean")) / F.nullif("deviation", F.lit(0.0))) > 2
+    kind = F.when(r["status"] != "warning", r["status"]).otherwise(F.when(far, "far").otherwise("diesel"))
+    return asked.join(spread, "make", "left").groupBy("region", kind.alias("status")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("""WITH o AS (SELECT o_custkey, max(o_orderdate) AS seen FROM orders GROUP BY o_custkey) SELECT c_custkey, CAST(CAST(seen AS DATE) AS VARCHAR) AS seen FROM customer LEFT JOIN o ON c_custkey = o_custkey WHERE c_nationkey <> 3 ORDER BY seen IS NOT NULL, c_acctbal > 0, seen, c_custkey LIMIT 5""")

@@ -162,11 +162,11 @@ def agg_ordered_text(spark, sf_dir):  # AG25 AG26 JN3
     return rows.groupBy("conv_id").agg(F.count(F.lit(1)).alias("turns"), F.sum(F.length("text")).alias("chars"), F.md5(joined.cast("binary")).alias("joined_md5"))
 
 
-WATER_OFFERS = """offers AS (SELECT make, region, year, CASE WHEN fuel = 'N' THEN NULL ELSE fuel END AS fuel, make || '|' || region || '|' || year || '|' || fuel AS offer_id, count(*) AS sample_count, CAST(floor(avg(price)) AS BIGINT) AS price_mean FROM ads WHERE year % 2 = 0 GROUP BY make, region, year, fuel)"""
+WATER_OFFERS = """offers AS (SELECT make, region, year, CASE WHEN fuel = 'N' THEN NULL ELSE fuel END AS fuel, make || '|' || region || '|' || year || '|' || fuel AS offer_id, count(*) AS sample_count, CAST(floor(avg(price)) AS BIGINT) AS price_mean FROM (SELECT * REPLACE (year - year % 2 AS year) FROM ads) GROUP BY make, region, year, fuel)"""
 
 
 def _offers(a: DataFrame) -> DataFrame:
-    grouped = a.where("year % 2 = 0").groupBy("make", "region", "year", "fuel").agg(F.count(F.lit(1)).alias("sample_count"), F.floor(F.avg("price")).cast("long").alias("price_mean"))
+    grouped = a.withColumn("year", F.col("year") - F.col("year") % 2).groupBy("make", "region", "year", "fuel").agg(F.count(F.lit(1)).alias("sample_count"), F.floor(F.avg("price")).cast("long").alias("price_mean"))
     return grouped.withColumn("offer_id", F.concat_ws("|", "make", "region", "year", "fuel")).withColumn("fuel", F.when(F.col("fuel") != "N", F.col("fuel")))
 
 
@@ -178,14 +178,14 @@ b AS (SELECT *, row_number() OVER (PARTITION BY ad_id ORDER BY tier, gap, offer_
 SELECT a.ad_id, b.tier, b.offer_id, b.price_mean FROM ads a LEFT JOIN b ON a.ad_id = b.ad_id AND rn = 1""")
 def join_waterfall(spark, sf_dir):  # JN13 JN14 L4
     a = ads(spark, sf_dir)
-    return lookup.waterfall(a, _offers(a), ["make", "region"], "ad_id").select("ad_id", "tier", "offer_id", "price_mean")
+    return lookup.waterfall(a, _offers(a), ["make", "region"]).select("ad_id", "tier", "offer_id", "price_mean")
 
 
-RECALLS = """recalls(make, year_start, year_end) AS (SELECT DISTINCT p_brand, CASE WHEN p_size < 25 THEN NULL ELSE 1995 + p_size % 3 END, 1996 + p_size % 4 FROM part WHERE p_size % 5 = 0)"""
+RECALLS = """recalls(make, year_start, year_end) AS (SELECT DISTINCT p_brand, CASE WHEN p_size < 25 THEN NULL ELSE 1995 + p_size % 3 END, 1996 + p_size % 4 FROM part)"""
 
 
 def _recalls(spark, sf_dir):
-    p = table(spark, sf_dir, "part").where("p_size % 5 = 0")
+    p = table(spark, sf_dir, "part")
     return p.select(F.col("p_brand").alias("make"), F.when(F.col("p_size") >= 25, 1995 + F.col("p_size") % 3).alias("year_start"), (1996 + F.col("p_size") % 4).alias("year_end")).distinct()
 
 
@@ -238,10 +238,10 @@ def join_presence(spark, sf_dir):  # JN22 SO1 COV1
     return lookup.presence(table(spark, sf_dir, "customer").select("c_custkey"), "c_custkey", has_open=o.where("o_orderstatus = 'O'"), has_closed=o.where("o_orderstatus = 'F'"), has_events=e)
 
 
-@query("""WITH c AS (SELECT c_nationkey AS k, count(*) AS customers FROM customer WHERE c_acctbal > 9000 GROUP BY 1), s AS (SELECT s_nationkey AS k, count(*) AS suppliers FROM supplier GROUP BY 1)
+@query("""WITH c AS (SELECT c_nationkey + 5 AS k, count(*) AS customers FROM customer GROUP BY 1), s AS (SELECT s_nationkey AS k, count(*) AS suppliers FROM supplier GROUP BY 1)
 SELECT coalesce(c.k, s.k) AS nation, coalesce(customers, 0) AS customers, coalesce(suppliers, 0) AS suppliers FROM c FULL JOIN s ON c.k = s.k""")
 def join_full_outer(spark, sf_dir):  # JN24 COV4
-    c = table(spark, sf_dir, "customer").where("c_acctbal > 9000").groupBy(F.col("c_nationkey").alias("nation")).agg(F.count(F.lit(1)).alias("customers"))
+    c = table(spark, sf_dir, "customer").groupBy((F.col("c_nationkey") + 5).alias("nation")).agg(F.count(F.lit(1)).alias("customers"))
     s = table(spark, sf_dir, "supplier").groupBy(F.col("s_nationkey").alias("nation")).agg(F.count(F.lit(1)).alias("suppliers"))
     return c.join(s, "nation", "full").na.fill(0, ["customers", "suppliers"])
 

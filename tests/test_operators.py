@@ -89,7 +89,7 @@ def test_score(spark, results, score, partial):
 def test_waterfall_tiers(spark):
     asks = spark.createDataFrame([(1, "m", 2020, "diesel"), (2, "m", 2020, "petrol"), (3, "m", 2017, "lpg"), (4, "m", 2000, None)], "ask long, make string, year int, fuel string")
     offers = spark.createDataFrame([("m", 2020, "Diesel", 1), ("m", 2020, None, 2), ("m", 2018, None, 3)], "make string, year int, fuel string, offer_id long")
-    found = {r["ask"]: (r["tier"], r["offer_id"]) for r in lookup.waterfall(asks, offers, ["make"], "ask").collect()}
+    found = {r["ask"]: (r["tier"], r["offer_id"]) for r in lookup.waterfall(asks, offers, ["make"]).collect()}
     assert found == {1: (1, 1), 2: (2, 2), 3: (4, 3), 4: (None, None)}
 
 

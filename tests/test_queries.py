@@ -1,6 +1,6 @@
 import pytest
 
-from marketlens.plans import more, pages, queries  # noqa: F401
+from marketlens.plans import collection, more, pages, prices, queries  # noqa: F401
 
 from .conftest import rows_of
 
