@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .unicode import folds, without_accents
+
 # Accented Latin letters and what they become in a key.
 ACCENTED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
 PLAIN = "aaaaaaceeeeiiiinooooouuuuyy"
@@ -13,14 +15,19 @@ DIAL = {"+33": "FR", "+49": "DE", "+41": "CH", "+34": "ES", "+39": "IT", "+32":
 
 
 def strip_accents(text: Column) -> Column:
-    """Lower-cased text without Latin accents."""
-    return F.translate(F.lower(text), ACCENTED, PLAIN)
+    """Lower-cased text without accents."""
+    return without_accents(F.lower(text))
+
+
+def market_form(text: Column) -> Column:
+    """Without accents, trimmed, runs of blanks and dashes single, quotes straight; letters keep their case."""
+    quotes = F.translate(without_accents(text), "’‘", "''")
+    return F.regexp_replace(F.trim(F.regexp_replace(quotes, r"(?U)\s+", " ")), r"--+", "-")
 
 
 def market_text(text: Column) -> Column:
-    """Without accents, trimmed, runs of blanks and dashes single, quotes straight; letters keep no case."""
-    quotes = F.translate(strip_accents(text), "’‘", "''")
-    return F.trim(F.regexp_replace(F.regexp_replace(quotes, r"[ \t\r\n]+", " "), r"--+", "-"))
+    """The form by which names are compared: market_form in lower case."""
+    return F.lower(market_form(text))
 
 
 def lookup_text(text: Column) -> Column:
@@ -140,5 +147,7 @@ def keywords_in(text: Column, keywords: list[str], local: list[str] = ()) -> Col
 
 def register(spark) -> None:
     """SQL names of the keys, as temporary SQL functions that Catalyst inlines."""
-    spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION strip_accents(value STRING) RETURNS STRING RETURN translate(lower(value), '{ACCENTED}', '{PLAIN}')")
+    source, target, _ = folds()
+    source, target = (x.replace("\\", "\\\\").replace("'", "\\'") for x in (source, target))
+    spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION strip_accents(value STRING) RETURNS STRING RETURN translate(lower(value), '{source}', '{target}')")
     spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION vehicle_lookup_key(value STRING) RETURNS STRING RETURN regexp_replace(replace(strip_accents(value), 'ß', 'ss'), '[^a-z0-9]+', '')")
