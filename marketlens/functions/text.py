@@ -11,7 +11,7 @@ from .unicode import folds, without_accents
 ACCENTED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
 PLAIN = "aaaaaaceeeeiiiinooooouuuuyy"
 # Dial prefixes by country.
-DIAL = {"+33": "FR", "+49": "DE", "+41": "CH", "+34": "ES", "+39": "IT", "+32": "BE", "+31": "NL", "+43": "AT", "+48": "PL", "+40": "RO", "+352": "LU"}
+DIAL = {"+33": "FR", "+49": "DE", "+41": "CH", "+34": "ES", "+39": "IT", "+32": "BE", "+31": "NL", "+43": "AT", "+48": "PL", "+46": "SE", "+352": "LU"}
 
 
 def strip_accents(text: Column) -> Column:

@@ -1,6 +1,6 @@
 import pytest
 
-from marketlens.plans import collection, more, names, outputs, pages, prices, queries, registry  # noqa: F401
+from marketlens.plans import collection, filters, more, names, outputs, pages, prices, queries, registry  # noqa: F401
 
 from .conftest import rows_of
 
