@@ -4,9 +4,9 @@ Every byte is coded as eight binary decisions. Five predictors hash their contex
 word so far) into tables of bit counts; the log odds of the counts are their inputs to a mixer, whose weights a gate
 picks by how often the longest contexts were seen. A refinement stage corrects the mixture by its own confidence.
 
-1. Learning. Each task codes its texts in order: it predicts a chunk with what it has counted so far, takes an online
-   Newton step on the weights of the gates, and only then counts the chunk, so weights are never fitted on counts that
-   hold the answer. Tasks' counts are summed by block of slots, their weights are averaged by their curvature. Tables
+1. Learning. Each task codes its texts in order: it predicts a portion with what it has counted so far, takes online
+   Newton steps on the weights of the gates, and only then counts the portion, so weights are never fitted on counts that
+   hold the answer. Portions begin at a few KB and double, so weights are learned whatever a task's share of the corpus. Tasks' counts are summed by block of slots, their weights are averaged by their curvature. Tables
    grow with the training text up to MOST_BITS a predictor; counts of whole words grow without a bound.
 2. Scoring. Every document starts from the learned weights and refines them along its text: after each block of
    BLOCK bytes the document's own weights and refinement take a step on what was just coded.
@@ -53,6 +53,8 @@ BUCKETS, REFINE_PULL = 17, 60.0
 #: Bytes of a document to the first refinement of its weights (blocks then double), the longest block, and bytes worked
 #: on at once, in rows of at most STEP_ROWS besides a block.
 BLOCK, MOST_BLOCK, CHUNK, STEP_ROWS = 256, 4096, 3_000_000, 8192
+#: Bytes that a learning task counts before it predicts anything; portions then double up to CHUNK.
+FIRST_PORTION = 4096
 #: Slots of a block of counts that is summed as one, and text that one learning task should take.
 SLOTS, TASK_BYTES = 4096, 32 << 20
 #: Share of the word model in a token's probability.
@@ -86,6 +88,19 @@ def runs(texts: list[bytes]):
         yield first, len(texts)
 
 
+def portions(texts):
+    """Texts in order, in lists of FIRST_PORTION bytes, twice as many, and so on up to CHUNK."""
+    held, waiting, most = [], 0, FIRST_PORTION
+    for text in texts:
+        held.append(text)
+        waiting += len(text) + 1
+        if waiting >= most:
+            yield held
+            held, waiting, most = [], 0, min(2 * most, CHUNK)
+    if held:
+        yield held
+
+
 class Strings:
     """What each byte of some texts follows: the byte or end mark (0), the bytes before it, and the hash of its word so far."""
 
@@ -388,15 +403,8 @@ def train(texts: DataFrame) -> Mixer:
     bits = table_bits(size)
 
     def learned(batches):
-        learner, held, waiting = Learner(bits), [], 0
-        for batch in batches:
-            for text in lowered(batch.column(0).cast(pa.binary()).to_pylist()):
-                held.append(text)
-                waiting += len(text) + 1
-                if waiting >= CHUNK:
-                    learner.learn(held)
-                    held, waiting = [], 0
-        if held:
+        learner = Learner(bits)
+        for held in portions(text for batch in batches for text in lowered(batch.column(0).cast(pa.binary()).to_pylist())):
             learner.learn(held)
         yield from _numbers(learner.out())
 

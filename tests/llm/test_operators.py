@@ -480,6 +480,27 @@ def test_better_than_the_base(spark, sf_dir):
     assert found[0] > found[1]
 
 
+def test_mixer_learns_on_little_text(documents):
+    """Weights move on a task's few KB, and held-out text then costs less than with the first weights."""
+    held = documents.doc_id.map(lambda i: zlib.crc32(str(i).encode()) % 7 == 2)
+    train, test = ([t.encode().lower() for t in documents.text[x]] for x in (~held, held))
+    assert [sum(map(len, p)) + len(p) for p in lm.portions([b"x" * 99] * 300)] == [4100, 8200, 16400, 1300]
+    parts = [lm.Learner([18] * 5) for _ in range(4)]
+    for k, learner in enumerate(parts):
+        for texts in lm.portions(train[k::4]):
+            learner.learn(texts)
+        assert np.abs(learner.weights - lm.FIRST).max() > 0.05
+    counts, last = sum(p.counts.astype(float) for p in parts), sum(list(p.out())[-1][1] for p in parts)
+    cost = []
+    for settle in (False, True):
+        mixer = lm.Mixer([18] * 5)
+        mixer.odds, mixer.seen = lm.odds_of(counts[::2], counts[1::2]).astype(np.float16), np.minimum(lm.seen_of(counts[::2], counts[1::2]), 255)
+        if settle:
+            mixer.settle(last)
+        cost.append(mixer.bits_of(test)[0].sum())
+    assert cost[1] < 0.99 * cost[0]
+
+
 def test_language_model_of_odd_rows(odd, none):
     found = {r["doc_id"]: r for r in lm.scores(odd).collect()}
     assert len(lm.scores(odd).collect()) == odd.count()
