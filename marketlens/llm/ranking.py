@@ -37,7 +37,7 @@ TERM_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <=
 #: Results of an item, and the constants of the impact.
 BEST, FULL, FLAT, SLOPE, TIMES, SCALE = 10, 100, 75, 8, 1000, 1_000_000_000
 #: Postings of a shard at most (unless one document has more), and terms of the items that one block holds.
-SHARD_POSTINGS, BLOCK_TERMS = 2_000_000, 200_000
+SHARD_POSTINGS, BLOCK_TERMS = 500_000, 200_000
 #: A shard completes scores of at most so many documents beyond the best; while more could be among them it goes on.
 SLACK = 64
 
