@@ -125,6 +125,10 @@ def opened(path: str):
         fs, inner = pafs.FileSystem.from_uri({"s3a": "s3", "s3n": "s3"}.get(scheme, scheme) + "://" + rest)
     except (pa.ArrowInvalid, pa.ArrowNotImplementedError):
         return None
+    except OSError:
+        if scheme in ("", "file"):
+            raise
+        return None  # the scheme is known, but its library is not there
     return fs.open_input_file(inner)
 
 
@@ -187,11 +191,11 @@ def _ranges(rows: list[tuple[int, int]]):
 FOUND = "record_type string, page_id string, url string, payload_digest string, payload_bytes long, refers_to string, payload binary, found_digest string"
 
 
-def _read(batches):
-    """Records of index rows that come sorted by path and offset; a column content, if there is one, holds the archive."""
+def _read(batches, content: bytes | None = None):
+    """Records of index rows that come sorted by path and offset; content, if given, is the one archive that they are in."""
     file = at = None
     for batch in batches:
-        table = batch.drop_columns(["content"]).to_pydict() if "content" in batch.schema.names else batch.to_pydict()
+        table = batch.to_pydict()
         paths, places = table["path"], list(zip(table["offset"], table["length"], strict=True))
         payloads = []
         starts = [i for i in range(len(paths)) if i == 0 or paths[i] != paths[i - 1]] + [len(paths)]
@@ -199,7 +203,7 @@ def _read(batches):
             if paths[a] != at:
                 if file:
                     file.close()
-                file = pa.BufferReader(batch.column("content")[a].as_buffer()) if "content" in batch.schema.names else opened(paths[a])
+                file = opened(paths[a]) if content is None else pa.BufferReader(content)
                 at = paths[a]
             for i, j in _ranges(places[a:b]):
                 low = places[a + i][0]
@@ -217,6 +221,15 @@ def _read(batches):
         file.close()
 
 
+def _read_whole(rows: pa.Table, files: pa.Table) -> pa.Table:
+    """Records of one archive's index rows from its content, which stands once beside them."""
+    kinds = [("record_type", pa.string()), ("page_id", pa.string()), ("url", pa.string()), ("payload_digest", pa.string()), ("payload_bytes", pa.int64()), ("refers_to", pa.string()), ("payload", pa.binary()), ("found_digest", pa.string())]
+    if not rows.num_rows:
+        return pa.schema(kinds).empty_table()
+    batches = rows.sort_by("offset").combine_chunks().to_batches()
+    return pa.Table.from_batches(list(_read(batches, files.column("content")[0].as_buffer()))).cast(pa.schema(kinds))
+
+
 def read(selected: DataFrame) -> DataFrame:
     """The records of the index rows selected, with payload (null for revisits) and the digest of what was read."""
     spark = selected.sparkSession
@@ -226,7 +239,8 @@ def read(selected: DataFrame) -> DataFrame:
     if first and opened(first["path"]) is None:
         folder = first["path"].rsplit("/", 1)[0]
         whole = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").load(folder).select("path", "content")
-        rows = selected.join(whole, "path").repartition("path").sortWithinPartitions("path", "offset")
+        # An archive is as large as one task should read, and goes to the task of its rows once.
+        return selected.groupBy("path").cogroup(whole.groupBy("path")).applyInArrow(_read_whole, FOUND)
     return rows.mapInArrow(_read, FOUND)
 
 

@@ -601,6 +601,19 @@ def test_archives_are_gzip(spark, tmp_path, monkeypatch):
     assert sorted((r["page_id"], r["record_type"], r["payload"] and len(r["payload"]), r["refers_to"]) for r in warc.read(warc.index(spark, path)).collect()) == once
 
 
+def test_archives_that_only_spark_opens(spark, monkeypatch, sf_dir):
+    """The same records where archives come as whole files, each one once beside its rows."""
+    want = warc.op10_warc(spark, sf_dir).toPandas()
+    monkeypatch.setattr(warc, "opened", lambda path: None)
+    assert rows_of(warc.op10_warc(spark, sf_dir).toPandas()) == rows_of(want)
+
+
+def test_schemes_without_a_library():
+    assert warc.opened("hdfs://nowhere/x.txt") is None and warc.opened("viewfs://store/x.txt") is None
+    with pytest.raises(OSError):
+        warc.opened("file:///no/such/archive.txt")
+
+
 def test_ranges_join_neighbours():
     rows = [(0, 10), (10, 10), (20 + warc.MOST_GAP + 1, 5), (10**9, warc.MOST_SPAN), (10**9 + warc.MOST_SPAN, 5)]
     assert list(warc._ranges(rows)) == [(0, 2), (2, 3), (3, 4), (4, 5)]
