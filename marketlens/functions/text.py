@@ -88,10 +88,15 @@ def phone_digits(phone: Column) -> Column:
 
 def dial_country(phone: Column) -> Column:
     """Country of the longest dial prefix that matches; null for others."""
-    number, out = phone_digits(phone), F.lit(None).cast("string")
+    return country_of_number(phone_digits(phone))
+
+
+def country_of_number(number: Column) -> Column:
+    """The same of a number's digits; one pattern decides whether a prefix has to be looked for at all."""
+    out = F.lit(None).cast("string")
     for prefix in sorted(DIAL, key=len):
         out = F.when(F.startswith(number, F.lit(prefix)), F.lit(DIAL[prefix])).otherwise(out)
-    return out
+    return F.when(F.startswith(number, F.lit("+")), out)
 
 
 def alike(a: Column, b: Column) -> Column:

@@ -15,6 +15,11 @@ def result(status: Column, score: Column, detail: Column) -> Column:
     return F.struct(status.alias("status"), F.round(score.cast("double"), 2).alias("score"), detail.cast("string").alias("detail"))
 
 
+def first_case(cases: list[tuple[Column, str, float]], detail: Column) -> Column:
+    """The result of the first (condition, status, score) that holds; each condition is evaluated once at most."""
+    return F.coalesce(*[F.when(F.coalesce(c, F.lit(False)), result(F.lit(status), F.lit(score), detail)) for c, status, score in cases])
+
+
 def _count(flags: list[Column]) -> Column:
     return sum((F.coalesce(x, F.lit(False)).cast("int") for x in flags), F.lit(0))
 
@@ -88,13 +93,21 @@ def registered(owner: Column, number: Column, country: Column, verified: Column,
         cases += [(swiss, "pass", 0.7), (F.lit(True), "skip", 0.0)]
     else:
         cases += [(state.isNull(), "fail", 0.1), (state == "A", "pass", 0.9), (F.lit(True), "warning", 0.4)]
-    found = F.coalesce(*[F.when(c, F.struct(F.lit(status).alias("status"), F.lit(score).alias("score"))) for c, status, score in cases])
-    return let(found, lambda x: result(x["status"], x["score"], number))
+    return first_case(cases, number)
+
+
+def weighed(strong: list[Column], weak: list[Column]) -> Column:
+    """Weight of signs: a strong one weighs 1, a weak one a half."""
+    return _count(strong) + 0.5 * _count(weak)
 
 
 def imported(strong: list[Column], weak: list[Column]) -> Column:
-    """Signs of an import: a strong one weighs 1, a weak one a half; from 1 on they warn, from 2 on they fail."""
-    weight = _count(strong) + 0.5 * _count(weak)
+    """Signs of an import by their weight."""
+    return imported_by(weighed(strong, weak))
+
+
+def imported_by(weight: Column) -> Column:
+    """Signs of an import: from a weight of 1 on they warn, from 2 on they fail."""
     status = F.when(weight < 1, "pass").when(weight < 2, "warning").otherwise("fail")
     return result(status, F.when(weight < 1, 1.0).when(weight < 2, 0.4).otherwise(0.1), weight)
 

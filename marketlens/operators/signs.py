@@ -11,8 +11,7 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..functions.text import dial_country, phone_digits
-from .rules import imported, result
+from .rules import first_case, weighed
 
 HOME = "FR"
 # Prefixes reserved for telephone sales, and those of second, virtual numbers.
@@ -49,51 +48,56 @@ def mentions(text: Column, words: list[str], whole: list[str] = ()) -> Column:
     return F.coalesce(text.rlike("|".join(parts)), F.lit(False))
 
 
-def phone_plan(phone: Column, country: Column, owner: Column, has_phone: Column, source: Column) -> Column:
+def phone_plan(number: Column, dialled: Column, country: Column, owner: Column, has_phone: Column, source: Column) -> Column:
     """A seller's number: none at all warns (a professional's fails) unless the site hides it; a foreign prefix warns;
-    numbers of telephone sales fail, virtual ones warn, others pass, the more surely the better their plan is known."""
-    land, number = F.upper(F.coalesce(country, F.lit(HOME))), phone_digits(F.trim(phone))
-    none = F.coalesce(F.trim(phone), F.lit("")) == ""
+    numbers of telephone sales fail, virtual ones warn, others pass, the more surely the better their plan is known.
+
+    number is text.phone_digits of the phone, dialled text.country_of_number of that: columns of their own, as many rules
+    read them.
+    """
+    land = F.upper(F.coalesce(country, F.lit(HOME)))
+    none = F.coalesce(number, F.lit("")) == ""
     private = F.lower(F.coalesce(owner, F.lit(""))).isin("private", "particulier", "")
-    dialled = dial_country(phone)
-    local = F.regexp_replace(number, r"^\+33", "0")
-    begins = lambda prefixes: local.rlike(f"^(?:{'|'.join(prefixes)})")
+    home = lambda prefixes: number.rlike(rf"^(?:\+33|0)(?:{'|'.join(p[1:] for p in prefixes)})")
     known = F.lit(False)
     for name, (code, plan) in PLANS.items():
         known = known | ((land == name) & number.rlike(rf"^(?:\{code}|0)(?:{plan})$"))
-    planned = land.isin(*PLANS)
     cases = [
         (none & ((F.lower(source) == "lacentrale") | F.coalesce(has_phone, F.lit(False))), "neutral", 0.0),
         (none & private, "warning", 0.2),
         (none, "fail", 0.0),
-        (dialled.isNotNull() & (dialled != land), "warning", 0.3),
-        ((land == HOME) & begins(SALES_PREFIXES), "fail", 0.1),
-        ((land == HOME) & begins(VIRTUAL_PREFIXES), "warning", 0.3),
+        (dialled != land, "warning", 0.3),
+        ((land == HOME) & home(SALES_PREFIXES), "fail", 0.1),
+        ((land == HOME) & home(VIRTUAL_PREFIXES), "warning", 0.3),
         (known, "pass", 1.0),
-        (~planned & dialled.isNull() & ~F.startswith(number, F.lit("+")), "pass", 0.7),
+        (~land.isin(*PLANS) & dialled.isNull() & ~F.startswith(number, F.lit("+")), "pass", 0.7),
         (F.lit(True), "pass", 0.8),
     ]
-    found = F.coalesce(*[F.when(F.coalesce(c, F.lit(False)), F.struct(F.lit(status).alias("status"), F.lit(score).alias("score"))) for c, status, score in cases])
-    return result(found["status"], found["score"], number)
+    return first_case(cases, number)
 
 
-def import_signs(title: Column, description: Column, country: Column, phone: Column, price: Column, age: Column, is_pro: Column, number: Column, checked_site: Column) -> Column:
-    """Signs of an import: foreign number, words of imports, countries, foreign words, taxes and registrations, a price far
-    too low for the age, a professional without a number. Doubtful registrations weigh a half."""
-    text = F.lower(F.concat_ws(" ", F.coalesce(title, F.lit("")), F.coalesce(description, F.lit(""))))
+def import_weight(text: Column, country: Column, dialled: Column, price: Column, age: Column, is_pro: Column, number: Column, checked_site: Column) -> Column:
+    """Weight of the signs of an import: foreign phone, words of imports, countries, foreign words, taxes and registrations,
+    a price far too low for the age, a professional without a number; doubtful registrations weigh a half.
+
+    text is the lower-cased title and description, dialled the phone's country; rules.imported_by judges the weight.
+    """
     land = F.upper(F.coalesce(country, F.lit(HOME)))
 
     def elsewhere(words: list[str], own: dict[str, list[str]]) -> Column:
         """Mentions of words without those that are usual in the ad's own country."""
-        out = None
-        for name, usual in own.items():
-            left = mentions(text, [w for w in words if w not in usual])
-            out = F.when(land == name, left) if out is None else out.when(land == name, left)
-        return out.otherwise(mentions(text, words))
+        usual = sorted({w for names in own.values() for w in names})
+        found = mentions(text, [w for w in words if w not in usual])
+        # The few words that are usual somewhere are looked for one country's list at a time.
+        rest = None
+        for names in {tuple(v) for v in own.values()}:
+            where = [k for k, v in own.items() if tuple(v) == names]
+            hit = ~land.isin(*where) & mentions(text, list(names))
+            rest = hit if rest is None else rest | hit
+        return found | rest
 
-    dialled = dial_country(phone)
     strong = [
-        dialled.isNotNull() & (dialled != land),
+        dialled != land,
         mentions(text, IMPORT_WORDS, WHOLE_IMPORT_WORDS),
         elsewhere(COUNTRIES, OWN_NAMES),
         elsewhere([*GERMAN, *SPANISH, *ITALIAN, *ENGLISH, *ALWAYS_FOREIGN], OWN_LANGUAGE),
@@ -102,7 +106,7 @@ def import_signs(title: Column, description: Column, country: Column, phone: Col
         (age < YOUNG_YEARS) & (price < TOO_CHEAP),
         is_pro & (F.coalesce(number, F.lit("")) == "") & ~F.coalesce(checked_site, F.lit(False)),
     ]
-    return imported(strong, [mentions(text, DOUBTFUL_REGISTRATION)])
+    return weighed(strong, [mentions(text, DOUBTFUL_REGISTRATION)])
 
 
 def reference_prices(offers: Column, fuel: Column, hp_range: Column, least_samples: int = 3, least: int = 3) -> Column:

@@ -12,19 +12,24 @@ def outlier_free(prices: DataFrame, keys: list[str], price: str = "price", least
     The fence is 1.5 interquartile ranges beyond the quartiles of all prices. With fewer than least prices inside, all
     are kept. p25 and p75 are those of the kept prices, iqr_mean the mean of kept prices within them.
     """
+    # Prices are counted by value first: what follows reads this one shuffled table, not the prices.
+    x, n = F.col(price), F.col("_n")
+    counted = prices.where(x.isNotNull()).groupBy(*keys, price).agg(F.count(F.lit(1)).alias("_n"))
+    at = lambda value, q: F.percentile(value, F.lit(q), n)
     width = 1.5 * (F.col("q3") - F.col("q1"))
-    fence = prices.groupBy(*keys).agg(F.percentile(price, F.lit(0.25)).alias("q1"), F.percentile(price, F.lit(0.75)).alias("q3"), F.count(price).alias("n"))
+    fence = counted.groupBy(*keys).agg(at(x, 0.25).alias("q1"), at(x, 0.75).alias("q3"), F.sum(n).alias("n"))
     fence = fence.select(*keys, "n", (F.col("q1") - width).alias("fence_low"), (F.col("q3") + width).alias("fence_high"))
-    marked = prices.join(fence, keys).withColumn("inside", F.col(price).between(F.col("fence_low"), F.col("fence_high")))
-    inside = F.when(F.col("inside"), F.col(price))
+    marked = counted.join(fence, keys).withColumn("inside", x.between(F.col("fence_low"), F.col("fence_high")))
+    inside = F.when(F.col("inside"), x)
     second = marked.groupBy(*keys, "n", "fence_low", "fence_high").agg(
-        F.count(inside).alias("n_inside"), *[F.percentile(c, F.lit(q)).alias(name) for c, q, name in ((inside, 0.25, "in25"), (inside, 0.75, "in75"), (F.col(price), 0.25, "all25"), (F.col(price), 0.75, "all75"))]
+        F.coalesce(F.sum(F.when(F.col("inside"), n)), F.lit(0)).alias("n_inside"), *[at(c, q).alias(name) for c, q, name in ((inside, 0.25, "in25"), (inside, 0.75, "in75"), (x, 0.25, "all25"), (x, 0.75, "all75"))]
     )
     few = F.col("n_inside") < least
     second = second.select(*keys, "n", "fence_low", "fence_high", few.alias("few"), F.when(few, F.col("n")).otherwise(F.col("n_inside")).alias("kept"), F.when(few, F.col("all25")).otherwise(F.col("in25")).alias("p25"), F.when(few, F.col("all75")).otherwise(F.col("in75")).alias("p75"))
-    kept = prices.join(second, keys).where(F.col("few") | F.col(price).between(F.col("fence_low"), F.col("fence_high")))
-    middle = F.when(F.col(price).between(F.col("p25"), F.col("p75")), F.col(price))
-    return kept.groupBy(*keys, "n", "kept", "fence_low", "fence_high", "p25", "p75").agg(F.coalesce(F.avg(middle), F.avg(price)).alias("iqr_mean"))
+    kept = counted.join(second, keys).where(F.col("few") | x.between(F.col("fence_low"), F.col("fence_high")))
+    mean = lambda keep: F.sum(F.when(keep, x * n)) / F.sum(F.when(keep, n))
+    middle = x.between(F.col("p25"), F.col("p75"))
+    return kept.groupBy(*keys, "n", "kept", "fence_low", "fence_high", "p25", "p75").agg(F.coalesce(mean(middle), mean(F.lit(True))).alias("iqr_mean"))
 
 
 def price_summary(prices: DataFrame, keys: list[str], price: str = "price") -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import numbers, titles
+from ..functions import numbers, text, titles
 from ..operators import cascade, rules, signs, stats
 from ..session import table
 from . import prices
@@ -90,14 +90,18 @@ def evaluated(spark, sf_dir) -> DataFrame:
     owner = F.when(seller % 3 == 0, "pro").when(seller % 3 == 1, "private")
     number = F.when(seller % 4 == 1, "12345").when(seller % 4 > 1, F.lpad(seller.cast("string"), 9, "0"))
     phone, land = pick(PHONES, seller), pick(LANDS, seller)
+    # What several rules read becomes a column once.
+    joined = joined.withColumns({"_number": text.phone_digits(F.trim(phone)), "_text": F.lower(F.concat_ws(" ", F.lit("Ad"), F.coalesce(pick(TEXTS, hp), F.lit("")))), "_land": land})
+    joined = joined.withColumn("_dialled", text.country_of_number(c("_number")))
+    joined = joined.withColumn("_weight", signs.import_weight(c("_text"), c("_land"), c("_dialled"), c("price"), 2002 - year, F.coalesce(owner == "pro", F.lit(False)), number, hp % 9 == 0))
     ask = c("price") * F.when(hp % 10 == 0, 6).when(hp % 10 == 1, 2).otherwise(1)
     recalled = F.when(year.isNull(), "neutral").when(F.coalesce(c("_recalls"), F.lit(0)) > 0, "fail").otherwise("pass")
     filters = _filters() | {
         "L2": rules.known_model(c("make"), c("model"), titles.is_generic_model(F.when(hp % 17 == 0, "Autres").otherwise(c("model")), c("make")), c("_known")),
         "L4": c("l4"),
         "L5": rules.price_spread(ask, c("_spread.mean"), c("_spread.deviation"), c("_spread.n"), c("fuel") == "R", c("region") == "EUROPE", c("km")),
-        "L6": signs.phone_plan(phone, land, owner, seller % 2 == 0, pick(SITES, seller)),
-        "L8": signs.import_signs(F.lit("Ad"), pick(TEXTS, hp), land, phone, c("price"), 2002 - year, F.coalesce(owner == "pro", F.lit(False)), number, hp % 9 == 0),
+        "L6": signs.phone_plan(c("_number"), c("_dialled"), c("_land"), owner, seller % 2 == 0, pick(SITES, seller)),
+        "L8": rules.imported_by(c("_weight")),
         "L11": rules.result(recalled, (recalled == "pass").cast("double"), c("_recalls")),
     }
     return joined.select("ad_id", *[filters[x].alias(x) for x in rules.WEIGHTS])

@@ -191,8 +191,10 @@ def _recalls(spark, sf_dir):
 
 @query("WITH " + ADS + ", " + RECALLS + " SELECT ad_id, count(*) AS n FROM ads JOIN recalls ON ads.make = recalls.make AND (year_start IS NULL OR year_start <= year) AND (year_end IS NULL OR year <= year_end) GROUP BY ad_id")
 def join_open_range(spark, sf_dir):  # JN11 JN12 PRD5 PRD6
-    found = lookup.range_join(ads(spark, sf_dir), _recalls(spark, sf_dir), ["make"], "year", "year_start", "year_end")
-    return found.groupBy("ad_id").agg(F.count(F.lit(1)).alias("n"))
+    a = ads(spark, sf_dir).select("ad_id", "make", "year")
+    # Recalls are counted once for each make and year, then found by key.
+    held = lookup.range_join(a.select("make", "year").distinct(), _recalls(spark, sf_dir), ["make"], "year", "year_start", "year_end").groupBy("make", "year").agg(F.count(F.lit(1)).alias("n"))
+    return a.join(held, ["make", "year"]).groupBy("ad_id").agg(F.sum("n").alias("n"))
 
 
 @query("WITH " + ADS + ", " + RECALLS + ", h AS (SELECT ads.make AS make, ads.year AS year, count(*) AS n, min(concat_ws('-', CAST(year_start AS VARCHAR), CAST(year_end AS VARCHAR))) AS first_recall FROM (SELECT DISTINCT make, year FROM ads) ads JOIN recalls ON ads.make = recalls.make AND year BETWEEN year_start AND year_end GROUP BY ads.make, ads.year) SELECT ads.ad_id, coalesce(n, 0) AS n_recalls, first_recall, CASE WHEN ads.year IS NOT NULL AND n IS NULL THEN 1.0 ELSE 0.0 END::DOUBLE AS score, CASE WHEN ads.year IS NULL THEN 'neutral' WHEN n > 0 THEN 'fail' ELSE 'pass' END AS status FROM ads LEFT JOIN h ON ads.make = h.make AND ads.year = h.year")

@@ -3,11 +3,22 @@
 import pytest
 from pyspark.sql import functions as F
 
-from marketlens.operators import signs
+from marketlens.functions import text as texts
+from marketlens.operators import rules, signs
 
 lit = lambda x, kind="string": F.lit(x).cast(kind)
 
 
+def plan(phone, *rest):
+    number = texts.phone_digits(F.trim(phone))
+    return signs.phone_plan(number, texts.country_of_number(number), *rest)
+
+
+def imports(title, description, country, phone, *rest):
+    words = F.lower(F.concat_ws(" ", F.coalesce(title, F.lit("")), F.coalesce(description, F.lit(""))))
+    return rules.imported_by(signs.import_weight(words, country, texts.dial_country(phone), *rest))
+
+
 def one(spark, column):
     r = spark.range(1).select(column.alias("r")).first()["r"]
     return r["status"], r["score"]
@@ -24,7 +35,7 @@ def one(spark, column):
     ],
 )
 def test_phone_plans(spark, phone, country, owner, has_phone, source, expected):
-    assert one(spark, signs.phone_plan(lit(phone), lit(country), lit(owner), lit(has_phone, "boolean"), lit(source))) == expected
+    assert one(spark, plan(lit(phone), lit(country), lit(owner), lit(has_phone, "boolean"), lit(source))) == expected
 
 
 @pytest.mark.parametrize(
@@ -36,11 +47,11 @@ def test_phone_plans(spark, phone, country, owner, has_phone, source, expected):
 )
 def test_words_of_imports(spark, text, country, status):
     none = lit(None)
-    assert one(spark, signs.import_signs(none, lit(text), lit(country), none, lit(None, "int"), lit(None, "int"), F.lit(False), none, F.lit(False)))[0] == status
+    assert one(spark, imports(none, lit(text), lit(country), none, lit(None, "int"), lit(None, "int"), F.lit(False), none, F.lit(False)))[0] == status
 
 
 def test_other_signs_of_imports(spark):
-    sign = lambda price, age, pro, number, checked, phone=None: one(spark, signs.import_signs(lit("x"), lit(None), lit("FR"), lit(phone), lit(price, "int"), lit(age, "int"), lit(pro, "boolean"), lit(number), lit(checked, "boolean")))[0]
+    sign = lambda price, age, pro, number, checked, phone=None: one(spark, imports(lit("x"), lit(None), lit("FR"), lit(phone), lit(price, "int"), lit(age, "int"), lit(pro, "boolean"), lit(number), lit(checked, "boolean")))[0]
     assert sign(2999, 7, False, None, None) == "warning" and sign(3000, 7, False, None, None) == "pass" and sign(2999, 8, None, None, None) == "pass"
     assert sign(None, None, True, " ", False) == "pass" and sign(None, None, True, "", False) == "warning" and sign(None, None, True, None, True) == "pass"
     assert sign(100, 1, True, None, None, "+49 1") == "fail"
