@@ -1,7 +1,7 @@
 """Reference prices: the best offer of ranked tiers, and the cascade of sources behind a price filter.
 
 Offers are gathered once into one array for each coarse key (a handful of years, fuels and power ranges, one offer for
-each of them), so an ad is joined once and finds its offer within the row, without a window over ads times offers.
+each of them). The best one is found within the row, without a window, for each distinct kind of ask, not for each ad.
 
 Defined cases: a null in a key matches nothing; an ad without any offer has a null reference; an offer without fuel or
 power range is a general one; ties go to the smaller offer_id.
@@ -46,11 +46,17 @@ def best_offer(offers: Column, year: Column, fuel: Column, hp_range: Column | No
 
 
 def with_best_offer(asks: DataFrame, offers: DataFrame, keys: list[str], hp_range: str | None = None, years: int = 3) -> DataFrame:
-    """asks (keys, year, fuel) with tier, power_tier, gap and the struct offer, all null where no offer is found."""
-    power = None if hp_range is None else F.col(hp_range)
-    best = best_offer(F.col("_offers"), F.col("year"), F.col("fuel"), power, years, "hp_range" in offers.columns)
-    found = asks.join(gathered(offers, keys), keys, "left").withColumn("_best", best)
-    return found.select(*asks.columns, *[F.col(f"_best.{c}").alias(c) for c in ("tier", "power_tier", "gap", "offer")])
+    """asks (keys, year, fuel) with tier, power_tier, gap and the struct offer, all null where no offer is found.
+
+    Asks of one kind have one answer: it is worked out for each distinct (keys, year, fuel, power) and joined back.
+    """
+    loose = ["year", "fuel", *([hp_range] if hp_range else [])]
+    kinds = asks.select(*keys, *loose).distinct()
+    best = best_offer(F.col("_offers"), F.col("year"), F.col("fuel"), F.col(hp_range) if hp_range else None, years, "hp_range" in offers.columns)
+    added = ["tier", "power_tier", "gap", "offer"]
+    found = kinds.join(gathered(offers, keys), keys).withColumn("_best", best).select(*[F.col(c).alias(f"_{c}") for c in [*keys, *loose]], *[F.col(f"_best.{c}").alias(c) for c in added])
+    on = [F.col(c) == F.col(f"_{c}") for c in keys] + [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in loose]
+    return asks.join(found, on, "left").select(*asks.columns, *added)
 
 
 def reference(market: Column, seed: Column, low: Column, high: Column, quotation: Column, hp: Column, market_name: Column) -> Column:
