@@ -178,7 +178,10 @@ b AS (SELECT *, row_number() OVER (PARTITION BY ad_id ORDER BY tier, gap, offer_
 SELECT a.ad_id, b.tier, b.offer_id, b.price_mean FROM ads a LEFT JOIN b ON a.ad_id = b.ad_id AND rn = 1""")
 def join_waterfall(spark, sf_dir):  # JN13 JN14 L4
     a = ads(spark, sf_dir)
-    return lookup.waterfall(a, _offers(a), ["make", "region"]).select("ad_id", "tier", "offer_id", "price_mean")
+    found = lookup.waterfall(a, _offers(a), ["make", "region"])
+    # Ads that share an id share the best of their offers.
+    best = F.min(F.when(F.col("tier").isNotNull(), F.struct("tier", "gap", "offer_id", "price_mean"))).over(Window.partitionBy("ad_id"))
+    return found.select("ad_id", best.alias("b")).select("ad_id", "b.tier", "b.offer_id", "b.price_mean")
 
 
 RECALLS = """recalls(make, year_start, year_end) AS (SELECT DISTINCT p_brand, CASE WHEN p_size < 25 THEN NULL ELSE 1995 + p_size % 3 END, 1996 + p_size % 4 FROM part)"""
