@@ -16,6 +16,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 
+#: A few ranges that hold all code points which become several.
+WIDE = r"[\x{A8}\x{AF}\x{B4}\x{B8}\x{BC}-\x{BE}\x{132}-\x{10FFFF}]"
+
+
 def folded(text: str) -> str:
     """Decomposed, without combining marks."""
     return "".join(c for c in unicodedata.normalize("NFKD", text) if not unicodedata.combining(c))
@@ -54,6 +58,7 @@ def without_accents(text: Column, exact: bool = True) -> Column:
     source, target, several = folds()
     out = F.translate(text, source, target)
     if exact:
-        many = F.rlike(text, F.lit(several))
+        # Few texts hold a code point of the wide ranges, and only those are held against the long pattern.
+        many = F.rlike(text, F.lit(WIDE)) & F.rlike(text, F.lit(several))
         out = F.when(many, _folded(F.when(many, text))).otherwise(out)
     return F.when(F.octet_length(text) == F.length(text), text).otherwise(out)
