@@ -48,7 +48,7 @@ def mentions(text: Column, words: list[str], whole: list[str] = ()) -> Column:
     return F.coalesce(text.rlike("|".join(parts)), F.lit(False))
 
 
-def phone_plan(number: Column, dialled: Column, country: Column, owner: Column, has_phone: Column, source: Column) -> Column:
+def phone_plan(number: Column, dialled: Column, country: Column, owner: Column, has_phone: Column, site_hides: Column) -> Column:
     """A seller's number: none at all warns (a professional's fails) unless the site hides it; a foreign prefix warns;
     numbers of telephone sales fail, virtual ones warn, others pass, the more surely the better their plan is known.
 
@@ -63,7 +63,7 @@ def phone_plan(number: Column, dialled: Column, country: Column, owner: Column,
     for name, (code, plan) in PLANS.items():
         known = known | ((land == name) & number.rlike(rf"^(?:\{code}|0)(?:{plan})$"))
     cases = [
-        (none & ((F.lower(source) == "lacentrale") | F.coalesce(has_phone, F.lit(False))), "neutral", 0.0),
+        (none & (F.coalesce(site_hides, F.lit(False)) | F.coalesce(has_phone, F.lit(False))), "neutral", 0.0),
         (none & private, "warning", 0.2),
         (none, "fail", 0.0),
         (dialled != land, "warning", 0.3),

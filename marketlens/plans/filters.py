@@ -15,7 +15,6 @@ from .roles import ADS, ads
 PHONES = ["06 12 34 56 78", "+33 (0)1 23 45 67 89", "0033612345678", "0162 123456", "0644 661234", "+49 171 1234567", "+41 79 123 45 67", "079 123 45 67", "12345", "+352 621 123 456", "+99 123", "0221.123-4567", " ", None, None, None]
 LANDS = ["FR", "CH", "DE", "BE", None]
 TEXTS = ["Vend import direct", "important dossier", "venu d'Allemagne", "Fahrzeug gebraucht", "malus payé", "COC fourni", "carte grise en cours", "rien", "coco importado homologation", "LHD suisse", None, ""]
-SITES = ["leboncoin", "lacentrale", "autoscout24"]
 
 
 def _quoted(values) -> str:
@@ -47,10 +46,10 @@ tiers AS (SELECT make, model, want, band, {", ".join(f"count(*) FILTER (WHERE {c
 spread AS (SELECT *, CASE {" ".join(f"WHEN n{i} >= 3 THEN m{i}" for i in range(1, 7))} END AS m, CASE {" ".join(f"WHEN n{i} >= 3 THEN d{i}" for i in range(1, 7))} END AS d FROM tiers),
 n5 AS (SELECT a.ad_id, CASE WHEN m IS NULL THEN 'skip' WHEN abs((price * ask - m) / nullif(d, 0)) > 3 THEN 'fail' WHEN abs((price * ask - m) / nullif(d, 0)) > 2 OR (a.fuel = 'R' AND a.region = 'EUROPE' AND km > 30000) THEN 'warning' ELSE 'pass' END AS status
   FROM (SELECT *, CASE hp % 10 WHEN 0 THEN 6 WHEN 1 THEN 2 ELSE 1 END AS ask FROM asked) a LEFT JOIN spread s ON s.make = a.make AND s.model = a.model AND s.want IS NOT DISTINCT FROM a.want AND s.band IS NOT DISTINCT FROM a.band),
-calls AS (SELECT *, coalesce({_quoted(LANDS)}[seller % 5 + 1], 'FR') AS soil, {_quoted(PHONES)}[seller % 16 + 1] AS dial, {_quoted(SITES)}[seller % 3 + 1] AS site, lower('Ad ' || coalesce({_quoted(TEXTS)}[hp % 12 + 1], '')) AS txt FROM x),
+calls AS (SELECT *, coalesce({_quoted(LANDS)}[seller % 5 + 1], 'FR') AS soil, {_quoted(PHONES)}[seller % 16 + 1] AS dial, lower('Ad ' || coalesce({_quoted(TEXTS)}[hp % 12 + 1], '')) AS txt FROM x),
 digits AS (SELECT *, regexp_replace(regexp_replace(replace(trim(dial), '(0)', ''), '[ \\t.\\-()]', '', 'g'), '^00', '+') AS num FROM calls),
 lands AS (SELECT *, CASE {" ".join(f"WHEN starts_with(num, '{p}') THEN '{c}'" for p, c in sorted({"+33": "FR", "+49": "DE", "+41": "CH", "+34": "ES", "+39": "IT", "+32": "BE", "+31": "NL", "+43": "AT", "+48": "PL", "+46": "SE", "+352": "LU"}.items(), key=lambda z: -len(z[0])))} END AS dialled, regexp_replace(num, '^\\+33', '0') AS loc FROM digits),
-n6 AS (SELECT ad_id, CASE WHEN coalesce(trim(dial), '') = '' AND (site = 'lacentrale' OR has_phone) THEN ['neutral', '0'] WHEN coalesce(trim(dial), '') = '' THEN CASE WHEN coalesce(owner, 'private') = 'private' THEN ['warning', '0.2'] ELSE ['fail', '0'] END WHEN dialled <> soil THEN ['warning', '0.3']
+n6 AS (SELECT ad_id, CASE WHEN coalesce(trim(dial), '') = '' AND (seller % 3 = 1 OR has_phone) THEN ['neutral', '0'] WHEN coalesce(trim(dial), '') = '' THEN CASE WHEN coalesce(owner, 'private') = 'private' THEN ['warning', '0.2'] ELSE ['fail', '0'] END WHEN dialled <> soil THEN ['warning', '0.3']
   WHEN soil = 'FR' AND regexp_matches(loc, '^(0162|0163|0270|0271|0377|0378|0424|0425|0568|0569|0948|0949|0947[5-9])') THEN ['fail', '0.1'] WHEN soil = 'FR' AND regexp_matches(loc, '^(06446[6-9]|0756[89])') THEN ['warning', '0.3']
   WHEN soil = 'FR' AND regexp_full_match(num, '(\\+33|0)[1-79][0-9]{{8}}') OR soil = 'CH' AND regexp_full_match(num, '(\\+41|0)(7[5-9][0-9]{{7}}|[2-6][0-9]{{8}})') OR soil = 'DE' AND regexp_full_match(num, '(\\+49|0)(1[5-7][0-9]{{8,9}}|[2-9][0-9]{{6,10}})') THEN ['pass', '1']
   WHEN soil = 'BE' AND dialled IS NULL AND NOT starts_with(num, '+') THEN ['pass', '0.7'] ELSE ['pass', '0.8'] END AS r FROM lands),
@@ -100,7 +99,7 @@ def evaluated(spark, sf_dir) -> DataFrame:
         "L2": rules.known_model(c("make"), c("model"), titles.is_generic_model(F.when(hp % 17 == 0, "Autres").otherwise(c("model")), c("make")), c("_known")),
         "L4": c("l4"),
         "L5": rules.price_spread(ask, c("_spread.mean"), c("_spread.deviation"), c("_spread.n"), c("fuel") == "R", c("region") == "EUROPE", c("km")),
-        "L6": signs.phone_plan(c("_number"), c("_dialled"), c("_land"), owner, seller % 2 == 0, pick(SITES, seller)),
+        "L6": signs.phone_plan(c("_number"), c("_dialled"), c("_land"), owner, seller % 2 == 0, seller % 3 == 1),
         "L8": rules.imported_by(c("_weight")),
         "L11": rules.result(recalled, (recalled == "pass").cast("double"), c("_recalls")),
     }

@@ -25,17 +25,17 @@ def one(spark, column):
 
 
 @pytest.mark.parametrize(
-    "phone, country, owner, has_phone, source, expected",
+    "phone, country, owner, has_phone, site_hides, expected",
     [
-        (None, "FR", "pro", False, "lacentrale", ("neutral", 0.0)), (" ", "FR", "pro", True, None, ("neutral", 0.0)), (None, None, None, False, None, ("warning", 0.2)), ("", "FR", "pro", None, "x", ("fail", 0.0)),
+        (None, "FR", "pro", False, True, ("neutral", 0.0)), (" ", "FR", "pro", True, None, ("neutral", 0.0)), (None, None, None, False, None, ("warning", 0.2)), ("", "FR", "pro", None, False, ("fail", 0.0)),
         ("+49 171 123", "FR", None, None, None, ("warning", 0.3)), ("00352 123", None, None, None, None, ("warning", 0.3)), ("+41 79 123 45 67", "CH", None, None, None, ("pass", 1.0)), ("022 123 45 67", "ch", None, None, None, ("pass", 1.0)),
         ("+33 1 62 12 34 56", "FR", None, None, None, ("fail", 0.1)), ("09475 12345", "FR", None, None, None, ("fail", 0.1)), ("0644.66.12.34", "FR", None, None, None, ("warning", 0.3)), ("06 12 34 56 78", "FR", None, None, None, ("pass", 1.0)),
         ("0033 9 12 34 56 78", "FR", None, None, None, ("pass", 1.0)), ("08 12 34 56 78", "FR", None, None, None, ("pass", 0.8)), ("+49(0)271 123456", "DE", None, None, None, ("pass", 1.0)), ("12", "DE", None, None, None, ("pass", 0.8)),
         ("0470 12", "BE", None, None, None, ("pass", 0.7)), ("+32 470", "BE", None, None, None, ("pass", 0.8)), ("+99 1", "BE", None, None, None, ("pass", 0.8)),
     ],
 )
-def test_phone_plans(spark, phone, country, owner, has_phone, source, expected):
-    assert one(spark, plan(lit(phone), lit(country), lit(owner), lit(has_phone, "boolean"), lit(source))) == expected
+def test_phone_plans(spark, phone, country, owner, has_phone, site_hides, expected):
+    assert one(spark, plan(lit(phone), lit(country), lit(owner), lit(has_phone, "boolean"), lit(site_hides, "boolean"))) == expected
 
 
 @pytest.mark.parametrize(
