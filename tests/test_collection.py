@@ -50,6 +50,24 @@ def test_rungs_that_need_something(spark):
     assert climbed(spark, [target(2, gearbox=None)], ads, ladders.SECOND_SITE)[2][0] == 5
 
 
+def test_pairs_of_targets_and_ads_are_counted_where_they_meet(spark):
+    tables = spark.createDataFrame([target(i) for i in range(3)], TARGET), spark.createDataFrame([ad(p) for p in range(3)], AD)
+    for ladder in (ladders.FIRST_SITE, ladders.SECOND_SITE, ladders.THIRD_SITE):
+        plan = ladders.collected(*tables, ladder)._jdf.queryExecution().executedPlan().toString()
+        dealt = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line and "ad_price" in line]
+        # Ads alone are dealt by their prices; no target goes along.
+        assert dealt and not any("target_id" in line or "_profile" in line for line in dealt)
+
+
+def test_a_price_of_several_ads_counts_in_its_first_rung(spark):
+    # The same prices, near with another gearbox, far with any, and under other years: each counts once, where it is first met.
+    ads = [ad(p, lat=lat, region=region, gearbox=gearbox, year=year) for p in range(30) for lat, region in ((45.0, "north"), (60.0, "south")) for gearbox, year in (("automatic", 2000), ("manual", 2002), (None, 2000))]
+    assert climbed(spark, [target(1, second=None)], ads)[1] == (4, 30, [(1, 0), (2, 0), (3, 30), (4, 0), (5, 0), (6, 0), (7, 0)])
+    assert climbed(spark, [target(1, second=None, gearbox=None)], ads)[1] == (5, 30, [(1, 30), (2, 0), (3, 0), (4, 0), (5, 0), (6, 0), (7, 0)])
+    # Targets that ask the same have the same log, each its own row.
+    assert set(climbed(spark, [target(i, second=None) for i in range(5)], ads)) == set(range(5))
+
+
 def test_empty_tables(spark):
     some = spark.createDataFrame([target(1)], TARGET), spark.createDataFrame([ad(1)], AD)
     assert ladders.collected(some[0].limit(0), some[1]).count() == 0
