@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from marketlens.functions import numbers, text
-from marketlens.operators import lookup, rules, sequences, stats
+from marketlens.operators import catalogue, lookup, rules, sequences, stats
 from marketlens.sources import ads
 from marketlens.streaming import jobs
 
@@ -166,3 +166,13 @@ def test_streaming_upsert_and_counts(spark, sf_dir, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert spark.table("days").agg(F.sum("count")).first()[0] == events.count()
+
+
+def test_rows_are_counted_before_they_meet_vehicles(spark):
+    rows = spark.createDataFrame([(1, "A", "x", 3), (None, "a", "X", 5), (None, "A", "x", 2), (9, "A", "x", 1), (None, None, "x", 4), (None, "B", "y", 7)], "vehicle_id int, make string, model string, n int")
+    vehicles = spark.createDataFrame([(1, "A", "X"), (2, "a", "x"), (3, "C", "z")], "vehicle_id int, make string, model string")
+    found = catalogue.counted_either(rows, vehicles, "n")
+    assert {r["vehicle"]: r["n"] for r in found.collect()} == {1: 10, 2: 7}
+    each = rows.withColumn("_", F.explode(F.sequence(F.lit(1), F.col("n"))))
+    slow = catalogue.matched_either(each, vehicles, "_").groupBy("vehicle").agg(F.count(F.lit(1)).alias("n"))
+    assert sorted(slow.collect()) == sorted(found.collect())
