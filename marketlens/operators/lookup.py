@@ -41,8 +41,9 @@ def nearest(rows: DataFrame, others: DataFrame, keys: list[str], row_id: str, at
     both = rows.select(*keys, F.col(at).alias("_at"), F.struct(*rows.columns).alias("_r"), F.lit(None).cast(least.schema["_o"].dataType).alias("_o"))
     both = both.unionByName(least.select(*keys, F.col(other_at).alias("_at"), F.lit(None).cast(both.schema["_r"].dataType).alias("_r"), "_o"))
     order = Window.partitionBy(*keys).orderBy("_at").rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    after = Window.partitionBy(*keys).orderBy("_at").rangeBetween(Window.currentRow, Window.unboundedFollowing)
-    found = both.withColumns({"_low": F.last("_o", ignorenulls=True).over(order), "_high": F.first("_o", ignorenulls=True).over(after)}).where("_r is not null")
+    # From the other end: a frame that runs to the end is read anew for each row, one from the beginning is not.
+    after = Window.partitionBy(*keys).orderBy(F.desc("_at")).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    found = both.withColumns({"_low": F.last("_o", ignorenulls=True).over(order), "_high": F.last("_o", ignorenulls=True).over(after)}).where("_r is not null")
     near = F.array_min(F.filter(F.array(*[F.struct(F.abs(F.col("_at") - F.col(f"{x}.{other_at}")).alias("distance"), F.col(f"{x}._id").alias("_id"), F.col(x).alias("_o")) for x in ("_low", "_high")]), lambda s: s["_o"].isNotNull()))
     return found.withColumn("_best", near).where("_best is not null").select("_r.*", *[F.col(f"_best._o.{c}").alias(c) for c in own if c not in rows.columns], F.col("_best.distance").alias("distance"))
 

@@ -176,3 +176,10 @@ def test_rows_are_counted_before_they_meet_vehicles(spark):
     each = rows.withColumn("_", F.explode(F.sequence(F.lit(1), F.col("n"))))
     slow = catalogue.matched_either(each, vehicles, "_").groupBy("vehicle").agg(F.count(F.lit(1)).alias("n"))
     assert sorted(slow.collect()) == sorted(found.collect())
+
+
+def test_nearest_reads_no_frame_to_the_end(spark):
+    rows, others = spark.createDataFrame([(i, 1, float(i)) for i in range(20)], "r int, k int, x double"), spark.createDataFrame([(i, 1, 3.0 * i) for i in range(4)], "o int, k int, y double")
+    found = lookup.nearest(rows, others, ["k"], "r", "x", "y", "o")
+    assert {x["r"]: x["o"] for x in found.collect()} == {i: min(range(4), key=lambda o: (abs(3 * o - i), o)) for i in range(20)}
+    assert "currentrow$(), unboundedfollowing$()" not in found._jdf.queryExecution().executedPlan().toString().lower()
