@@ -72,7 +72,8 @@ def weighted_score(results: DataFrame, key: str) -> DataFrame:
     kind makes it partial."""
     counts = F.col("status") != "neutral"
     total, gained = F.sum(F.when(counts, F.col("weight"))), F.sum(F.when(counts & (F.col("status") != "skip"), F.col("weight") * F.col("score")))
-    raw = F.coalesce(F.coalesce(gained, F.lit(0.0)) / F.nullif(total, F.lit(0)), F.lit(0.0)) * 100
+    # Sums of doubles end in noise that depends on their order. It must not decide which way a half is rounded.
+    raw = F.round(F.coalesce(100 * F.coalesce(gained, F.lit(0.0)) / F.nullif(total, F.lit(0)), F.lit(0.0)), 9)
     out = results.groupBy(key).agg(raw.alias("raw"), F.max(F.col("status").isin("skip", "neutral")).alias("partial"))
     return out.select(key, F.bround(F.greatest(F.least("raw", F.lit(100.0)), F.lit(0.0)), 0).cast("long").alias("score"), F.col("partial").alias("is_partial"))
 

@@ -183,3 +183,12 @@ def test_nearest_reads_no_frame_to_the_end(spark):
     found = lookup.nearest(rows, others, ["k"], "r", "x", "y", "o")
     assert {x["r"]: x["o"] for x in found.collect()} == {i: min(range(4), key=lambda o: (abs(3 * o - i), o)) for i in range(20)}
     assert "currentrow$(), unboundedfollowing$()" not in found._jdf.queryExecution().executedPlan().toString().lower()
+
+
+def test_a_score_of_a_half_is_rounded_to_even(spark):
+    rows = [(1, "pass", 1.0, 1.0)] * 11 + [(1, "pass", 0.5, 1.0)] + [(1, "skip", 0.0, 1.0)] * 8  # 11.5 of 20 are 57.5
+    assert stats.weighted_score(spark.createDataFrame(rows, "k int, status string, score double, weight double"), "k").collect()[0]["score"] == 58
+    # 0.1 + 0.2 + 0.075 are 0.375 of 5 in any order, 7.5 percent.
+    for order in ((0.1, 0.2, 0.075), (0.2, 0.075, 0.1), (0.075, 0.1, 0.2)):
+        some = [(1, "pass", x, 1.0) for x in order] + [(1, "skip", 0.0, 2.0)]
+        assert stats.weighted_score(spark.createDataFrame(some, "k int, status string, score double, weight double").coalesce(1), "k").collect()[0]["score"] == 8
