@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from ..functions.text import alike, slug
+from ..functions.text import compact_key, slug
 from ..operators.lookup import first_by
 
 #: A whole string, or what opens or closes; a quote that stands alone is a string without end.
@@ -210,11 +210,24 @@ def leading_int(text: Column) -> Column:
     return F.nullif(F.regexp_extract(text, r"^\s*([+-]?\d+)", 1).try_cast("int"), F.lit(0))
 
 
+def evaluated(rows: DataFrame, keep: list[str], fields: dict[str, Column]) -> DataFrame:
+    """The columns keep and the fields, each field worked out once for a row.
+
+    A filter after a projection would move below it and work out the fields again wherever it reads them; it does not
+    move below a generator.
+    """
+    return rows.select(*keep, F.array(F.struct(*[c.alias(k) for k, c in fields.items()])).alias("_fields")).select(*keep, F.inline_outer("_fields"))
+
+
 def _listed(rows: DataFrame, page_id: str, target: str) -> DataFrame:
     """Listings of plausible price and the target's make (unknown makes pass), the first of each uid or (price, km)."""
-    fits = (F.col("price") > LOW) & (F.col("price") < HIGH) & (F.nullif("brand", F.lit("")).isNull() | alike(F.col("brand"), F.col(target)))
+    unknown = F.nullif("brand", F.lit("")).isNull()
     key = F.coalesce("uid", F.concat_ws("-", F.col("price").cast("string"), F.coalesce(F.col("km").cast("string"), F.lit("null"))))
-    return first_by(rows.where(fits).withColumn("key", key), [page_id, "key"], F.col("place")).drop("key", "brand", target)
+    plausible = rows.where((F.col("price") > LOW) & (F.col("price") < HIGH))
+    kept = [c for c in rows.columns if c not in ("brand", target)]
+    named = evaluated(plausible, kept, {"_brand": F.when(~unknown, compact_key(F.col("brand"))), "_target": F.when(~unknown, compact_key(F.col(target))), "key": key})
+    fits = named.where(F.coalesce(F.contains("_brand", "_target") | F.contains("_target", "_brand"), F.lit(True)))
+    return first_by(fits.drop("_brand", "_target"), [page_id, "key"], F.col("place")).drop("key")
 
 
 def data_listings(pages: DataFrame, page_id: str = "page_id", target: str = "target_make") -> DataFrame:
@@ -232,7 +245,7 @@ def data_listings(pages: DataFrame, page_id: str = "page_id", target: str = "tar
         "hp": F.regexp_extract(F.get(power, F.lit(0))["data"], r"(?i)\((\d+)\s*PS\)", 1).try_cast("int"),
         "brand": F.col("x.vehicle.make"),
     }
-    return _listed(rows.select(page_id, target, F.col("place").cast("int"), *[c.alias(k) for k, c in fields.items()]), page_id, target)
+    return _listed(evaluated(rows, [page_id, target], {"place": F.col("place").cast("int"), **fields}), page_id, target)
 
 
 def catalogue_items(node: Column, levels: int = 3) -> Column:
@@ -257,6 +270,8 @@ def _number(node: Column, path: str) -> Column:
 def catalogue_listings(pages: DataFrame, page_id: str = "page_id", target: str = "target_make") -> DataFrame:
     """(page_id, place, uid, price, km, year, fuel) from pages' JSON-LD offer catalogues; pages has html and target."""
     blocks = pages.select(page_id, target, F.posexplode(F.regexp_extract_all("html", F.lit(r"""(?is)<script[^>]*type=["']application/ld\+json["'][^>]*>(.*?)</script>"""), 1)).alias("block", "text"))
+    # Only a text that holds the type's name, or escapes that may spell it, can hold a catalogue.
+    blocks = blocks.where(F.contains("text", F.lit("OfferCatalog")) | F.contains("text", F.lit("\\u")))
     rows = blocks.withColumn("data", F.try_parse_json("text")).select(page_id, target, "block", F.posexplode(catalogue_items(F.col("data"))).alias("at", "item"))
     item = F.col("item")
     car = F.coalesce(F.try_variant_get(item, "$.offers.itemOffered", "variant"), item)
@@ -273,4 +288,4 @@ def catalogue_listings(pages: DataFrame, page_id: str = "page_id", target: str =
         "fuel": F.coalesce(_string(car, "$.vehicleEngine.fuelType"), _string(car, "$.vehicleEngine[0].fuelType")),
         "brand": F.coalesce(_string(item, "$.brand.name"), _string(item, "$.offers.itemOffered.brand.name"), _string(item, "$.manufacturer"), _string(item, "$.offers.itemOffered.manufacturer")),
     }
-    return _listed(rows.select(page_id, target, (F.col("block") * 100_000 + F.col("at")).cast("int").alias("place"), *[c.alias(k) for k, c in fields.items()]), page_id, target)
+    return _listed(evaluated(rows, [page_id, target], {"place": (F.col("block") * 100_000 + F.col("at")).cast("int"), **fields}), page_id, target)

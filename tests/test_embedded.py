@@ -93,3 +93,13 @@ def test_listings(spark):
     html = f'<script type="application/ld+json">nothing</script><script type="application/ld+json">{json.dumps(graph)}</script>'
     (r,) = embedded.catalogue_listings(pages_of(spark, [(1, None, html, None, 0)])).collect()
     assert (r["uid"], r["price"], r["km"], r["year"], r["fuel"]) == ("/x", 1500, 12, None, None)
+
+
+def _filters_of(rows):
+    return [line for line in rows._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Filter " in line]
+
+
+def test_fields_are_not_worked_out_again_in_filters(spark):
+    pages = spark.createDataFrame([(1, "Kia", "https://x.example/d/kia-rio-12345678", "<p>")], "page_id long, target_make string, url string, html string")
+    for found in (embedded.catalogue_listings(pages), embedded.data_listings(pages)):
+        assert not any(x in line for line in _filters_of(found) for x in ("variant", "regexp", "_folded"))
