@@ -173,21 +173,23 @@ def page_vehicles(pages: DataFrame, page_id: str = "page_id") -> DataFrame:
 
     Equal scores, and pages without a slug, go to the last one. pages has url and html.
     """
-    scripts = pages.select(page_id, "url", F.posexplode(F.regexp_extract_all("html", F.lit(r"(?is)<script[^>]*>(.*?)</script>"), 1)).alias("script", "text"))
+    # What the URL says is read once for a page, not for each of its vehicles.
+    slug_of = F.regexp_extract("url", SLUG, 1)
+    named = {"_slug": F.lower(slug_of), "_make": F.upper(F.get(F.filter(F.split(slug_of, "-"), lambda t: t != ""), F.lit(0)))}
+    scripts = evaluated(pages, [page_id, "html"], named).select(page_id, *named, F.posexplode(F.regexp_extract_all("html", F.lit(r"(?is)<script[^>]*>(.*?)</script>"), 1)).alias("script", "text"))
     wanted = lambda c: F.contains(c, F.lit("vehicleCategory")) | F.contains(c, F.lit("firstRegistrationDate"))
     text, keep = F.col("text"), F.lit("\u0001")
     # Streamed scripts escape their quotes twice, or once.
     twice = F.replace(F.replace(F.replace(text, F.lit('\\\\\\"'), keep), F.lit('\\\\"'), F.lit('"')), keep, F.lit('\\"'))
     sources = F.when(F.contains(text, F.lit("self.__next_f")), F.array(twice, F.replace(text, F.lit('\\"'), F.lit('"')))).otherwise(F.array(text))
-    sources = scripts.where(wanted(text)).select(page_id, "url", "script", F.posexplode(sources).alias("source", "text"))
+    sources = scripts.where(wanted(text)).select(page_id, *named, "script", F.posexplode(sources).alias("source", "text"))
     objects = json_objects(sources, "text").where(F.contains("object", F.lit('"vehicleCategory"')) | F.contains("object", F.lit('"firstRegistrationDate"')))
-    found = objects.withColumn("vehicle", F.try_parse_json(vehicle_node("object"))).where("vehicle is not null")
-    url_slug = F.lower(F.regexp_extract("url", SLUG, 1))
-    expected = F.upper(F.get(F.filter(F.split(F.regexp_extract("url", SLUG, 1), "-"), lambda t: t != ""), F.lit(0)))
-    vehicle = F.col("vehicle")
-    score = F.when(url_slug != "", slug_score(_name_of(vehicle, "$.make"), _name_of(vehicle, "$.model"), url_slug, expected)).otherwise(0)
-    order = F.struct(score.alias("score"), "script", "source", "place")
-    return found.withColumn("order", order).groupBy(page_id).agg(F.max_by("vehicle", "order").alias("vehicle"), F.max("order.score").alias("score"), F.count(F.lit(1)).alias("candidates"))
+    found = evaluated(objects.withColumn("object", vehicle_node("object")), [page_id, *named, "script", "source", "place"], {"vehicle": F.try_parse_json("object")}).where("vehicle is not null")
+    names = {"make": _name_of(F.col("vehicle"), "$.make"), "model": _name_of(F.col("vehicle"), "$.model")}
+    found = evaluated(found, [page_id, *named, "script", "source", "place", "vehicle"], names)
+    score = F.when(F.col("_slug") != "", slug_score(F.col("make"), F.col("model"), F.col("_slug"), F.col("_make"))).otherwise(0)
+    found = evaluated(found, [page_id, "vehicle"], {"order": F.struct(score.alias("score"), "script", "source", "place")})
+    return found.groupBy(page_id).agg(F.max_by("vehicle", "order").alias("vehicle"), F.max("order.score").alias("score"), F.count(F.lit(1)).alias("candidates"))
 
 
 def vehicle_fields(vehicle: Column) -> dict[str, Column]:

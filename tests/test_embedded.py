@@ -101,5 +101,5 @@ def _filters_of(rows):
 
 def test_fields_are_not_worked_out_again_in_filters(spark):
     pages = spark.createDataFrame([(1, "Kia", "https://x.example/d/kia-rio-12345678", "<p>")], "page_id long, target_make string, url string, html string")
-    for found in (embedded.catalogue_listings(pages), embedded.data_listings(pages)):
+    for found in (embedded.catalogue_listings(pages), embedded.data_listings(pages), embedded.page_vehicles(pages)):
         assert not any(x in line for line in _filters_of(found) for x in ("variant", "regexp", "_folded"))
