@@ -45,20 +45,35 @@ def best_offer(offers: Column, year: Column, fuel: Column, hp_range: Column | No
     return F.array_min(F.filter(F.transform(offers, ranked), lambda r: r["tier"].isNotNull()))
 
 
-def with_best_offer(asks: DataFrame, offers: DataFrame, keys: list[str], hp_range: str | None = None, years: int = 3) -> DataFrame:
-    """asks (keys, year, fuel) with tier, power_tier, gap and the struct offer, all null where no offer is found.
-
-    Asks of one kind have one answer: it is worked out for each distinct (keys, year, fuel, power) and joined back.
-    """
+def best_of_kinds(asks: DataFrame, offers: DataFrame, keys: list[str], hp_range: str | None = None, years: int = 3) -> DataFrame:
+    """The distinct (keys, year, fuel, power) of asks with tier, power_tier, gap and the struct offer, all null where no
+    offer is found."""
     loose = ["year", "fuel", *([hp_range] if hp_range else [])]
     kinds = asks.select(*keys, *loose).distinct()
     best = best_offer(F.col("_offers"), F.col("year"), F.col("fuel"), F.col(hp_range) if hp_range else None, years, "hp_range" in offers.columns)
-    added = ["tier", "power_tier", "gap", "offer"]
-    found = kinds.join(gathered(offers, keys), keys).withColumn("_best", best).select(*[F.col(c).alias(f"_{c}") for c in [*keys, *loose]], *[F.col(f"_best.{c}").alias(c) for c in added])
+    return kinds.join(gathered(offers, keys), keys, "left").withColumn("_best", best).select(*keys, *loose, *[F.col(f"_best.{c}").alias(c) for c in ("tier", "power_tier", "gap", "offer")])
+
+
+def with_kinds(asks: DataFrame, kinds: DataFrame, keys: list[str], loose: list[str]) -> DataFrame:
+    """asks with the other columns of kinds, a row for each distinct (keys, loose); a null in loose is a value like others.
+
+    What depends on the kind of an ask alone is best joined to the kinds: the asks are shuffled once, however many lookups
+    there are.
+    """
+    added = [c for c in kinds.columns if c not in {*keys, *loose}]
+    found = kinds.select(*[F.col(c).alias(f"_{c}") for c in [*keys, *loose]], *added)
     on = [F.col(c) == F.col(f"_{c}") for c in keys] + [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in loose]
     return asks.join(found, on, "left").select(*asks.columns, *added)
 
 
+def with_best_offer(asks: DataFrame, offers: DataFrame, keys: list[str], hp_range: str | None = None, years: int = 3) -> DataFrame:
+    """asks (keys, year, fuel) with tier, power_tier, gap and the struct offer, all null where no offer is found.
+
+    Asks of one kind have one answer: it is worked out for each distinct (keys, year, fuel, power) and joined back.
+    """
+    return with_kinds(asks, best_of_kinds(asks, offers, keys, hp_range, years), keys, ["year", "fuel", *([hp_range] if hp_range else [])])
+
+
 def reference(market: Column, seed: Column, low: Column, high: Column, quotation: Column, hp: Column, market_name: Column) -> Column:
     """The first source that has a price: (source, price, halved, tried, market_result).
 

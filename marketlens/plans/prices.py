@@ -56,11 +56,14 @@ l4 AS (
          CASE WHEN ref IS NULL OR seller % 13 = 0 THEN 0.0 WHEN abs(gap) <= 10 THEN 1.0 WHEN abs(gap) <= 25 THEN 0.5 ELSE 0.1 END::DOUBLE AS score, coalesce(hp * 2 > 30 AND gap < -10, false) AS stale FROM gaps)"""
 
 
-def price_filter(a):
-    """Ads (with asked_fuel) and the columns reference, l4 and stale_below."""
+def price_filter(a, lookups=lambda kinds: kinds):
+    """Ads (with asked_fuel) and the columns reference, l4 and stale_below; lookups may add columns to the kinds of ads
+    (make, model, region, year, fuel), which the ads then get in the same join."""
     c = F.col
     seeds = a.groupBy(*KEYS, "year").agg(F.when(F.count(F.lit(1)) % 3 == 0, F.floor(F.avg("price")).cast("long")).alias("seed"))
-    found = cascade.with_best_offer(_asked(a), _offers(a), KEYS).join(seeds, [*KEYS, "year"], "left")
+    asked = _asked(a)
+    kinds = lookups(cascade.best_of_kinds(asked, _offers(a), KEYS).join(seeds, [*KEYS, "year"], "left"))
+    found = cascade.with_kinds(asked, kinds, KEYS, ["year", "fuel"])
     guess = lambda share: F.when(c("seller") % 3 == 0, F.floor(c("price") * share))
     name = F.when(c("region") == "EUROPE", "market_home").otherwise("market_abroad")
     found = found.withColumn("reference", cascade.reference(c("offer"), c("seed"), guess(0.8), guess(1.5), F.when(c("seller") % 4 == 0, c("price") * 1.7), c("hp") * 10, name))

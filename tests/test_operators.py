@@ -192,3 +192,16 @@ def test_a_score_of_a_half_is_rounded_to_even(spark):
     for order in ((0.1, 0.2, 0.075), (0.2, 0.075, 0.1), (0.075, 0.1, 0.2)):
         some = [(1, "pass", x, 1.0) for x in order] + [(1, "skip", 0.0, 2.0)]
         assert stats.weighted_score(spark.createDataFrame(some, "k int, status string, score double, weight double").coalesce(1), "k").collect()[0]["score"] == 8
+
+
+def test_ads_meet_prices_of_their_kind_in_one_join(spark):
+    from marketlens.plans import prices
+
+    ads = spark.createDataFrame([("a", "Kia", "Rio", None, "EUROPE", "R", 100, 5, 1)], "ad_id string, make string, model string, year int, region string, fuel string, price long, hp int, seller long")
+    found = prices.price_filter(ads)
+    assert found.select("ad_id", "reference.market_result").collect() == [("a", "not_found")]
+    plan, joins = found._jdf.queryExecution().optimizedPlan(), 0
+    while plan.children().nonEmpty():
+        joins += plan.nodeName() == "Join"
+        plan = plan.children().apply(0)
+    assert joins == 1
