@@ -2,10 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..session import table
+from ..session import new_path, settled, table
+
+
+ad_id = lambda: F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+
+
+def _shown(joined: DataFrame, *more) -> DataFrame:
+    return joined.select(
+        ad_id().alias("ad_id"), F.col("p_brand").alias("make"), F.col("p_type").alias("model"), F.year("l_shipdate").alias("year"), F.col("r_name").alias("region"),
+        F.col("n_name").alias("country"), F.col("l_returnflag").alias("fuel"), F.floor("l_extendedprice").cast("long").alias("price"), F.floor(F.col("l_quantity") * 3000).cast("long").alias("km"), F.col("p_size").alias("hp"), F.col("l_shipdate").alias("ts"), F.col("l_suppkey").alias("seller"),
+        *more,
+    )
 
 
 def ads(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,10 +26,24 @@ def ads(spark: SparkSession, sf_dir: str) -> DataFrame:
         t("lineitem").join(t("part"), F.col("l_partkey") == F.col("p_partkey")).join(t("orders"), F.col("l_orderkey") == F.col("o_orderkey"))
         .join(t("customer"), F.col("o_custkey") == F.col("c_custkey")).join(t("nation"), F.col("c_nationkey") == F.col("n_nationkey")).join(t("region"), F.col("n_regionkey") == F.col("r_regionkey"))
     )
-    return joined.select(
-        F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("ad_id"), F.col("p_brand").alias("make"), F.col("p_type").alias("model"), F.year("l_shipdate").alias("year"), F.col("r_name").alias("region"),
-        F.col("n_name").alias("country"), F.col("l_returnflag").alias("fuel"), F.floor("l_extendedprice").cast("long").alias("price"), F.floor(F.col("l_quantity") * 3000).cast("long").alias("km"), F.col("p_size").alias("hp"), F.col("l_shipdate").alias("ts"), F.col("l_suppkey").alias("seller"),
-    )
+    return _shown(joined)
+
+
+def settled_ads(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    """Columns of the ads, for plans that read them several times: the tables meet once, and orders meet their buyers
+    first, so that line items are not shuffled for customers.
+
+    The column n_alike, if asked for, is the number of ads with an ad's id. An id begins with its order, so the join by
+    order has such ads side by side already.
+    """
+    t = lambda name: table(spark, sf_dir, name)
+    buyers = t("orders").join(t("customer"), F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", "c_nationkey")
+    joined = (
+        t("lineitem").join(t("part"), F.col("l_partkey") == F.col("p_partkey")).join(buyers, F.col("l_orderkey") == F.col("o_orderkey"))
+        .join(t("nation"), F.col("c_nationkey") == F.col("n_nationkey")).join(t("region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    )
+    alike = [F.count(F.lit(1)).over(Window.partitionBy("l_orderkey", ad_id())).alias("n_alike")] * ("n_alike" in columns)
+    return settled(_shown(joined, *alike).select(*columns), new_path(spark, "ads"))
 
 
 ADS = """ads AS (
