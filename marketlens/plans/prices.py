@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from ..functions import numbers
 from ..operators import cascade
+from ..session import new_path, settled
 from .queries import query
-from .roles import ADS, ads
+from .roles import ADS, ads, settled_ads
 
 KEYS = ["make", "model", "region"]
 BAND = "CASE WHEN hp * 8 < 80 THEN 'min-90' WHEN hp * 8 < 110 THEN '70-120' WHEN hp * 8 < 140 THEN '100-150' WHEN hp * 8 < 180 THEN '130-190' WHEN hp * 8 < 250 THEN '170-260' WHEN hp * 8 < 350 THEN '240-360' ELSE '340-max' END"
@@ -37,8 +38,11 @@ def _asked(a):
 
 @query("WITH " + ADS + ", " + OFFERS.format(power="CASE WHEN o.hp_range = a.band THEN 1 WHEN o.hp_range IS NULL THEN 2 ELSE 3 END") + " SELECT a.ad_id, a.year, b.tier, b.power_tier, b.offer_id FROM asked a LEFT JOIN best b ON a.row = b.row")
 def join_ranked_offer(spark, sf_dir):  # JN13
-    a = ads(spark, sf_dir)
-    return cascade.with_best_offer(_asked(a), _offers(a), KEYS, "band").select("ad_id", "year", "tier", "power_tier", F.col("offer.offer_id").alias("offer_id"))
+    a = settled_ads(spark, sf_dir, "ad_id", *KEYS, "year", "fuel", "price", "hp", "seller")
+    # Prices of offers are not shown, so they are not summed up either.
+    asked, offers = _asked(a), _offers(a).drop("sample_count", "price_iqr_mean", "price_median")
+    kinds = settled(cascade.best_of_kinds(asked, offers, KEYS, "band").withColumn("offer", F.col("offer.offer_id")), new_path(spark, "kinds"))
+    return cascade.with_kinds(asked, kinds, KEYS, ["year", "fuel", "band"]).select("ad_id", "year", "tier", "power_tier", F.col("offer").alias("offer_id"))
 
 
 CASCADE = OFFERS.format(power="CASE WHEN o.hp_range IS NULL THEN 2 ELSE 3 END") + """, seeds AS (SELECT make, model, region, year, CASE WHEN count(*) % 3 = 0 THEN CAST(floor(avg(price)) AS BIGINT) END AS mid FROM ads GROUP BY make, model, region, year),
