@@ -55,3 +55,52 @@ def test_prices_grow_stale(spark, tmp_path):
 def test_empty_streams(spark, tmp_path):
     put(spark, f"{tmp_path}/in", [])
     assert deadlines.drained(deadlines.leases(stream_of(spark, f"{tmp_path}/in").where(F.lit(True)), "job", "kind", "ts"), f"{tmp_path}/out").count() == 0
+
+
+class Counted:
+    """A handle with one value state that counts the calls of state and timers."""
+
+    def __init__(self):
+        self.value, self.timers, self.calls = None, set(), 0
+
+    def getValueState(self, name, schema):
+        return self
+
+    def _call(self):
+        self.calls += 1
+
+    def exists(self):
+        self._call()
+        return self.value is not None
+
+    def get(self):
+        self._call()
+        return self.value
+
+    def update(self, value):
+        self._call()
+        self.value = value
+
+    def clear(self):
+        self._call()
+        self.value = None
+
+    def registerTimer(self, at):
+        self._call()
+        self.timers.add(at)
+
+    def deleteTimer(self, at):
+        self._call()
+        self.timers.remove(at)
+
+
+def test_state_is_touched_once_for_a_key(spark):
+    handle, leases = Counted(), deadlines.Deadlines(timedelta(milliseconds=5), "assigned", "done", "pending")
+    leases.init(handle)
+    rows = [{"at": t, "kind": "open" if t % 4 < 3 else "close"} for t in range(1001)]
+    out = list(leases.handleInputRows((1,), rows, None))
+    assert [r["status"] for r in out].count("done") == 250 and len(out) == 1001
+    assert handle.calls <= 4 and handle.value == (1005,) and handle.timers == {1005}
+    handle.calls = 0
+    assert [r["status"] for r in leases.handleInputRows((1,), [{"at": 1005, "kind": "close"}], None)] == ["pending"]
+    assert handle.calls <= 4 and handle.value is None and not handle.timers
