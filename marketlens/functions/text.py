@@ -92,11 +92,9 @@ def dial_country(phone: Column) -> Column:
 
 
 def country_of_number(number: Column) -> Column:
-    """The same of a number's digits; one pattern decides whether a prefix has to be looked for at all."""
-    out = F.lit(None).cast("string")
-    for prefix in sorted(DIAL, key=len):
-        out = F.when(F.startswith(number, F.lit(prefix)), F.lit(DIAL[prefix])).otherwise(out)
-    return F.when(F.startswith(number, F.lit("+")), out)
+    """The same of a number's digits: a look into the prefixes for each of their lengths."""
+    found = F.create_map(*[F.lit(x) for item in DIAL.items() for x in item])
+    return F.coalesce(*[F.try_element_at(found, F.substring(number, 1, n)) for n in sorted({len(x) for x in DIAL}, reverse=True)])
 
 
 def alike(a: Column, b: Column) -> Column:

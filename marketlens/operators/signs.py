@@ -1,6 +1,6 @@
 """Filters that read texts and phone numbers: the number's plan, signs of an import, and spreads of reference prices.
 
-Word lists are matched as one pattern each, inside generated code. Defined cases: null texts mention nothing; a null country
+Words are searched one by one, as bytes: a pattern of alternatives tries each of them at each place. Defined cases: null texts mention nothing; a null country
 is the home country; a phone of blanks counts as none.
 """
 
@@ -44,8 +44,11 @@ YOUNG_YEARS, TOO_CHEAP = 8, 3000
 
 def mentions(text: Column, words: list[str], whole: list[str] = ()) -> Column:
     """Whether a lower-cased text holds one of words anywhere, or one of whole between other than letters and digits."""
-    parts = [re.escape(w) for w in words] + [rf"(?<![\p{{L}}\p{{N}}_])(?:{'|'.join(map(re.escape, whole))})(?![\p{{L}}\p{{N}}_])"] * bool(whole)
-    return F.coalesce(text.rlike("|".join(parts)), F.lit(False))
+    holds = lambda some: F.exists(F.array(*map(F.lit, some)), lambda w: F.contains(text, w))
+    found = holds(words)
+    if whole:  # the pattern is only tried on texts that hold its words at all
+        found = found | (holds(whole) & text.rlike(rf"(?<![\p{{L}}\p{{N}}_])(?:{'|'.join(map(re.escape, whole))})(?![\p{{L}}\p{{N}}_])"))
+    return F.coalesce(found, F.lit(False))
 
 
 def phone_plan(number: Column, dialled: Column, country: Column, owner: Column, has_phone: Column, site_hides: Column) -> Column:
