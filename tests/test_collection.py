@@ -1,5 +1,7 @@
 """Ladders of searches and cascades of reference prices, on small tables whose answers are known."""
 
+import random
+
 from pyspark.sql import functions as F
 
 from marketlens.operators import cascade, ladders
@@ -74,6 +76,44 @@ def test_empty_tables(spark):
     assert ladders.collected(some[0], some[1].limit(0)).collect()[0]["total"] == 0
 
 
+def by_force(t, ads, ladder, enough, most):
+    """A target's log, rung by rung over all ads."""
+    i, make, model, year, fuel, gearbox, hp, km, region, lat, _, second, has_gearbox, is_hybrid = t
+    low, high = {5000: (0, 20000), 50000: (20000, 80000), 200000: (100000, 10**9), None: (0, 10**9)}[km]
+    seen, log = set(), []
+    for step, r in enumerate(ladder, 1):
+        needs = {"local": lat is not None, "region": region is not None}.get(r.place, True) and (r.kind != "second" or second is not None) and (r.needs is None or {"has_gearbox": has_gearbox, "is_hybrid": is_hybrid}[r.needs])
+        if not needs or len(seen) >= most or (r.kind == "text" and len(seen) >= enough):
+            continue
+        tests = {"fuel": lambda a: fuel in (None, a[4]), "gearbox": lambda a: gearbox in (None, a[5]), "hp": lambda a: hp is None or (a[6] is not None and abs(a[6] - hp) <= 5), "km": lambda a: low <= a[7] <= high}
+        titled = lambda a: f"{make} {model}".lower() in a[2].lower()
+        kinds = {"model": lambda a: (a[0], a[1]) == (make, model), "make": lambda a: a[0] == make, "text": lambda a: a[0] == make and titled(a), "second": lambda a: a[0] == second and titled(a)}
+        places = {"national": lambda a: True, "region": lambda a: a[8] == region, "local": lambda a: abs(a[9] - lat) < 0.2}
+        found = {(a[11], a[7]) for a in ads if kinds[r.kind](a) and places[r.place](a) and (year is None or year < 1990 or abs(a[3] - year) <= r.years) and all(tests[f](a) for f in r.filters)} - seen
+        seen |= found
+        log.append((step, len(found)))
+    return log
+
+
+def test_stages_give_what_all_rungs_give(spark):
+    """Targets that one stage leaves short and those that it fills, with missing fuels, powers, years and places."""
+    assert [ladders._stages(x) for x in (ladders.FIRST_SITE, ladders.SECOND_SITE, ladders.THIRD_SITE)] == [[5, 10], [6, 8], [2, 4, 5]]
+    r = random.Random(4)
+    one = lambda *x: r.choice(x)
+    targets, ads = [], []
+    for i in range(60):
+        gearbox = one("manual", "automatic", None)
+        targets.append((i, one("DS", "DS", "XX"), one("3", "4"), one(2000, 2002, 1900, None), one("petrol", "diesel", None), gearbox, one(100, 104, None), one(5000, 50000, 200000, None), one("north", "south", None), one(45.0, 46.0, None), 5.0, one("CITROEN", None), gearbox is not None, one(True, False)))
+    for _ in range(900):
+        make, model = one("DS", "DS", "CITROEN"), one("3", "4")
+        ads.append((make, model, one("", f"used {make} {model}", f"a ds {model}"), one(1999, 2000, 2001, 2002, 2003), one("petrol", "diesel", None), one("manual", "automatic", None), one(95, 100, 106, 120, None), one(8000, 30000, 70000, 150000), one("north", "south", None), one(45.0, 46.0, 60.0), 5.0, r.randrange(60)))
+    tables = spark.createDataFrame(targets, TARGET), spark.createDataFrame(ads + ads[:300], AD)
+    for ladder in (ladders.FIRST_SITE, ladders.SECOND_SITE, ladders.THIRD_SITE):
+        found = {x["target_id"]: [(s["step"], s["added"]) for s in x["log"]] for x in ladders.collected(*tables, ladder, 10, 25).collect()}
+        assert found == {t[0]: by_force(t, ads, ladder, 10, 25) for t in targets}
+        assert len({len(x) for x in found.values()}) > 2
+
+
 def offers_of(spark, rows):
     return spark.createDataFrame(rows, "make string, year int, fuel string, hp_range string, offer_id int")
 
