@@ -66,6 +66,21 @@ def test_near_duplicates_by_force(spark, sf_dir, documents):
     assert found == components_by_force(zip(documents.doc_id, documents.text, strict=True))
 
 
+def test_shingles_of_texts_that_are_worked_on_together(documents, monkeypatch):
+    """As many as the definition gives, and the same whatever stands beside a text."""
+    texts = [b"", b" \n", b"One", b"one two\x0bthree FOUR", b"a b c d e", b"a b c d e " * 9, *(t.encode() for t in documents.text[:60]), b"one", b""]
+    plain = [x.lower().split() for x in texts]
+    count = [len({tuple(x[i : i + 5]) for i in range(max(1, len(x) - 4))}) if x else 0 for x in plain]
+    with np.errstate(over="ignore"):
+        alone = [minhash.shingles([x])[0] for x in texts]
+        for together in (1 << 20, 1, 700):
+            monkeypatch.setattr(minhash, "TOGETHER", together)
+            found = minhash.shingles(texts)
+            assert [len(x) for x in found] == count
+            assert all(x.dtype == np.uint64 and np.array_equal(x, y) and (x[1:] > x[:-1]).all() for x, y in zip(found, alone, strict=True))
+        assert minhash.shingles([]) == [] and len(np.unique(np.concatenate(alone[3:6]))) == 1 + 5
+
+
 def test_near_duplicates_that_only_a_middle_one_links(spark):
     """A base and copies with edits of their own: copies are linked to the base alone; and a chain of edits."""
     rng = np.random.default_rng(5)
